@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -183,15 +185,13 @@ def nearest_references(
     )
 
 
-def vector_totals(df: DataFrame, keys, vector: str) -> DataFrame:
-    """Component-wise sum and row count per key, combined on the map side."""
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
+def vector_totals(df: DataFrame, keys, vector: str, **extra) -> DataFrame:
+    """Component-wise sum, row count and ``extra`` aggregates per key, combined on the map side."""
     summed = df.where(F.col(vector).isNotNull()).groupBy(*keys).agg(
-        Summarizer.sum(array_to_vector(F.col(vector))).alias("__sum"), F.count("*").alias("n")
+        Summarizer.sum(array_to_vector(F.col(vector))).alias("__sum"), F.count("*").alias("n"),
+        *[column.alias(name) for name, column in extra.items()],
     )
-    return summed.select(*keys, vector_to_array("__sum").alias("total"), "n")
+    return summed.select(*keys, vector_to_array("__sum").alias("total"), "n", *extra)
 
 
 def mean_vectors(df: DataFrame, keys, vector: str) -> DataFrame:
