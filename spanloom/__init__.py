@@ -1 +1,8 @@
 """Entity matching and labelled-text datasets as Spark DataFrame operators."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers carry their code: executors need no installed copy.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -11,6 +11,7 @@ import re
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 NOT_WORD = re.compile(r"\W")
 # ASCII characters that survive normalisation
@@ -63,12 +64,12 @@ def token_set_ratio(a: str, b: str) -> int:
     return token_set_score(token_set(a), token_set(b))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def token_set_ratio_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b)], dtype="Int32")
 
