@@ -115,12 +115,15 @@ def best_matches(
     broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int = BLOCK_ROWS,
     probes=None,
+    spread_left: bool = False,
 ) -> DataFrame:
     """(left_id, right_group, right_id, score, rank) for the k best per left row and group.
 
     ``left`` has (left_id, left_value), ``right`` has (right_group, right_id,
     right_value); ids are unique on their side. Scores not above ``floor`` are
-    dropped. Ties go to the smaller right id.
+    dropped. Ties go to the smaller right id. ``spread_left`` deals the left
+    rows out evenly first; use it for kernels that cost far more than their
+    input's bytes suggest.
     """
     spark = left.sparkSession
     schema = T.StructType([
@@ -134,6 +137,9 @@ def best_matches(
     if len(small) <= broadcast_rows:
         if skip_same:  # the left side is as small as the right one: give every core a share
             left = left.repartition(max(1, math.ceil(len(small) / SELF_ROWS)), "left_id")
+        elif spread_left:
+            shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+            left = left.repartition(shares, "left_id")
         shipped = spark.sparkContext.broadcast(small)
 
         def stream(batches):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from spanloom.functions.fuzzy import NameIndex, token_set_kernel
 from spanloom.functions.randomness import unit_random
 from spanloom.operators.blocks import best_matches
-from spanloom.operators.neighbours import nearest, nearest_entities
-from spanloom.operators.ordering import random_k, shuffled_positions
+from spanloom.operators.neighbours import nearest_entities
+from spanloom.operators.ordering import random_k, shuffled_positions, top_k
 from spanloom.operators.taxonomy import distinct_sentences
 
 GRAM = 3
@@ -58,16 +58,22 @@ def containing_entities(spans: DataFrame, taxonomy: DataFrame, span: str = "span
 
 def fuzzy_entities(spans: DataFrame, taxonomy: DataFrame, k: int, span: str = "span", entity: str = "unique_id",
                    name: str = "name", **sizes) -> DataFrame:
-    """(span, entity, score): the k names with the highest token-set ratio, ties by entity id."""
+    """(span, entity, score): the k names with the highest token-set ratio, ties by entity id.
+
+    Each distinct name is scored once, under its smallest entity id. The k best
+    names hold the k best entities, of which a name can give at most k.
+    """
+    named = taxonomy.where(F.col(name).isNotNull()).select(F.col(entity).alias("entity"), F.col(name).alias("name"))
+    members = top_k(named, ["name"], ["entity"], k, "__rn").drop("__rn")
+    first = named.groupBy("name").agg(F.min("entity").alias("right_id"))
     left = spans.select(F.col(span).alias("left_id"), F.col(span).alias("left_value")).distinct()
-    right = taxonomy.where(F.col(name).isNotNull()).select(
-        F.lit(0).alias("right_group"), F.col(entity).alias("right_id"), F.col(name).alias("right_value")
-    )
-    found = best_matches(left, right, k, token_set_kernel(k), NameIndex, floor=-0.5, **sizes)
-    return found.select(
-        F.col("left_id").alias(span), F.col("right_id").alias(entity),
-        F.round(F.col("score") * 100).cast("int").alias("score"),
-    )
+    right = first.select(F.lit(0).alias("right_group"), "right_id", F.col("name").alias("right_value"))
+    found = best_matches(
+        left, right, k, token_set_kernel(k), NameIndex, floor=-0.5, spread_left=True, **sizes
+    ).select("left_id", "right_id", F.round(F.col("score") * 100).cast("int").alias("score"))
+    entities = first.join(members, "name").select("right_id", "entity")
+    best = top_k(found.join(entities, "right_id"), ["left_id"], [F.desc("score"), "entity"], k, "__rn")
+    return best.select(F.col("left_id").alias(span), F.col("entity").alias(entity), "score")
 
 
 def rule_entities(spans: DataFrame, taxonomy: DataFrame, k: int, seed=42, span: str = "span",
@@ -185,8 +191,3 @@ def random_span(spans: Column, seed, key: Column) -> Column:
     place = F.floor(unit_random(seed, F.lit("span"), key) * F.size(spans)).cast("int") + 1
     return F.when(F.size(spans) > 0, F.try_element_at(spans, place))
 
-
-__all__ = [
-    "candidate_map", "containing_entities", "fuzzy_entities", "nearest", "nearest_support", "random_span",
-    "random_support", "record_spans", "rule_entities", "select_candidates", "with_gold",
-]

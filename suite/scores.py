@@ -200,8 +200,8 @@ def centroid_labels(spark, folder):
 
 
 CENTROID_SQL = """WITH dims AS (
-  SELECT label::VARCHAR AS label, i, avg(embedding[i]::DOUBLE) AS x FROM (
-    SELECT label, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
+  SELECT label::VARCHAR AS label, i, avg(e[i] / sqrt(list_dot_product(e, e))) AS x FROM (
+    SELECT label, embedding::DOUBLE[] AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY ALL),
 cents AS (SELECT label, list(x ORDER BY i) AS c FROM dims GROUP BY label)
 SELECT vec_id, c.label, round(list_cosine_similarity(e.embedding::DOUBLE[], c.c), 9) AS score,
        row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, c.label)::INTEGER AS rank
