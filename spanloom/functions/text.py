@@ -15,7 +15,7 @@ NO_LABEL_PRESENT = "LABEL NOT PRESENT"
 UNDERSPECIFIED = "UNDERSPECIFIED"
 UNKNOWN = "UNK"
 
-SPACE = r"\s\x1c-\x1f"
+SPACE = r"\s\x1c-\x1f"  # with (?U): the characters Python counts as white space
 TAG_PATTERN = "<[^\n]*?>"
 TAGS_PER_STOP = 10
 LONG_SKILL_WORDS = 10
@@ -31,7 +31,8 @@ def word_count(text) -> Column:
 
 
 def words(text) -> Column:
-    return F.regexp_extract_all(_col(text), F.lit(f"(?U)[^{SPACE}]+"), 0)
+    """Whitespace-separated tokens."""
+    return F.filter(F.split(_col(text), f"(?U)[{SPACE}]+"), lambda w: w != "")
 
 
 def drop_short_text(df: DataFrame, text: str, min_length: int = 100) -> DataFrame:

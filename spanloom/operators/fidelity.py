@@ -6,30 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import words
+from spanloom.session import cut_lineage
 
 START = "<s>"
 
 
 def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w1, w2, n): bigram counts per text, starting from a start mark; empty texts have none."""
+    """(key, w1, w2): the bigrams of each text from a start mark on; empty texts have none."""
     tokens = F.concat(F.array(F.lit(START)), words(F.lower(text)))
-    # pair the tokens inside the row, then count: repeats in a text leave as one row
-    pairs = F.transform(
-        F.slice("tokens", F.lit(2), F.greatest(F.size("tokens") - 1, F.lit(0))),
-        lambda w, i: F.struct(F.get("tokens", i).alias("w1"), w.alias("w2")),
-    )
-    return (
-        df.select(key, tokens.alias("tokens"))
-        .select(key, F.explode(pairs).alias("b"))
-        .groupBy(key, "b.w1", "b.w2").agg(F.count("*").alias("n"))
+    count = F.greatest(F.size("tokens") - 1, F.lit(0))
+    pairs = F.zip_with(
+        F.slice("tokens", F.lit(1), count), F.slice("tokens", F.lit(2), count),
+        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
     )
+    return df.select(key, tokens.alias("tokens")).select(key, F.explode(pairs).alias("b")).select(key, "b.w1", "b.w2")
 
 
-def bigram_model(counts: DataFrame) -> DataFrame:
-    """(w1, w2, n, context): corpus counts of bigrams and of their first words."""
-    both = counts.groupBy("w1", "w2").agg(F.sum("n").alias("n"))
-    context = both.groupBy("w1").agg(F.sum("n").alias("context"))
-    return both.join(context, "w1")
+def bigram_model(corpus: DataFrame, key: str, text: str) -> DataFrame:
+    """(w1, w2, n): corpus counts, merged on the map side and written once for the passes that follow."""
+    return cut_lineage(bigrams(corpus, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n")))
 
 
 def ngram_perplexity(df: DataFrame, key: str, text: str, corpus: DataFrame | None = None, add: float = 1.0) -> DataFrame:
@@ -37,20 +32,19 @@ def ngram_perplexity(df: DataFrame, key: str, text: str, corpus: DataFrame | Non
 
     The model comes from ``corpus`` (same columns) or from the texts themselves.
     """
-    counts = bigrams(df, key, text)
-    source = counts if corpus is None else bigrams(corpus, key, text)
-    model = bigram_model(source)
-    vocabulary = source.select("w2").distinct().agg(F.count("*").alias("v")).scalar()
-    logs = model.select(
-        "w1", "w2", F.log((F.col("n") + add) / (F.col("context") + add * vocabulary)).alias("lp"))
+    model = bigram_model(df if corpus is None else corpus, key, text)
+    contexts = model.groupBy("w1").agg(F.sum("n").alias("context"))
+    vocabulary = model.select("w2").distinct().agg(F.count("*").alias("v")).scalar()
+    log_p = F.log((F.col("n") + add) / (F.col("context") + add * vocabulary))
+    logs = model.join(contexts, "w1").select("w1", "w2", log_p.alias("lp"))
+    found = bigrams(df, key, text)
     if corpus is None:
-        scored = counts.join(logs, ["w1", "w2"])
+        scored = found.join(logs, ["w1", "w2"])
     else:
-        contexts = source.groupBy("w1").agg(F.sum("n").alias("context"))
         unseen = F.log(F.lit(add) / (F.coalesce("context", F.lit(0)) + add * vocabulary))
-        scored = counts.join(logs, ["w1", "w2"], "left").join(contexts, "w1", "left").withColumn(
+        scored = found.join(logs, ["w1", "w2"], "left").join(contexts, "w1", "left").withColumn(
             "lp", F.coalesce("lp", unseen))
-    total = scored.groupBy(key).agg(F.sum("n").alias("tokens"), F.sum(F.col("n") * F.col("lp")).alias("log"))
+    total = scored.groupBy(key).agg(F.count("*").alias("tokens"), F.sum("lp").alias("log"))
     return total.select(key, "tokens", F.exp(-F.col("log") / F.col("tokens")).alias("perplexity"))
 
 

@@ -7,38 +7,39 @@ from pyspark.sql import functions as F
 
 # A word with its trailing # or + (so that C, C# and C++ differ), or the gap between words.
 ATOM = r"(?U)\w+[#+]*|[^\w]+"
-WORD_START = r"(?U)^\w"
+BEFORE_WORDS = r"(?U)^[^\w]+"
 BROADCAST_TERMS = 200_000
 
 
 def atoms(text: Column) -> Column:
     """Words at even places, the gaps between them at odd places; text before the first word is cut."""
-    parts = F.regexp_extract_all(text, F.lit(ATOM), 0)
-    return F.when(F.element_at(parts, 1).rlike(WORD_START), parts).otherwise(
-        F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    )
+    return F.regexp_extract_all(F.regexp_replace(text, BEFORE_WORDS, ""), F.lit(ATOM), 0)
 
 
 def term_words(term: Column) -> Column:
     return F.regexp_count(term, F.lit(r"(?U)\w+[#+]*"))
 
 
-def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
-    """(key, place, term): every occurrence of a term, as whole words, case-sensitive.
+def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
+    """(key, place, entry columns): every occurrence of a term, as whole words, case-sensitive.
 
     Texts are cut into n-grams of only the lengths the dictionary has, and meet
-    the terms in an equi-join, so the cost per text does not depend on the
+    the terms in one equi-join, so the cost per text does not depend on the
     number of terms.
     """
-    wanted = terms.select(F.col(term).alias("term")).where("term is not null").distinct()
-    lengths = sorted(r["n"] for r in wanted.select(term_words(F.col("term")).alias("n")).distinct().collect() if r["n"])
-    if not lengths:
-        return df.select(key, F.lit(0).alias("place"), F.lit("").alias("term")).limit(0)
-    parts = df.select(key, atoms(F.col(text)).alias("atoms")).where(F.size("atoms") > 0)
-    grams = F.concat(*[_grams(F.col("atoms"), n) for n in lengths])
+    wanted = entries.where(term_words(F.col("term")) > 0)
+    facts = wanted.agg(F.collect_set(term_words(F.col("term"))).alias("lengths"), F.count("*").alias("n")).first()
+    if not facts["n"]:
+        return df.select(key, F.lit(0).alias("place")).join(entries, F.lit(False))
+    parts = df.select(key, atoms(F.col(text)).alias("atoms"))
+    grams = F.concat(*[_grams(F.col("atoms"), n) for n in sorted(facts["lengths"])])
     exploded = parts.select(key, F.explode(grams).alias("gram")).select(key, "gram.place", "gram.term")
-    small = wanted.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return exploded.join(F.broadcast(wanted) if small else wanted, "term").select(key, "place", "term")
+    return exploded.join(F.broadcast(wanted) if facts["n"] <= BROADCAST_TERMS else wanted, "term")
+
+
+def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
+    """(key, place, term): every occurrence of a term in a text."""
+    return dictionary_hits(df, key, text, terms.select(F.col(term).alias("term")).distinct()).select(key, "place", "term")
 
 
 def _grams(parts: Column, n: int) -> Column:
@@ -90,9 +91,7 @@ def keyword_tags(
             pairs.select("term", F.lit(SYNONYM_COLUMNS[category]).alias("tag"), F.col("term").alias("value"))
         )
     entries = entries.distinct()
-    hits = term_hits(df, key, text, entries)
-    small = entries.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    found = hits.join(F.broadcast(entries) if small else entries, "term")
+    found = dictionary_hits(df, key, text, entries)
     as_set = F.col("tag").isin(*[t for c in synonyms for t in (c, SYNONYM_COLUMNS[c])]) if synonyms else F.lit(False)
     # one text's hits of one category: bounded by the text itself
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda h: h["value"])

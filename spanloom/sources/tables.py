@@ -29,6 +29,15 @@ def strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
+
+    A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_samples_csv(spark: SparkSession, path: str, names, index: str | None = None, header: bool = False) -> DataFrame:
     """CSV with the given column names, without its index column and without incomplete rows."""
     reader = spark.read.schema(strings(names)).options(**CSV_OPTIONS).option("header", str(header).lower())

@@ -8,7 +8,7 @@ from spanloom.functions.randomness import unit_random
 from spanloom.operators import classify as Z
 from spanloom.operators import metrics as M
 from spanloom.operators import neighbours as N
-from suite.common import PREDICTIONS_SQL, joined, predictions, read, taxonomy, u_sql
+from suite.common import PREDICTIONS_SQL, joined, predictions, read, taxonomy, texts, u_sql
 
 DIGITS = 9
 
@@ -212,7 +212,7 @@ def multilabel_classifier(spark, folder):
     """Quality and toxicity of documents from their words: one row of validation scores per setting."""
     from spanloom.operators import splits as P
 
-    rows = read(spark, folder, "documents").select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
+    rows = texts(spark, folder).select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
     truth = F.array(F.col("quality").cast("double"), F.col("toxic").cast("double"))
     data = rows.select("doc_id", "text", truth.alias("truth"))
     total = data.select("text").distinct().count()

@@ -9,7 +9,7 @@ from spanloom.operators import embedding as E
 from spanloom.operators import fidelity as P
 from spanloom.operators import tagging as G
 from spanloom.operators import taxonomy as T
-from suite.common import MESSAGES_SQL, joined, messages, read
+from suite.common import MESSAGES_SQL, joined, messages, read, texts
 
 # RE2 classes that match what the Unicode-aware patterns match in Spark
 W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
@@ -36,7 +36,7 @@ STRIP_HTML_SQL = """SELECT page_id, array_to_string(list_transform(regexp_split_
 def clean_text(spark, folder):
     """Documents with their line ends written out as backslash-n."""
     raw = F.replace("text", F.lit("\n"), F.lit("\\n"))
-    return read(spark, folder, "documents").select("doc_id", X.clean_text(raw).alias("text"))
+    return texts(spark, folder).select("doc_id", X.clean_text(raw).alias("text"))
 
 
 CLEAN_SQL = rf"""SELECT doc_id, replace(regexp_replace(regexp_replace(
@@ -44,7 +44,7 @@ CLEAN_SQL = rf"""SELECT doc_id, replace(regexp_replace(regexp_replace(
 
 
 def anonymize(spark, folder):
-    return read(spark, folder, "documents").select("doc_id", X.anonymize_text("text").alias("text"))
+    return texts(spark, folder).select("doc_id", X.anonymize_text("text").alias("text"))
 
 
 # RE2 has ASCII word boundaries only: letters beyond ASCII are spelled as _x<code>_ while the patterns run
@@ -188,7 +188,7 @@ def keyword_tag(spark, folder):
     short = found.where(size == 5).select(
         F.upper(F.substring("w", 1, 2)).alias("level2"), F.concat("w", F.lit(", x"), "w").alias("alternative_names_clean"))
     tags = G.keyword_tags(
-        read(spark, folder, "documents"), "doc_id", "text", singles.unionByName(pairs).where("level2 <> ''"),
+        texts(spark, folder), "doc_id", "text", singles.unionByName(pairs).where("level2 <> ''"),
         {"Technologies": short}, "job")
     return tags.select("doc_id", "tag", joined("values").alias("found"))
 
@@ -226,7 +226,7 @@ FROM conversations JOIN prices ON model = role GROUP BY model"""
 
 
 def bigram_perplexity(spark, folder):
-    rows = P.ngram_perplexity(read(spark, folder, "documents"), "doc_id", "text")
+    rows = P.ngram_perplexity(texts(spark, folder), "doc_id", "text")
     return rows.select("doc_id", "tokens", F.round("perplexity", 4).alias("perplexity"))
 
 
@@ -245,7 +245,7 @@ PERPLEXITY_SQL = f"WITH {PERPLEXITY_CTE} SELECT doc_id, tokens, round(perplexity
 
 def popularity_scores(spark, folder):
     """Mean perplexity of the documents of each source."""
-    docs = read(spark, folder, "documents")
+    docs = texts(spark, folder)
     scored = P.ngram_perplexity(docs, "doc_id", "text").join(docs.select("doc_id", F.col("source").alias("name")), "doc_id")
     return P.popularity_scores(scored).select("name", F.round("score", 4).alias("score"))
 
@@ -255,7 +255,7 @@ SELECT source AS name, round(avg(perplexity), 4) AS score FROM ppl JOIN document
 
 
 def hash_embed(spark, folder):
-    rows = E.hash_embed(read(spark, folder, "documents"), "text", 256)
+    rows = E.hash_embed(texts(spark, folder), "text", 256)
     length = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
     return rows.select("doc_id", F.round(length, 9).alias("squared_length"), F.size("embedding").alias("dimensions"))
 
