@@ -190,10 +190,10 @@ def negative_plan(totals: DataFrame, total: str = "total", keep=(), shares: dict
                   per_request: int = NEGATIVES_PER_REQUEST) -> DataFrame:
     """One row per request for negatives: each type gets ceil(share * total / per_request)."""
     kinds = [F.struct(F.lit(k).alias("kind"), F.lit(float(s)).alias("share")) for k, s in (shares or NEGATIVE_SHARES).items()]
-    planned = totals.select(*keep, total, F.explode(F.array(*kinds)).alias("k"))
-    count = F.ceil(F.col("k.share") * F.col(total) / F.lit(float(per_request))).cast("int")
+    planned = totals.select(*keep, total, F.explode(F.array(*kinds)).alias("__kind"))
+    count = F.ceil(F.col("__kind.share") * F.col(total) / F.lit(float(per_request))).cast("int")
     return planned.where(count > 0).select(
-        *keep, F.col("k.kind").alias("kind"), F.explode(F.sequence(F.lit(1), count)).alias("request_no")
+        *keep, F.col("__kind.kind").alias("kind"), F.explode(F.sequence(F.lit(1), count)).alias("request_no")
     )
 
 
