@@ -4,8 +4,8 @@ The caller gives a scoring kernel that maps two small batches to a score
 matrix. Only the best k per left row (and per right group) leave a task, so
 pairs are never written out.
 
-* A right side of at most ``broadcast_rows`` rows (checked, not assumed) is
-  shipped to the tasks once and the left side streams past it, unshuffled.
+* A right side of at most ``broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes
+  (both counted first) is shipped to the tasks once and the left side streams past it, unshuffled.
 * A larger one is cut into hash blocks of about ``block_rows`` rows; left chunks
   meet right blocks in co-grouped tasks of bounded size, and a ranked window
   merges the k best of each block. Blocks are cut by row id, so copies of one
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 from spanloom.operators.ordering import top_k
 
 BROADCAST_ROWS = 20_000
-BLOCK_ROWS = 2_048
+BROADCAST_BYTES = 128 << 20
+BLOCK_ROWS = 8_192
 SELF_ROWS = 256
 SCALE = 10**9  # scores are ranked and returned rounded to 9 decimals
 MISSING = np.iinfo(np.int64).min
@@ -133,10 +134,11 @@ def best_matches(
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    small = right.limit(broadcast_rows + 1).toArrow().to_pandas()
-    if len(small) <= broadcast_rows:
+    rows, size = measure(right)
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
+        small = right.toArrow().to_pandas()
         if skip_same:  # the left side is as small as the right one: give every core a share
-            left = left.repartition(max(1, math.ceil(len(small) / SELF_ROWS)), "left_id")
+            left = left.repartition(max(1, math.ceil(rows / SELF_ROWS)), "left_id")
         elif spread_left:
             shares = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
             left = left.repartition(shares, "left_id")
@@ -172,6 +174,14 @@ def best_matches(
     return top_k(met, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
 
 
+def measure(right: DataFrame) -> tuple[int, int]:
+    """Rows and payload bytes of the right side."""
+    vector = isinstance(right.schema["right_value"].dataType, T.ArrayType)
+    payload = F.size("right_value") * 8 if vector else F.octet_length("right_value")
+    found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(payload), F.lit(0)).alias("bytes")).first()
+    return found["n"], found["bytes"]
+
+
 def hash_blocks(left: DataFrame, right: DataFrame, block_rows: int):
     """Every left row meets every right block."""
     blocks = max(1, math.ceil(right.count() / block_rows))

@@ -89,14 +89,15 @@ def combine(
 
 
 def stochastic_draws(
-    popularity: DataFrame, n: int, seed=42, temperature: float = 1.0, buckets: int = BUCKETS, cells: int = 4096
+    popularity: DataFrame, n: int, seed=42, temperature: float = 1.0, buckets: int = BUCKETS, cells: int | None = None
 ) -> DataFrame:
     """``n`` draws (draw_id, anchor) with replacement, p = softmax(-score/T).
 
     Each name owns an interval of [0, 1). Draws and intervals meet on the cell
     of the interval: a name with a third of the weight spans a third of the
-    cells, so its draws stay spread out.
+    cells, so its draws stay spread out. There are about as many cells as names.
     """
+    cells = cells or max(4096, popularity.count())
     whole = "decimal(38,0)"
     best = popularity.agg(F.min("score").alias("m")).scalar()
     share = F.floor(F.exp((best - F.col("score")) / F.lit(float(temperature))) * F.lit(float(WEIGHT_STEPS)))
@@ -109,7 +110,7 @@ def stochastic_draws(
         "name", F.col("lo").cast(whole).alias("lo"), (F.col("lo") + F.col("w")).cast(whole).alias("hi")
     )
     total = weighted.agg(F.sum("w").cast(whole).alias("t")).scalar()
-    cell = lambda c: F.call_function("div", c * F.lit(cells).cast("decimal(5,0)"), F.col("total")).cast("int")
+    cell = lambda c: F.call_function("div", c * F.lit(cells).cast("decimal(18,0)"), F.col("total")).cast("int")
     intervals = edges.where("hi > lo").withColumn("total", total).select(
         F.col("name").alias("anchor"), "lo", "hi",
         F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"),

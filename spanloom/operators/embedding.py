@@ -101,11 +101,12 @@ def span_vectors(located: DataFrame, tokens: DataFrame, record: str = "record_id
     """(record, span, embedding): mean of the span's token vectors, or the span's own vector.
 
     ``located`` has (record, span, start, end, span_embedding), ``tokens`` has
-    (record, pos, embedding) with positions from 0.
+    (record, pos, embedding) with positions from 0. A span names its positions,
+    so the join is on (record, pos).
     """
-    spans = located.select(record, "span", "start", "end")
-    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
-    covered = spans.join(tokens.select(record, "pos", F.col("embedding").cast("array<double>").alias("v")), record).where(inside)
+    places = F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("pos")
+    wanted = located.where("start is not null and start < end").select(record, "span", places)
+    covered = wanted.join(tokens.select(record, "pos", F.col("embedding").cast("array<double>").alias("v")), [record, "pos"])
     means = mean_vectors(covered, [record, "span"], "v")
     joined = located.join(means, [record, "span"], "left")
     vector = F.coalesce("mean_vector", F.col("span_embedding").cast("array<double>"))

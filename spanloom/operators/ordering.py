@@ -14,11 +14,7 @@ from pyspark.sql.window import Window
 from spanloom.functions.randomness import unit_random
 from spanloom.session import cut_lineage
 
-BUCKETS = 256
-
-
-def _join_on(within, bucket):
-    return [*within, bucket]
+BUCKETS = 4096
 
 
 def totals_before(df: DataFrame, bucket: str, order, values: dict, within=()) -> DataFrame:
@@ -41,14 +37,19 @@ def totals_before(df: DataFrame, bucket: str, order, values: dict, within=()) ->
     return placed.select(*kept, *[(F.col(f"__{n}") + F.col(f"__in_{n}")).alias(n) for n in values])
 
 
+def positions_by_number(df: DataFrame, u: Column, order, within=(), name: str = "position",
+                        buckets: int = BUCKETS) -> DataFrame:
+    """0-based place of each row in the order of ``u``, evenly spread over [0, 1), then ``order``."""
+    spread = df.withColumn("__u", u).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
+    placed = totals_before(spread, "__bucket", ["__u", *order], {name: F.lit(1).cast("bigint")}, within)
+    return placed.drop("__u", "__bucket")
+
+
 def shuffled_positions(df: DataFrame, seed, keys, within=(), name: str = "position",
                        buckets: int = BUCKETS) -> DataFrame:
     """0-based place of each row in the hash-random order; ``keys`` are unique in ``within``."""
     u = unit_random(seed, *[F.col(k) for k in within], *[F.col(k) for k in keys])
-    spread = df.withColumn("__u", u).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
-    return totals_before(spread, "__bucket", ["__u", *keys], {name: F.lit(1).cast("bigint")}, within).drop(
-        "__u", "__bucket"
-    )
+    return positions_by_number(df, u, list(keys), within, name, buckets)
 
 
 def sorted_totals(df: DataFrame, order, values: dict) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.randomness import unit_random
-from spanloom.operators.ordering import shuffle_rows, shuffled_positions
+from spanloom.operators.ordering import positions_by_number, shuffle_rows
 
 NO_LABEL = "NO LABEL"
 
@@ -27,42 +27,47 @@ def share_sizes(total: int, shares: dict[str, float]) -> dict[str, int]:
     return sizes
 
 
+def _digest(key: str):
+    return F.sha2(F.col(key).cast("string"), 256)
+
+
+def distinct_count(df: DataFrame, key: str) -> int:
+    """Number of distinct keys; only digests of long texts are shuffled."""
+    return df.where(F.col(key).isNotNull()).select(_digest(key).alias("d")).distinct().count()
+
+
 def assign_splits(df: DataFrame, key: str, sizes: dict[str, int], seed=42, split: str = "split") -> DataFrame:
     """Add a split column; the sizes count distinct keys, copies of a key stay together.
 
-    The distinct keys are ranked in random order without a global window. Only
-    the boundary entries (one per split) come back, and every row is placed by
-    comparing its own random number with them, so a key that holds much of the
-    table is never joined or grouped.
+    The distinct keys, as digests, are ranked in random order without a global
+    window. Only the boundary entries (one per split) come back, and every row
+    is placed by comparing its own random number with them, so a key that holds
+    much of the table is never joined or grouped.
     """
-    distinct = df.select(key).distinct()
-    ends, last = {}, 0
-    for name, size in sizes.items():
-        last += size
+    u, digest = unit_random(seed, F.col(key)), _digest(key)
+    names, ends, last = list(sizes), {}, 0
+    for name in names:
+        last += sizes[name]
         ends[name] = last
-    placed = shuffled_positions(distinct, seed, [key])
-    marks = [end for end in ends.values()]
-    u = unit_random(seed, F.col(key))
-    first_after = {
-        r["position"]: (r["u"], r[key])
-        for r in placed.where(F.col("position").isin(marks)).select("position", u.alias("u"), key).collect()
-    }
-    names = list(ends)
+    distinct = df.where(F.col(key).isNotNull()).select(u.alias("u"), digest.alias("digest")).distinct()
+    placed = positions_by_number(distinct, F.col("u"), ["digest"])
+    first_after = {r["position"]: r for r in placed.where(F.col("position").isin(list(ends.values()))).collect()}
     place = F.lit(names[-1])
     for name in reversed(names[:-1]):
-        if ends[name] in first_after:
-            cut_u, cut_key = first_after[ends[name]]
-            before = (u < F.lit(cut_u)) | ((u == F.lit(cut_u)) & (F.col(key) < F.lit(cut_key)))
-            place = F.when(before, name).otherwise(place)
-        else:
+        cut = first_after.get(ends[name])
+        if cut is None:
             place = F.lit(name)
+        else:
+            before = (u < F.lit(cut["u"])) | ((u == F.lit(cut["u"])) & (digest < F.lit(cut["digest"])))
+            place = F.when(before, name).otherwise(place)
     return df.withColumn(split, place)
 
 
 def overlapping_keys(df: DataFrame, key: str, split: str = "split") -> DataFrame:
     """Keys found in more than one split; empty when the split is clean."""
-    found = df.groupBy(key).agg(F.min(split).alias("a"), F.max(split).alias("b"))
-    return found.where("a <> b").select(key)
+    digests = df.select(_digest(key).alias("__digest"), split)
+    found = digests.groupBy("__digest").agg(F.min(split).alias("a"), F.max(split).alias("b")).where("a <> b")
+    return df.withColumn("__digest", _digest(key)).join(found, "__digest", "left_semi").select(key).distinct()
 
 
 def common_keys(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -222,7 +222,7 @@ FROM pointed p JOIN embeddings v USING (vec_id) JOIN embeddings o ON o.vec_id =
 
 def split_disjoint(spark, folder):
     docs = read(spark, folder, "documents")
-    sizes = P.rest_sizes(docs.select("text").distinct().count())
+    sizes = P.rest_sizes(P.distinct_count(docs, "text"))
     return P.assign_splits(docs, "text", sizes).select("doc_id", "split")
 
 
@@ -236,7 +236,7 @@ FROM documents JOIN ranked USING (text), sizes"""
 def split_overlap(spark, folder):
     """Number of texts in more than one split: none."""
     docs = read(spark, folder, "documents")
-    sizes = P.share_sizes(docs.select("text").distinct().count(), {"train": 0.75, "test": 0.15, "dev": 0.15})
+    sizes = P.share_sizes(P.distinct_count(docs, "text"), {"train": 0.75, "test": 0.15, "dev": 0.15})
     placed = P.assign_splits(docs, "text", sizes)
     shared = P.common_keys(placed.where("split = 'train'"), placed.where("split <> 'train'"), "text")
     return P.overlapping_keys(placed, "text").agg(F.count("*").alias("overlapping")).select(

@@ -215,7 +215,7 @@ def multilabel_classifier(spark, folder):
     rows = texts(spark, folder).select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
     truth = F.array(F.col("quality").cast("double"), F.col("toxic").cast("double"))
     data = rows.select("doc_id", "text", truth.alias("truth"))
-    total = data.select("text").distinct().count()
+    total = P.distinct_count(data, "text")
     placed = P.assign_splits(data, "text", P.rest_sizes(total))
     _, runs = Z.train_best(placed.where("split = 'train'"), placed.where("split <> 'train'"), "text", "truth", 2)
     return spark.createDataFrame(
