@@ -15,6 +15,7 @@ from spanloom.functions.randomness import unit_random
 from spanloom.session import cut_lineage
 
 BUCKETS = 4096
+COPIES_PER_TASK = 10_000
 
 
 def totals_before(df: DataFrame, bucket: str, order, values: dict, within=()) -> DataFrame:
@@ -80,10 +81,25 @@ def random_k(df: DataFrame, partition, k: int, seed, keys) -> DataFrame:
     return top_k(df.withColumn("__u", u), partition, ["__u", *keys], k, "__rn").drop("__u", "__rn")
 
 
-def shuffle_rows(df: DataFrame, seed, keys) -> DataFrame:
-    """The rows in seeded random order (range-partitioned sort)."""
-    u = unit_random(seed, *[F.col(c) for c in keys])
-    return df.withColumn("__u", u).orderBy("__u", *keys).drop("__u")
+def shuffle_rows(df: DataFrame, seed, keys=None) -> DataFrame:
+    """The rows in seeded random order (range-partitioned sort).
+
+    ``keys`` must tell the rows apart. Without them identical rows are counted
+    and dealt out again with a copy number, so that copies are scattered too and
+    no task sorts all of them.
+    """
+    if keys is not None:
+        u = unit_random(seed, *[F.col(c) for c in keys])
+        return df.withColumn("__u", u).orderBy("__u", *keys).drop("__u")
+    columns = df.columns
+    counted = df.groupBy(*columns).agg(F.count("*").alias("__n"))
+    last = F.floor((F.col("__n") - 1) / COPIES_PER_TASK)
+    dealt = counted.withColumn("__part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    start = F.col("__part") * COPIES_PER_TASK
+    number = F.sequence(start + 1, F.least(start + COPIES_PER_TASK, F.col("__n")))
+    copies = dealt.repartition(*columns, "__part").withColumn("__copy", F.explode(number))
+    u = unit_random(seed, F.xxhash64(*columns), F.col("__copy"))
+    return copies.withColumn("__u", u).orderBy("__u", "__copy").select(*columns)
 
 
 def head_sample(df: DataFrame, n: int) -> DataFrame:

@@ -83,6 +83,6 @@ def wrap_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, F.array(label))
 
 
-def merge_samples(positives: DataFrame, negatives: DataFrame, seed=42, keys=("sentence",)) -> DataFrame:
-    """All rows of both, in seeded random order."""
-    return shuffle_rows(positives.unionByName(negatives), seed, list(keys))
+def merge_samples(positives: DataFrame, negatives: DataFrame, seed=42, keys=None) -> DataFrame:
+    """All rows of both, in seeded random order; ``keys`` as for :func:`shuffle_rows`."""
+    return shuffle_rows(positives.unionByName(negatives), seed, keys)

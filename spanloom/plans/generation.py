@@ -9,6 +9,7 @@ from spanloom.operators import combinations as C
 from spanloom.operators import neighbours as N
 from spanloom.operators import requests as R
 from spanloom.operators import splits as P
+from spanloom.session import cut_lineage
 
 # Settings of a normal run.
 NEIGHBOURS = 20
@@ -18,10 +19,10 @@ MAX_SIZE = 5
 
 def combinations(taxonomy: DataFrame, popularity: DataFrame, n: int, k: int = NEIGHBOURS, threshold: float = THRESHOLD,
                  size_weights=None, seed=42, **options) -> DataFrame:
-    """``n`` balanced combinations of a merged taxonomy with vectors."""
+    """``n`` balanced combinations of a merged taxonomy with vectors, written once for the steps that follow."""
     weights = size_weights or [1.0 / MAX_SIZE] * MAX_SIZE
     lists = C.neighbour_lists(N.nearest(taxonomy, k, threshold), popularity)
-    return C.combine(C.balanced_numbered_draws(taxonomy, n, seed), lists, weights, seed, **options)
+    return cut_lineage(C.combine(C.balanced_numbered_draws(taxonomy, n, seed), lists, weights, seed, **options))
 
 
 def generation_requests(combos: DataFrame, taxonomy: DataFrame, templates: DataFrame, forced_mode: str | None = None,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions.randomness import cumulative, softmax
 from spanloom.operators import combinations as C
 from spanloom.operators import neighbours as N
 from spanloom.operators import similarity as S
@@ -232,7 +233,39 @@ rows AS (SELECT vec_id, embedding::DOUBLE[] AS e, 'v' || (label * 67 + vec_id //
 SELECT r.vec_id, r.label, round(list_cosine_similarity(r.e, t.e), 9) AS sim FROM rows r LEFT JOIN tax t ON t.name = r.label"""
 
 
+def popularity_softmax(spark, folder):
+    """Share of each name within its category, popular names (low scores) first."""
+    rows = taxonomy(spark, folder).join(popularity(spark, folder), "name")
+    share = C.softmax_column(-F.col("score"), ["category"], 5.0)
+    return rows.select("name", F.round(share, 9).alias("p"))
+
+
+SOFTMAX_SQL = f"""WITH {TAXONOMY_SQL}
+SELECT name, round(exp(-score / 5) / sum(exp(-score / 5)) OVER (PARTITION BY category), 9) AS p FROM tax"""
+
+
+def capped_combos(spark, folder):
+    """At most two members besides the anchor; sizes by uneven weights and a temperature."""
+    tax = taxonomy(spark, folder)
+    draws = C.balanced_numbered_draws(tax, tax.count())
+    made = C.combine(draws, lists(spark, folder), [3.0, 1.0, 1.0, 2.0], temperature_size=0.2, upper_bound=2)
+    return C.size_histogram(made.join(tax.select(F.col("name").alias("anchor"), "category"), "anchor"), by=["category"])
+
+
+def _capped_sql():
+    edges = cumulative(softmax(softmax([3.0, 1.0, 1.0, 2.0]), 0.2))[:-1]
+    u = u_sql(42, "'size'", "draw_id")
+    size = " + ".join(["1"] + [f"({u} >= {e!r}::DOUBLE)::INTEGER" for e in edges])
+    return f"""WITH {neighbours_sql(K, NEAR)},
+draws AS (SELECT row_number() OVER (ORDER BY {u_sql(42, 0, 'name')}, name) - 1 AS draw_id, name AS anchor, category FROM tax),
+near AS (SELECT anchor, count(*) AS n FROM nn GROUP BY anchor)
+SELECT category, (1 + least({size} - 1, 2, coalesce(n, 0)))::INTEGER AS size, count(*) AS combinations
+FROM draws LEFT JOIN near USING (anchor) GROUP BY ALL"""
+
+
 QUERIES = {
+    "popularity_softmax": (popularity_softmax, SOFTMAX_SQL),
+    "capped_combos": (capped_combos, _capped_sql()),
     "knn_topk": (knn_topk, KNN_SQL),
     "knn_per_category": (knn_per_category, KNN_CATEGORY_SQL),
     "balanced_combos": (balanced_combos, f"WITH {COMBOS_SQL}\n{SHOWN_SQL}"),

@@ -11,6 +11,7 @@ from spanloom.operators import embedding as E
 from spanloom.operators import neighbours as N
 from spanloom.operators import requests as R
 from spanloom.operators import splits as P
+from spanloom.session import cut_lineage
 from suite.combos import AVOID_CTE, COMBOS_SQL, combos
 from suite.common import (
     ENTITIES_SQL, MESSAGES_SQL, entities, joined, message_spans, messages, read, taxonomy, u_sql,
@@ -275,7 +276,7 @@ def prompt_requests(spark, folder):
     tax = taxonomy(spark, folder).select(
         "name", "embedding", F.concat(F.lit("also "), "name").alias("alt_labels"),
         F.concat(F.lit("of group "), "category").alias("description"))
-    made = combos(spark, folder)
+    made = cut_lineage(combos(spark, folder))
     full = made.join(N.neighbours_outside(made, tax), "draw_id").join(R.additional_info(made, tax), "draw_id", "left")
     values = R.placeholder_values(
         F.col("members"), F.col("additional"), F.col("avoid"), {"typeOfAdditionalInfo": "Other names"})
@@ -480,7 +481,33 @@ SELECT record_id, unnest(CASE WHEN len(mentions) = 0 THEN [NULL] ELSE mentions E
        CASE WHEN len(mentions) = 0 THEN record_id END AS annotated_sentence FROM msgs"""
 
 
+def random_spans(spark, folder):
+    """One random mention per message; messages without mentions have none."""
+    rows = message_spans(spark, folder)
+    return rows.select("record_id", K.random_span(F.col("spans"), 42, F.col("record_id")).alias("span"))
+
+
+RANDOM_SPAN_SQL = f"""WITH {MESSAGES_SQL}
+SELECT record_id, lower(mentions[floor({u_sql(42, "'span'", 'record_id')} * len(mentions))::INTEGER + 1]) AS span FROM msgs"""
+
+
+def mixed_map_sizes(spark, folder):
+    """Candidates of a record as one map from span to entities, with the map's size."""
+    records = message_spans(spark, folder)
+    vectors = mention_vectors(spark, folder, K.record_spans(records))
+    found = K.select_candidates(records, entities(spark, folder), TOP, "embeddings", span_vectors=vectors)
+    entries = F.transform(F.map_values("candidates"), lambda c: F.size(c))
+    total = F.aggregate(entries, F.lit(0), lambda a, x: a + x)
+    return K.candidate_map(found).select("record_id", F.size("candidates").alias("spans"), total.alias("entities"))
+
+
+MAP_SQL = f"""WITH {MESSAGES_SQL}
+SELECT record_id, count(*)::INTEGER AS spans, ({TOP} * count(*))::INTEGER AS entities FROM spans GROUP BY record_id"""
+
+
 QUERIES = {
+    "random_spans": (random_spans, RANDOM_SPAN_SQL),
+    "candidate_map": (mixed_map_sizes, MAP_SQL),
     "rule_candidates_exact": (rule_candidates_exact, EXACT_SQL),
     "fuzzy_candidates": (fuzzy_candidates, None),
     "vector_candidates": (vector_candidates, VECTOR_SQL),

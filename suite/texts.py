@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spanloom.functions import fuzzy as Z
 from spanloom.functions import text as X
 from spanloom.operators import embedding as E
 from spanloom.operators import fidelity as P
@@ -297,7 +298,30 @@ SELECT record_id, CASE WHEN role <> 'system' THEN array_to_string(list_concat(me
        role = 'system' AS corrupt FROM msgs"""
 
 
+def entity_names(spark, folder):
+    """Name part of "name : definition", with a second separator inside the definition."""
+    text = F.concat("p_name", F.lit(" : "), "p_type", F.lit(" : "), "p_brand")
+    return read(spark, folder, "part").select("p_partkey", X.name_before_definition(text).alias("name"))
+
+
+def distinct_sentences(spark, folder):
+    docs = read(spark, folder, "documents").select("doc_id", F.col("text").alias("sentence"))
+    return T.distinct_sentences(docs, "sentence", ["doc_id"]).select("doc_id", F.length("sentence").alias("characters"))
+
+
+def name_ratios(spark, folder):
+    """Ratio and token-set ratio of a part's brand and type against its name, once per distinct pair."""
+    pair = read(spark, folder, "part").select(F.col("p_name").alias("name"), F.concat_ws(" ", "p_type", "p_brand").alias("other"))
+    return pair.distinct().select("name", "other", Z.ratio_udf("name", "other").alias("ratio"),
+                                  Z.token_set_ratio_udf("name", "other").alias("token_set_ratio"))
+
+
 QUERIES = {
+    "entity_names": (entity_names, "SELECT p_partkey, p_name AS name FROM part"),
+    "distinct_sentences": (
+        distinct_sentences,
+        "SELECT min(doc_id) AS doc_id, length(text)::INTEGER AS characters FROM documents GROUP BY text"),
+    "name_ratios": (name_ratios, None),
     "drop_short": (drop_short, DROP_SHORT_SQL),
     "strip_html": (strip_html, STRIP_HTML_SQL),
     "clean_text": (clean_text, CLEAN_SQL),

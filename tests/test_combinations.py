@@ -205,3 +205,14 @@ def test_overlap_is_found_and_merge_keeps_rows(spark):
     neg = P.relabel(spark.createDataFrame([("n", ["y"])], "sentence string, skills array<string>"))
     merged = P.merge_samples(pos, neg).collect()
     assert {(r.sentence, tuple(r.skills)) for r in merged} == {("p", ("x",)), ("n", ("NO LABEL",))}
+
+
+def test_shuffle_scatters_copies_and_keeps_every_row(spark, monkeypatch):
+    monkeypatch.setattr(O, "COPIES_PER_TASK", 7)
+    df = spark.createDataFrame([("hot", ["x"])] * 60 + [(f"s{i}", ["y"]) for i in range(60)] + [(None, None)], "s string, l array<string>")
+    a = [r.s for r in O.shuffle_rows(df, 1).collect()]
+    assert Counter(a) == Counter(r.s for r in df.collect())
+    assert a == [r.s for r in O.shuffle_rows(df.repartition(13), 1).collect()]
+    assert a != [r.s for r in O.shuffle_rows(df, 2).collect()]
+    places = [i for i, s in enumerate(a) if s == "hot"]
+    assert max(places) - min(places) > 80
