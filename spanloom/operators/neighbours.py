@@ -113,11 +113,14 @@ def search_vectors(
 
 def _sides(left, left_id, left_vector, right, right_id, right_vector, category=None):
     group = F.col(category) if category else F.lit(0)
-    lhs = left.select(F.col(left_id).alias("left_id"), unit(left_vector).alias("left_value"))
-    rhs = right.select(
+    # the null test is on the raw column: it reaches the scan and the norm is computed once
+    lhs = left.where(F.col(left_vector).isNotNull()).select(
+        F.col(left_id).alias("left_id"), unit(left_vector).alias("left_value")
+    )
+    rhs = right.where(F.col(right_vector).isNotNull()).select(
         group.alias("right_group"), F.col(right_id).alias("right_id"), unit(right_vector).alias("right_value")
     )
-    return lhs.where(F.col("left_value").isNotNull()), rhs.where(F.col("right_value").isNotNull())
+    return lhs, rhs
 
 
 def nearest(

@@ -161,3 +161,37 @@ PREDICTIONS_SQL = """preds AS (
          coalesce(list(DISTINCT p_type) FILTER (l_returnflag <> 'R'), []) AS gold,
          coalesce(list(p_type ORDER BY l_linenumber, l_partkey) FILTER (l_linestatus = 'F'), []) AS predicted
   FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_orderkey)"""
+
+
+# ---- string ratios in SQL: longest common subsequence by rows of the usual table ----
+
+def common_sql(a: str, b: str) -> str:
+    row = f"list_concat([[0]], list_transform(range(1, length({a}) + 1), lambda j: [j]))"
+    step = (f"list_concat(acc, [CASE WHEN {a}[j[1]] = {b}[k[1]] THEN r[j[1]] + 1 "
+            f"ELSE greatest(r[j[1] + 1], acc[len(acc)]) END])")
+    start = f"[list_transform(range(0, length({a}) + 1), lambda j: 0)]"
+    return (f"list_reduce(list_concat({start}, list_transform(range(1, length({b}) + 1), lambda k: [k])), "
+            f"lambda r, k: list_reduce({row}, lambda acc, j: {step}))[length({a}) + 1]")
+
+
+def ratio_sql(a: str, b: str) -> str:
+    # halves go to the even neighbour, as in Python
+    return (f"(CASE WHEN {a} = {b} THEN 100 ELSE round_even(100 * (2 * {common_sql(a, b)} / "
+            f"(length({a}) + length({b}))::DOUBLE), 0) END)::INTEGER")
+
+
+def token_set_sql(pairs: str, a: str, b: str, name: str) -> str:
+    """CTEs that end in ``name``: the columns of ``pairs`` with ``score``, the token-set ratio of a and b."""
+    tokens = lambda c: (f"list_sort(list_distinct(list_filter(string_split(lower(regexp_replace(regexp_replace({c}, "
+                        r"'[^\x00-\x7F]', '', 'g'), '[^A-Za-z0-9_]', ' ', 'g')), ' '), lambda t: t <> '')))")
+    return f"""{name}_t AS (SELECT *, {tokens(a)} AS ta, {tokens(b)} AS tb FROM {pairs}),
+{name}_s AS (
+  SELECT *, array_to_string(list_filter(ta, lambda t: list_contains(tb, t)), ' ') AS ts,
+         array_to_string(list_filter(ta, lambda t: NOT list_contains(tb, t)), ' ') AS da,
+         array_to_string(list_filter(tb, lambda t: NOT list_contains(ta, t)), ' ') AS db FROM {name}_t),
+{name}_c AS (SELECT *, trim(ts || ' ' || da) AS ca, trim(ts || ' ' || db) AS cb FROM {name}_s),
+{name} AS (
+  SELECT *, CASE WHEN len(ta) = 0 OR len(tb) = 0 THEN 0
+                 WHEN ts = '' THEN {ratio_sql('ca', 'cb')}
+                 ELSE greatest({ratio_sql('ca', 'cb')}, {ratio_sql('ts', 'ca')}, {ratio_sql('ts', 'cb')}) END AS score
+  FROM {name}_c)"""

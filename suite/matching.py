@@ -14,7 +14,7 @@ from spanloom.operators import splits as P
 from spanloom.session import cut_lineage
 from suite.combos import AVOID_CTE, COMBOS_SQL, combos
 from suite.common import (
-    ENTITIES_SQL, MESSAGES_SQL, entities, joined, message_spans, messages, read, taxonomy, u_sql,
+    ENTITIES_SQL, MESSAGES_SQL, entities, joined, message_spans, messages, read, taxonomy, token_set_sql, u_sql,
 )
 
 TOP = 5
@@ -505,14 +505,72 @@ MAP_SQL = f"""WITH {MESSAGES_SQL}
 SELECT record_id, count(*)::INTEGER AS spans, ({TOP} * count(*))::INTEGER AS entities FROM spans GROUP BY record_id"""
 
 
+FUZZY_SQL = f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL},
+rest AS (
+  SELECT DISTINCT span FROM spans WHERE NOT EXISTS (SELECT 1 FROM ents WHERE contains(lower(name_definition), span))),
+names AS (SELECT DISTINCT p_name AS name FROM part),
+pairs AS (SELECT span, name FROM rest, names),
+{token_set_sql('pairs', 'span', 'name', 'scored')}
+SELECT span, p_partkey AS unique_id, score::INTEGER AS score FROM scored JOIN part ON p_name = name
+QUALIFY row_number() OVER (PARTITION BY span ORDER BY score DESC, p_partkey) <= {TOP}"""
+
+
+def known_mixed_candidates(spark, folder):
+    """Passages and their own capitalised words: each word has an exact match, vectors add others."""
+    rows = read(spark, folder, "benchmark").select(
+        F.col("item_id").alias("record_id"),
+        F.transform(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{4,}"), 0), F.lower).alias("spans"))
+    vectors = mention_vectors(spark, folder, K.record_spans(rows))
+    found = K.select_candidates(rows, entities(spark, folder), TOP, "mixed", span_vectors=vectors)
+    return found.select("record_id", "span", "unique_id", "level2", "name", joined("methods").alias("methods"))
+
+
+KNOWN_MIXED_SQL = rf"""WITH {ENTITIES_SQL},
+spans AS (
+  SELECT DISTINCT item_id AS record_id, lower(w) AS span
+  FROM (SELECT item_id, unnest(regexp_extract_all(text, '\b[A-Z][a-z]{{4,}}')) AS w FROM benchmark)),
+words AS (SELECT DISTINCT span FROM spans),
+exact AS (
+  SELECT span, unique_id, 'exact' AS method FROM words JOIN ents ON contains(lower(name_definition), span)
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY {u_sql(42, 'span', 'unique_id')}, unique_id) <= {TOP}),
+pointed AS (SELECT span, floor({u_sql("'vector'", 'span')} * (SELECT count(*) FROM embeddings))::BIGINT AS vec_id FROM words),
+near AS (
+  SELECT span, unique_id, 'vector' AS method FROM (
+    SELECT p.span, n.unique_id, round(list_cosine_similarity(v.embedding::DOUBLE[], n.e), 9) AS sim
+    FROM pointed p JOIN embeddings v USING (vec_id), ents n)
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY sim DESC, unique_id) <= {TOP}),
+found AS (SELECT * FROM exact UNION ALL SELECT * FROM near)
+SELECT record_id, span, unique_id, any_value(level2) AS level2, any_value(name) AS name, string_agg(method, '|' ORDER BY method) AS methods
+FROM spans JOIN found USING (span) JOIN ents USING (unique_id) GROUP BY record_id, span, unique_id"""
+
+
+MIXED_SQL = f"""WITH {EXACT_CTE},
+words AS (SELECT DISTINCT span FROM spans),
+pairs AS (SELECT span, name FROM words, (SELECT DISTINCT name FROM ents) WHERE span NOT IN (SELECT span FROM exact)),
+{token_set_sql('pairs', 'span', 'name', 'scored')},
+fuzzy AS (
+  SELECT span, unique_id FROM scored JOIN ents USING (name)
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY score DESC, unique_id) <= {TOP}),
+pointed AS (SELECT span, floor({u_sql("'vector'", 'span')} * (SELECT count(*) FROM embeddings))::BIGINT AS vec_id FROM words),
+near AS (
+  SELECT span, unique_id FROM (
+    SELECT p.span, n.unique_id, round(list_cosine_similarity(v.embedding::DOUBLE[], n.e), 9) AS sim
+    FROM pointed p JOIN embeddings v USING (vec_id), ents n)
+  QUALIFY row_number() OVER (PARTITION BY span ORDER BY sim DESC, unique_id) <= {TOP}),
+found AS (SELECT *, 'exact' AS method FROM exact UNION ALL SELECT *, 'fuzzy' FROM fuzzy UNION ALL SELECT *, 'vector' FROM near),
+each_span AS (SELECT span, unique_id, string_agg(method, '|' ORDER BY method) AS methods FROM found GROUP BY ALL)
+SELECT record_id, span, unique_id, level2, name, methods FROM spans JOIN each_span USING (span) JOIN ents USING (unique_id)"""
+
+
 QUERIES = {
+    "known_mixed_candidates": (known_mixed_candidates, KNOWN_MIXED_SQL),
     "random_spans": (random_spans, RANDOM_SPAN_SQL),
     "candidate_map": (mixed_map_sizes, MAP_SQL),
     "rule_candidates_exact": (rule_candidates_exact, EXACT_SQL),
-    "fuzzy_candidates": (fuzzy_candidates, None),
+    "fuzzy_candidates": (fuzzy_candidates, FUZZY_SQL),
     "vector_candidates": (vector_candidates, VECTOR_SQL),
     "vector_method_candidates": (vector_method_candidates, VECTOR_METHOD_SQL),
-    "mixed_candidates": (mixed_candidates, None),
+    "mixed_candidates": (mixed_candidates, MIXED_SQL),
     "gold_in_candidates": (gold_in_candidates, GOLD_SQL),
     "few_shot_knn": (few_shot_knn, FEW_SHOT_SQL),
     "few_shot_random": (few_shot_random, FEW_RANDOM_SQL),

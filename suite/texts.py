@@ -10,7 +10,7 @@ from spanloom.operators import embedding as E
 from spanloom.operators import fidelity as P
 from spanloom.operators import tagging as G
 from spanloom.operators import taxonomy as T
-from suite.common import MESSAGES_SQL, joined, messages, read, texts
+from suite.common import MESSAGES_SQL, joined, messages, ratio_sql, read, texts, token_set_sql
 
 # RE2 classes that match what the Unicode-aware patterns match in Spark
 W = r"[\p{L}\p{M}\p{Nd}\p{Pc}]"
@@ -316,12 +316,17 @@ def name_ratios(spark, folder):
                                   Z.token_set_ratio_udf("name", "other").alias("token_set_ratio"))
 
 
+NAME_RATIOS_SQL = f"""WITH pairs AS (SELECT DISTINCT p_name AS name, p_type || ' ' || p_brand AS other FROM part),
+{token_set_sql('pairs', 'name', 'other', 'scored')}
+SELECT name, other, {ratio_sql('name', 'other')} AS ratio, score::INTEGER AS token_set_ratio FROM scored"""
+
+
 QUERIES = {
     "entity_names": (entity_names, "SELECT p_partkey, p_name AS name FROM part"),
     "distinct_sentences": (
         distinct_sentences,
         "SELECT min(doc_id) AS doc_id, length(text)::INTEGER AS characters FROM documents GROUP BY text"),
-    "name_ratios": (name_ratios, None),
+    "name_ratios": (name_ratios, NAME_RATIOS_SQL),
     "drop_short": (drop_short, DROP_SHORT_SQL),
     "strip_html": (strip_html, STRIP_HTML_SQL),
     "clean_text": (clean_text, CLEAN_SQL),
