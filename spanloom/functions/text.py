@@ -21,6 +21,14 @@ TAGS_PER_STOP = 10
 LONG_SKILL_WORDS = 10
 
 
+# Price per input and output token of the known models.
+MODEL_PRICES = {
+    "gpt-3.5-turbo": (0.0000015, 0.000002),
+    "gpt-4": (0.00003, 0.00006),
+    "text-davinci-003": (0.00002, 0.00002),
+}
+
+
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -145,8 +153,9 @@ def parse_levels(text) -> Column:
     return F.coalesce(aligned, F.array().cast("array<struct<skill:string,level:string>>"))
 
 
-def token_cost(model: Column, input_tokens: Column, output_tokens: Column, prices: dict) -> Column:
-    """Cost of a request; ``prices`` maps model to (input, output) price per token."""
+def token_cost(model: Column, input_tokens: Column, output_tokens: Column,
+               prices: dict[str, tuple[float, float]] = MODEL_PRICES) -> Column:
+    """Cost of a request; ``prices`` maps model to (input, output) price per token, other models give null."""
     cost = F.lit(None).cast("double")
     for name, (price_in, price_out) in prices.items():
         cost = F.when(model == name, input_tokens * F.lit(price_in) + output_tokens * F.lit(price_out)).otherwise(cost)

@@ -28,6 +28,10 @@ NEGATIVES_PER_REQUEST = 20
 OPTION_COUNT = 26
 EXTRACTION_SHOTS = 6
 
+# Layout of an additional-information line and of a multiple-choice question.
+ADDITIONAL_LINE = "%s) %s : can also be referred as : %s and described as : %s."
+CHOICE_LAYOUT = "Sentence: %s \nSkill: %s \nOptions: %s"
+
 AVOID_INTRODUCTION = "Do not use any of these terms in the text : "
 
 
@@ -95,9 +99,8 @@ def additional_info(combos: DataFrame, taxonomy: DataFrame, combo_id: str = "dra
     exploded = combos.select(combo_id, F.posexplode(members).alias("i", "name"))
     told = exploded.join(taxonomy.select("name", "alt_labels", "description"), "name").select(
         combo_id, "i",
-        F.concat((F.col("i") + 1).cast("string"), F.lit(") "), "name", F.lit(" : can also be referred as : "),
-                 F.coalesce("alt_labels", F.lit("")), F.lit(" and described as : "),
-                 F.coalesce("description", F.lit("")), F.lit(".")).alias("line"),
+        F.format_string(ADDITIONAL_LINE, (F.col("i") + 1).cast("string"), "name", F.coalesce("alt_labels", F.lit("")),
+                        F.coalesce("description", F.lit(""))).alias("line"),
     )
     lines = F.array_sort(F.collect_list(F.struct("i", "line")))
     return told.groupBy(combo_id).agg(lines.alias("lines")).select(
@@ -152,8 +155,7 @@ def option_lines(options: Column) -> Column:
 
 
 def choice_question(sentence: Column, span: Column, options: Column) -> Column:
-    return F.concat(F.lit("Sentence: "), sentence, F.lit(" \nSkill: "), span, F.lit(" \nOptions: "),
-                    F.array_join(option_lines(options), " \n"))
+    return F.format_string(CHOICE_LAYOUT, sentence, span, F.array_join(option_lines(options), " \n"))
 
 
 def chosen_option(answer: Column, options: Column) -> Column:
