@@ -76,6 +76,7 @@ class RightSide:
         rows = rows.sort_values(["right_group", "right_id"], kind="stable").reset_index(drop=True)
         self.ids = rows["right_id"].to_numpy()
         groups = rows["right_group"].to_numpy()
+        self.group_type = groups.dtype
         starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
         self.slices = [(groups[a], a, b) for a, b in zip(starts, [*starts[1:], len(groups)])]
         self.data = prepare(rows["right_value"])
@@ -87,6 +88,7 @@ def search(left: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor,
         part = left.iloc[start:start + left_rows]
         scores = kernel(part["left_value"], right.data)
         left_ids = part["left_id"].to_numpy()
+        found_in = []
         for group, a, b in right.slices:
             blocked = np.zeros((len(part), b - a), dtype=bool)
             if skip_same:
@@ -96,11 +98,12 @@ def search(left: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor,
                 blocked[hit, at[hit]] = True
             columns, values, found = best_columns(scores[:, a:b], blocked, k, floor)
             row, place = np.nonzero(found)
+            found_in.append((row, np.full(len(row), group, dtype=right.group_type), a + columns[row, place],
+                             values[row, place], place))
+        if found_in:
+            row, group, column, value, place = (np.concatenate(x) for x in zip(*found_in))
             yield pd.DataFrame({
-                "left_id": left_ids[row],
-                "right_group": group,
-                "right_id": right.ids[a:b][columns[row, place]],
-                "score": values[row, place],
+                "left_id": left_ids[row], "right_group": group, "right_id": right.ids[column], "score": value,
                 "rank": (place + 1).astype("int32"),
             })
 
@@ -163,7 +166,8 @@ def best_matches(
         if len(left_rows) == 0 or len(right_rows) == 0:
             return nothing(left_rows, right_rows)
         side = RightSide(right_rows, prepare)
-        return pd.concat(search(left_rows, side, kernel, k, floor, skip_same), ignore_index=True)
+        found = list(search(left_rows, side, kernel, k, floor, skip_same))
+        return pd.concat(found, ignore_index=True) if found else nothing(left_rows, right_rows)
 
     met = (
         left_part.groupBy("block", "chunk")

@@ -120,9 +120,13 @@ def select_candidates(
         branches.append(near.select(
             parts[0].cast(kind).alias(record), parts[1].alias("span"), "unique_id", F.lit("vector").alias("method")
         ))
-    found = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    # a candidate has at most two methods
-    merged = found.groupBy(record, "span", "unique_id").agg(F.sort_array(F.collect_set("method")).alias("methods"))
+    if len(branches) == 1:
+        # one method: nothing to merge, and a hot span's rows may stay split over tasks
+        merged = branches[0].select(record, "span", "unique_id", F.array("method").alias("methods"))
+    else:
+        # a candidate has at most two methods
+        merged = branches[0].unionByName(branches[1]).groupBy(record, "span", "unique_id").agg(
+            F.sort_array(F.collect_set("method")).alias("methods"))
     return merged.join(taxonomy.select(*CANDIDATE_COLUMNS), "unique_id").select(
         record, "span", *CANDIDATE_COLUMNS, "methods"
     )

@@ -153,11 +153,13 @@ def threshold_scores(logits, threshold: float = SCORE_THRESHOLD) -> Column:
     return F.transform(logits, lambda x: F.when(sigmoid(x) >= threshold, 1.0).otherwise(0.0))
 
 
-def labels_of(vector, space: list[str]) -> Column:
-    """Labels whose entry is 1, for a label list in id order."""
-    names = F.array(*[F.lit(s) for s in space])
-    picked = F.transform(vector, lambda v, i: F.when(v == 1.0, F.get(names, i)))
-    return F.array_compact(picked)
+def labels_of(df: DataFrame, space: DataFrame, key: str, vector: str, output: str = "labels") -> DataFrame:
+    """(key, labels): names of the entries that are 1, in id order; none gives an empty list."""
+    ids = F.filter(F.transform(vector, lambda v, i: F.when(v == 1.0, i.cast("bigint"))), lambda i: i.isNotNull())
+    named = df.select(key, F.explode_outer(ids).alias("label_id")).join(space, "label_id", "left")
+    entry = F.when(F.col("label").isNotNull(), F.struct("label_id", "label"))
+    listed = named.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("l"))
+    return listed.select(key, F.transform("l", lambda e: e["label"]).alias(output))
 
 
 def area_under_curve(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:

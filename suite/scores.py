@@ -163,10 +163,9 @@ SELECT (SELECT round(2.0::DOUBLE * sum(p * t) / (sum(p) + sum(t)), 9) FROM decid
 
 
 def score_predictions(spark, folder):
-    rows = labelled(spark, folder)
-    names = [r["label"] for r in M.label_space(rows).orderBy("label_id").collect()]
-    hot = scored(spark, folder)
-    return hot.select("doc_id", joined(M.labels_of(M.threshold_scores("logits"), names)).alias("predicted"))
+    hot = scored(spark, folder).withColumn("hot", M.threshold_scores("logits"))
+    named = M.labels_of(hot, M.label_space(labelled(spark, folder)), "doc_id", "hot")
+    return named.select("doc_id", joined("labels").alias("predicted"))
 
 
 SCORE_SQL = f"""WITH {SCORED_CTE}

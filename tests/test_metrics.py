@@ -94,10 +94,11 @@ def test_multilabel_metrics(spark):
 
 
 def test_threshold_and_names(spark):
-    df = spark.createDataFrame([([-1.8, -1.7, 5.0],)], "l array<double>")
-    hot = M.threshold_scores("l")
-    assert df.select(hot.alias("x")).first().x == [0.0, 1.0, 1.0]
-    assert df.select(M.labels_of(hot, ["a", "b", "c"]).alias("x")).first().x == ["b", "c"]
+    df = spark.createDataFrame([(1, [-1.8, -1.7, 5.0]), (2, [-9.0, -9.0, -9.0])], "id long, l array<double>")
+    hot = df.withColumn("hot", M.threshold_scores("l"))
+    assert [r.hot for r in hot.orderBy("id").collect()] == [[0.0, 1.0, 1.0], [0.0, 0.0, 0.0]]
+    space = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "label string, label_id long")
+    assert {r.id: r.labels for r in M.labels_of(hot, space, "id", "hot").collect()} == {1: ["b", "c"], 2: []}
 
 
 def test_reciprocal_rank(spark):
