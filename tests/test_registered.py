@@ -19,3 +19,10 @@ def test_query_without_sql_gives_rows(spark, name):
 
 def test_entry(spark):
     assert entries.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["balanced_combos", "stochastic_combos", "diverse_combos", "rule_candidates_exact", "few_shot_random",
+                                  "category_affinity", "span_mean_vectors", "bigram_perplexity", "multilabel_metrics", "keyword_tag"])
+def test_plans_have_no_product_of_tables(spark, name):
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
