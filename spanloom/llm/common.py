@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +27,15 @@ def remainder(key, modulus: int) -> Column:
     return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % modulus
 
 
+def shipped(spark: SparkSession, value):
+    """Broadcast of a value together with the code of its class; :func:`opened` gives it back in a task."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(box):
+    return pickle.loads(box.value)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all else as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -6,8 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import kdtree, mixing, warc, wumanber
-from spanloom.llm.common import read
+from spanloom.llm import bitslice, kdtree, mixing, ppm, quality, warc, wumanber
+from spanloom.llm.common import read, remainder
 from spanloom.session import cut_lineage, shared_folder
 
 LOWER_SQL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -48,6 +48,28 @@ SELECT doc_id, size, source_size, target, sum(CASE WHEN upto <= budget THEN size
 FROM played GROUP BY ALL"""
 
 
+def op2_bit_slices(spark, folder):
+    index = bitslice.written_index(read(spark, folder, "embeddings"), "vec_id", "embedding")
+    return bitslice.top_k(index, index.where("key % 50 = 0"), 5)
+
+
+OP2_SQL = """WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS code FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.code, c.code)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM s QUALIFY rank <= 5"""
+
+
+def op4_quality(spark, folder):
+    stats = cut_lineage(quality.measured(read(spark, folder, "documents"), "doc_id", "text"), "statistics")
+    labels = read(spark, folder, "labels").where(~quality.held_out("doc_id"))
+    scored = quality.score(stats, quality.fit(stats, labels, "doc_id", "quality"), "doc_id")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op5_warc_segments(spark, folder):
     """Write the archives, then read every record back."""
     pages = read(spark, folder, "pages")
@@ -97,6 +119,14 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
 
+def op8_ppm_language(spark, folder):
+    docs = read(spark, folder, "documents")
+    held = remainder("doc_id", 4) == 2
+    model = ppm.train(docs.where(~held), "text", "lang", "doc_id")
+    found = ppm.predict(docs.select("doc_id", "text"), model, "text", keep=["doc_id"]).select("row.doc_id", "lang_pred", "score")
+    return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op9_kd_shards(spark, folder):
     shards = kdtree.kd_shards(read(spark, folder, "documents"), "doc_id", "text", ["lang", "source"], shards=8)
     return shards.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -105,7 +135,10 @@ def op9_kd_shards(spark, folder):
 
 QUERIES = {
     "op1_fair_mix": (op1_fair_mix, OP1_SQL),
+    "op2_bit_slices": (op2_bit_slices, OP2_SQL),
+    "op4_quality": (op4_quality, None),
     "op5_warc_segments": (op5_warc_segments, OP5_SQL),
     "op7_wu_manber": (op7_wu_manber, OP7_SQL),
+    "op8_ppm_language": (op8_ppm_language, None),
     "op9_kd_shards": (op9_kd_shards, None),
 }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import utf8
+from spanloom.llm.common import opened, shipped, utf8
 from spanloom.session import cut_lineage
 
 #: Benchmark text searched for in one pass; a larger benchmark takes more passes.
@@ -98,7 +98,7 @@ def merged(spans) -> list[tuple[int, int]]:
 
 def _scan(patterns):
     def run(batches):
-        built, table = patterns.value.tables(), _word_bytes()
+        built, table = opened(patterns).tables(), _word_bytes()
         for batch in batches:
             counts, all_spans, all_items = [], [], []
             for text, old, known in zip(batch["text"], batch["spans"].to_pylist(), batch["items"].to_pylist(), strict=True):
@@ -137,7 +137,7 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, text: str = "text", it
     for k in range(passes):
         # about PASS_BYTES of items, sent to every worker
         part = given.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k).collect()
-        patterns = spark.sparkContext.broadcast(Patterns([(r["item"], bytes(r["body"])) for r in part], window))
+        patterns = shipped(spark, Patterns([(r["item"], bytes(r["body"])) for r in part], window))
         rows = rows.mapInArrow(_scan(patterns), schema)
         if k % PASSES_PER_STAGE == PASSES_PER_STAGE - 1 and k + 1 < passes:
             rows = cut_lineage(rows, "hits")
