@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import bitslice, kdtree, mixing, ppm, quality, warc, wumanber
+from spanloom.llm import automata, backoff, bitslice, kdtree, mixing, ppm, quality, warc, wumanber
 from spanloom.llm.common import read, remainder
 from spanloom.session import cut_lineage, shared_folder
 
@@ -89,6 +89,37 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f"""
 
 
+def crc_sql(key: str) -> str:
+    """crc32 of a decimal number as text, in SQL: eight shift-and-xor steps for each character."""
+    step = "CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END"
+    byte = f"list_reduce(list_concat([xor(c, ch)], list_resize([0::BIGINT], 8, 0)), lambda x, i: {step})"
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({key}::VARCHAR, ''), "
+            f"lambda t: ascii(t)::BIGINT)), lambda c, ch: {byte}), 4294967295)")
+
+
+def op6_backoff_automaton(spark, folder):
+    held = remainder("doc_id", 5) == 1
+    scored = backoff.score(read(spark, folder, "documents"), "doc_id", "text", held)
+    # sums of logarithms in any order agree to the sixth decimal
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         F.round("base_score", 6).alias("base_score"), F.round("score", 6).alias("score"))
+
+
+OP6_SQL = rf"""WITH d AS (
+  SELECT doc_id, {crc_sql('doc_id')} % 5 = 1 AS held_out,
+         list_concat(['END '], coalesce(regexp_extract_all({LOWER_SQL}, '[^\x20\x09-\x0D]+'), []), ['END ']) AS t FROM documents),
+steps AS (SELECT doc_id, held_out, t[i] AS u, t[i + 1] AS v FROM (SELECT *, unnest(range(1, len(t))) AS i FROM d)),
+words AS (SELECT v, count(*) FILTER (NOT held_out) AS c FROM steps GROUP BY v),
+pairs AS (SELECT u, v, count(*) FILTER (NOT held_out) AS c FROM steps GROUP BY u, v),
+sums AS (SELECT sum(c)::BIGINT AS n, count(*) FILTER (c > 0) AS k FROM words)
+SELECT s.doc_id, s.held_out, count(*) AS n_tokens, count(*) FILTER (w.c > 0) AS n_known, any_value(n) AS train_tokens,
+       round(sum(log10((w.c + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (k + 1)))), 6) AS base_score,
+       round(sum(log10((p.c + {backoff.STRENGTH}::DOUBLE * ((w.c + 0.5::DOUBLE) / (n + 0.5::DOUBLE * (k + 1))))
+                       / (h.c + {backoff.STRENGTH}::DOUBLE))), 6) AS score
+FROM steps s JOIN words w ON w.v = s.v JOIN words h ON h.v = s.u JOIN pairs p ON p.u = s.u AND p.v = s.v, sums
+GROUP BY s.doc_id, s.held_out"""
+
+
 def op7_wu_manber(spark, folder):
     found = wumanber.contaminated_spans(read(spark, folder, "documents").select("doc_id", "text"), read(spark, folder, "benchmark"))
     hits = wumanber.hit_words(F.col("spans"))
@@ -133,12 +164,33 @@ def op9_kd_shards(spark, folder):
                          F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_suffix_automata(spark, folder):
+    done = automata.remove_repeats(read(spark, folder, "documents"), "doc_id", "text")
+    return done.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+OP10_SQL = r"""WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+places AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS gram
+  FROM (SELECT *, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+later AS (SELECT doc_id, s FROM places QUALIFY row_number() OVER (PARTITION BY gram ORDER BY doc_id, s) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos FROM later),
+numbers AS (SELECT doc_id, count(*) AS n_removed FROM gone GROUP BY doc_id),
+words AS (SELECT doc_id, w[i] AS word, i AS pos FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM d)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN numbers USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 QUERIES = {
     "op1_fair_mix": (op1_fair_mix, OP1_SQL),
     "op2_bit_slices": (op2_bit_slices, OP2_SQL),
     "op4_quality": (op4_quality, None),
     "op5_warc_segments": (op5_warc_segments, OP5_SQL),
+    "op6_backoff_automaton": (op6_backoff_automaton, OP6_SQL),
     "op7_wu_manber": (op7_wu_manber, OP7_SQL),
     "op8_ppm_language": (op8_ppm_language, None),
     "op9_kd_shards": (op9_kd_shards, None),
+    "op10_suffix_automata": (op10_suffix_automata, OP10_SQL),
 }
