@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import automata, backoff, bitslice, kdtree, mixing, ppm, quality, warc, wumanber
+from spanloom.llm import automata, backoff, bitslice, kdtree, mixing, order_minhash, ppm, quality, warc, wumanber
 from spanloom.llm.common import read, remainder
 from spanloom.session import cut_lineage, shared_folder
 
@@ -63,6 +63,10 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM s QUALIFY rank <= 5"""
 
 
+def op3_order_minhash(spark, folder):
+    return order_minhash.near_classes(read(spark, folder, "documents"), "doc_id", "text")
+
+
 def op4_quality(spark, folder):
     stats = cut_lineage(quality.measured(read(spark, folder, "documents"), "doc_id", "text"), "statistics")
     labels = read(spark, folder, "labels").where(~quality.held_out("doc_id"))
@@ -186,6 +190,7 @@ FROM d LEFT JOIN numbers USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 QUERIES = {
     "op1_fair_mix": (op1_fair_mix, OP1_SQL),
     "op2_bit_slices": (op2_bit_slices, OP2_SQL),
+    "op3_order_minhash": (op3_order_minhash, None),
     "op4_quality": (op4_quality, None),
     "op5_warc_segments": (op5_warc_segments, OP5_SQL),
     "op6_backoff_automaton": (op6_backoff_automaton, OP6_SQL),
