@@ -11,7 +11,7 @@ columns have a defined result; see the stages.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import kdtree, mixing, order_minhash, ppm, wumanber
@@ -24,10 +24,14 @@ SHARD_BYTES = 64 << 20
 KEY = "__pipeline_key"
 
 
-def row_key() -> Column:
-    """Text that sorts as doc_id does, null last, with the text's hash: rows that agree in it are the same document."""
-    number = F.coalesce(F.format_string("%020d", F.col("doc_id").cast("bigint")), F.lit("~"))
-    return F.concat(number, F.lit(":"), F.hex(F.xxhash64("text")))
+def with_key(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns) and a key: text that sorts as doc_id does, null last, with the text's hash.
+
+    Rows that agree in it are the same document.
+    """
+    number = F.when(F.col("doc_id").isNull(), F.lit("~")).otherwise(F.format_string("%020d", F.col("doc_id").cast("bigint")))
+    key = F.concat(number, F.lit(":"), F.hex(F.xxhash64("text")))
+    return docs.select(key.alias(KEY), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,10 +49,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null texts are classes of their own, empty ones are copies; of repeated rows one stays.
     """
-    keyed = docs.withColumn(KEY, row_key())
-    classes = order_minhash.near_classes(keyed, KEY, "text")
+    keyed = with_key(docs)
+    classes = order_minhash.near_classes(keyed.select(KEY, "row.text"), KEY, "text")
     stays = classes.where(F.col(KEY) == F.col("class_id")).select(KEY).distinct()
-    return keyed.join(stays, KEY, "left_semi").dropDuplicates([KEY]).select(docs.columns)
+    return keyed.join(stays, KEY, "left_semi").dropDuplicates([KEY]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,11 +63,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it, twice at most; documents without words are never taken."""
-    keyed = docs.withColumn(KEY, row_key())
-    taken = mixing.mix(keyed, KEY, "text", "source").where("taken > 0").groupBy(KEY).agg(
-        F.sum(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    return keyed.dropDuplicates([KEY]).join(taken, KEY).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    keyed = with_key(docs)
+    taken = mixing.mix(keyed.select(KEY, "row.text", "row.source"), KEY, "text", "source").where("taken > 0").groupBy(KEY).agg(
+        F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    again = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return keyed.dropDuplicates([KEY]).join(taken, KEY).withColumn("copy", again).select("row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
