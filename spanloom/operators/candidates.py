@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from spanloom.functions.fuzzy import NameIndex, token_set_kernel
 from spanloom.functions.randomness import unit_random
 from spanloom.operators.blocks import best_matches
 from spanloom.operators.neighbours import nearest_entities
-from spanloom.operators.ordering import random_k, shuffled_positions, top_k
+from spanloom.operators.ordering import shuffled_positions, top_k
+from spanloom.operators.requests import OPTION_COUNT
 from spanloom.operators.taxonomy import distinct_sentences
 
 GRAM = 3
@@ -31,29 +33,31 @@ def containing_entities(spans: DataFrame, taxonomy: DataFrame, span: str = "span
 
     Instead of comparing each span with each text, a span is looked up by its
     rarest three-letter piece in an index of the texts' pieces, and only those
-    texts are searched. Shorter spans are looked up whole.
+    texts are searched. Spans of one and two letters are looked up whole; only
+    pieces that some span has enter the index. The empty span is in every text.
     """
     texts = taxonomy.select(F.col(entity).alias("entity"), F.lower(text).alias("text")).where("text is not null")
-    pieces = F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])
-    index = texts.select("entity", F.explode(pieces).alias("gram"))
-    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     looked_up = spans.select(F.col(span).alias("span")).distinct().withColumn("low", F.lower("span"))
-    width = F.least(F.length("low"), F.lit(GRAM))
-    wanted = F.when(F.length("low") == 0, F.array(F.lit(""))).otherwise(_grams(F.col("low"), width))
+    pieces = looked_up.where("low <> ''").select(
+        "span", "low", F.explode(_grams(F.col("low"), F.least(F.length("low"), F.lit(GRAM)))).alias("gram"))
+    wanted = pieces.select("gram").distinct()
+    index = None
+    for width in range(1, GRAM + 1):
+        some = texts.select("entity", F.explode(_grams(F.col("text"), width)).alias("gram")).join(
+            wanted.where(F.length("gram") == width), "gram", "left_semi")
+        index = some if index is None else index.unionByName(some)
+    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = (
-        looked_up.select("span", "low", F.explode(wanted).alias("gram"))
-        .join(frequency, "gram", "left")
+        pieces.join(frequency, "gram", "left")
         .groupBy("span", "low")
         .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rare"))
         .where("rare.n > 0")
         .select("span", "low", F.col("rare.gram").alias("gram"))
     )
-    return (
-        rarest.join(index, "gram")
-        .join(texts, "entity")
-        .where(F.contains("text", "low"))
-        .select(F.col("span").alias(span), F.col("entity").alias(entity))
-    )
+    found = rarest.join(index, "gram").join(texts, "entity").where(F.contains("text", "low"))
+    everywhere = texts.withColumn("low", F.lit("")).join(looked_up.where("low = ''"), "low")
+    columns = [F.col("span").alias(span), F.col("entity").alias(entity)]
+    return found.select(*columns).unionByName(everywhere.select(*columns))
 
 
 def fuzzy_entities(spans: DataFrame, taxonomy: DataFrame, k: int, span: str = "span", entity: str = "unique_id",
@@ -78,13 +82,14 @@ def fuzzy_entities(spans: DataFrame, taxonomy: DataFrame, k: int, span: str = "s
 
 def rule_entities(spans: DataFrame, taxonomy: DataFrame, k: int, seed=42, span: str = "span",
                   entity: str = "unique_id", **sizes) -> DataFrame:
-    """(span, entity, match_type): exact matches, at most a random k; else the k best fuzzy ones."""
+    """(span, entity, match_type, rank): exact matches, at most a random k; else the k best fuzzy ones."""
     distinct = spans.select(span).distinct()
-    exact = random_k(containing_entities(distinct, taxonomy, span, entity), [span], k, seed, [span, entity])
+    u = unit_random(seed, F.col(span), F.col(entity))
+    exact = top_k(containing_entities(distinct, taxonomy, span, entity).withColumn("__u", u), [span], ["__u", span, entity], k)
     rest = distinct.join(exact.select(span).distinct(), span, "left_anti")
-    fuzzy = fuzzy_entities(rest, taxonomy, k, span, entity, **sizes)
-    return exact.select(span, entity, F.lit("exact").alias("match_type")).unionByName(
-        fuzzy.select(span, entity, F.lit("fuzzy").alias("match_type"))
+    fuzzy = top_k(fuzzy_entities(rest, taxonomy, k, span, entity, **sizes), [span], [F.desc("score"), entity], k)
+    return exact.select(span, entity, F.lit("exact").alias("match_type"), "rank").unionByName(
+        fuzzy.select(span, entity, F.lit("fuzzy").alias("match_type"), "rank")
     )
 
 
@@ -97,10 +102,12 @@ def select_candidates(
     records: DataFrame, taxonomy: DataFrame, k: int = 10, method: str = "rules", record: str = "record_id",
     spans: str = "spans", span_vectors: DataFrame | None = None, seed=42, **sizes,
 ) -> DataFrame:
-    """(record, span, candidate columns, methods) by rules, by vectors, or both without repeats.
+    """(record, span, candidate columns, methods, rank) by rules, by vectors, or both without repeats.
 
-    ``span_vectors`` has (record, span, embedding). Rules depend on the span
-    text alone, so they run once per distinct span.
+    ``span_vectors`` has (record, span, embedding); a span without a vector has
+    no candidates by vectors. Rules depend on the span text alone, so they run
+    once per distinct span. ``rank`` orders a span's candidates from 1, those by
+    rules first.
     """
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
@@ -108,7 +115,7 @@ def select_candidates(
     branches = []
     if method != "embeddings":
         by_rule = rule_entities(wanted, taxonomy, k, seed, **sizes)
-        branches.append(wanted.join(by_rule, "span").select(record, "span", "unique_id", F.col("match_type").alias("method")))
+        branches.append(wanted.join(by_rule, "span").select(record, "span", "unique_id", F.col("match_type").alias("method"), "rank"))
     if method != "rules":
         if span_vectors is None:
             raise ValueError("span_vectors are needed for this method")
@@ -118,17 +125,21 @@ def select_candidates(
         parts = F.split("key", KEY_MARK, 2)
         kind = records.schema[record].dataType
         branches.append(near.select(
-            parts[0].cast(kind).alias(record), parts[1].alias("span"), "unique_id", F.lit("vector").alias("method")
+            parts[0].cast(kind).alias(record), parts[1].alias("span"), "unique_id", F.lit("vector").alias("method"), "rank"
         ))
     if len(branches) == 1:
         # one method: nothing to merge, and a hot span's rows may stay split over tasks
-        merged = branches[0].select(record, "span", "unique_id", F.array("method").alias("methods"))
+        merged = branches[0].select(record, "span", "unique_id", F.array("method").alias("methods"), "rank")
     else:
         # a candidate has at most two methods
-        merged = branches[0].unionByName(branches[1]).groupBy(record, "span", "unique_id").agg(
-            F.sort_array(F.collect_set("method")).alias("methods"))
+        place = F.struct((F.col("method") == "vector").alias("late"), "rank")
+        both = branches[0].unionByName(branches[1]).groupBy(record, "span", "unique_id").agg(
+            F.sort_array(F.collect_set("method")).alias("methods"), F.min(place).alias("place"))
+        # a span has at most 2 * k candidates
+        turn = F.row_number().over(Window.partitionBy(record, "span").orderBy("place", "unique_id"))
+        merged = both.select(record, "span", "unique_id", "methods", turn.alias("rank"))
     return merged.join(taxonomy.select(*CANDIDATE_COLUMNS), "unique_id").select(
-        record, "span", *CANDIDATE_COLUMNS, "methods"
+        record, "span", *CANDIDATE_COLUMNS, "methods", "rank"
     )
 
 
@@ -139,10 +150,16 @@ def candidate_map(candidates: DataFrame, record: str = "record_id") -> DataFrame
     return per_span.groupBy(record).agg(F.map_from_entries(F.collect_list(F.struct("span", "list"))).alias("candidates"))
 
 
-def with_gold(candidates: Column, gold: Column) -> Column:
-    """Candidate list that holds the gold entry: if missing it goes first and the last one leaves."""
+def with_gold(candidates: Column, gold: Column, shown: int = OPTION_COUNT) -> Column:
+    """Candidate list that holds the gold entry among the first ``shown``.
+
+    If it is missing it goes first and the last one leaves; if it stands further
+    back it moves to the front.
+    """
     kept = F.slice(candidates, F.lit(1), F.greatest(F.size(candidates) - 1, F.lit(0)))
-    return F.when(F.array_contains(candidates, gold), candidates).otherwise(F.concat(F.array(gold), kept))
+    others = F.when(F.array_contains(candidates, gold), F.array_remove(candidates, gold)).otherwise(kept)
+    first = F.slice(candidates, F.lit(1), F.lit(shown))
+    return F.when(F.array_contains(first, gold), candidates).otherwise(F.concat(F.array(gold), others))
 
 
 def nearest_support(

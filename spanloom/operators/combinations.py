@@ -7,22 +7,39 @@ costs no group.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanloom.functions.randomness import gumbel_key, size_from_uniform, unit_random
-from spanloom.operators.ordering import BUCKETS, shuffled_positions, totals_before
+from spanloom.operators.ordering import bucket_count, shuffled_positions, totals_before
 
 WEIGHT_STEPS = 2**50
 
 
-def softmax_column(score: Column, partition=(), temperature: float = 1.0) -> Column:
-    """exp(score/T) over its sum in the group, shifted by the group's maximum."""
-    w = Window.partitionBy(*partition)
-    scaled = score / F.lit(float(temperature))
-    weight = F.exp(scaled - F.max(scaled).over(w))
-    return weight / F.sum(weight).over(w)
+def with_softmax(df: DataFrame, score: Column, output: str, partition=(), temperature: float = 1.0) -> DataFrame:
+    """Add exp(score/T) over its sum in the group, shifted by the group's maximum.
+
+    Maximum and sum are aggregated on the map side and joined back, so no group
+    and no whole table meets in one task. Null keys are a group.
+    """
+    scaled = df.withColumn("__scaled", score / F.lit(float(temperature)))
+    top = _joined_back(scaled, partition, F.max("__scaled"), "__top")
+    weighted = top.withColumn("__weight", F.exp(F.col("__scaled") - F.col("__top")))
+    total = _joined_back(weighted, partition, F.sum("__weight"), "__total")
+    return total.withColumn(output, F.col("__weight") / F.col("__total")).drop("__scaled", "__top", "__weight", "__total")
+
+
+def _joined_back(df: DataFrame, partition, aggregate: Column, name: str) -> DataFrame:
+    if not partition:
+        return df.withColumn(name, df.agg(aggregate.alias(name)).scalar())
+    keys = [f"__key{i}" for i in range(len(partition))]
+    found = df.groupBy(*[F.col(c).alias(k) for c, k in zip(partition, keys, strict=True)]).agg(aggregate.alias(name))
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(partition, keys, strict=True)])
+    return df.join(found, same).drop(*keys)
 
 
 def known_score(score: Column, name: Column, missing: float | None = None) -> Column:
@@ -88,22 +105,28 @@ def combine(
     )
 
 
+def draw_weights(popularity: DataFrame, temperature: float = 1.0) -> DataFrame:
+    """(name, w): whole-number weights exp(-score/T), relative to the best score; no name falls to zero."""
+    best = popularity.agg(F.min("score").alias("m")).scalar()
+    share = F.floor(F.exp((best - F.col("score")) / F.lit(float(temperature))) * F.lit(float(WEIGHT_STEPS)))
+    return popularity.select("name", F.greatest(share, F.lit(1).cast("bigint")).cast("decimal(38,0)").alias("w"))
+
+
 def stochastic_draws(
-    popularity: DataFrame, n: int, seed=42, temperature: float = 1.0, buckets: int = BUCKETS, cells: int | None = None
+    popularity: DataFrame, n: int, seed=42, temperature: float = 1.0, buckets: int | None = None, cells: int | None = None
 ) -> DataFrame:
     """``n`` draws (draw_id, anchor) with replacement, p = softmax(-score/T).
 
-    Each name owns an interval of [0, 1). Draws and intervals meet on the cell
+    Each name owns an interval of [0, 1), of one step at least, however far its
+    score is from the best. Draws and intervals meet on the cell
     of the interval: a name with a third of the weight spans a third of the
     cells, so its draws stay spread out. There are about as many cells as names.
     """
-    cells = cells or max(4096, popularity.count())
+    cells, buckets = cells or max(4096, popularity.count()), buckets or bucket_count(popularity)
     whole = "decimal(38,0)"
-    best = popularity.agg(F.min("score").alias("m")).scalar()
-    share = F.floor(F.exp((best - F.col("score")) / F.lit(float(temperature))) * F.lit(float(WEIGHT_STEPS)))
     order = unit_random("cdf", F.col("name"))
-    weighted = popularity.select(
-        "name", share.cast(whole).alias("w"), order.alias("__u"), F.floor(order * buckets).cast("int").alias("__bucket")
+    weighted = draw_weights(popularity, temperature).select(
+        "name", "w", order.alias("__u"), F.floor(order * buckets).cast("int").alias("__bucket")
     )
     # whole numbers: the sums are the same in any order, so the intervals fit without gaps
     edges = totals_before(weighted, "__bucket", ["__u", "name"], {"lo": F.col("w")}).select(
@@ -111,7 +134,7 @@ def stochastic_draws(
     )
     total = weighted.agg(F.sum("w").cast(whole).alias("t")).scalar()
     cell = lambda c: F.call_function("div", c * F.lit(cells).cast("decimal(18,0)"), F.col("total")).cast("int")
-    intervals = edges.where("hi > lo").withColumn("total", total).select(
+    intervals = edges.withColumn("total", total).select(
         F.col("name").alias("anchor"), "lo", "hi",
         F.explode(F.sequence(cell(F.col("lo")), cell(F.col("hi") - 1))).alias("cell"),
     )

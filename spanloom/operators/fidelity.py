@@ -22,29 +22,35 @@ def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, tokens.alias("tokens")).select(key, F.explode(pairs).alias("b")).select(key, "b.w1", "b.w2")
 
 
-def bigram_model(corpus: DataFrame, key: str, text: str) -> DataFrame:
-    """(w1, w2, n): corpus counts, merged on the map side and written once for the passes that follow."""
-    return cut_lineage(bigrams(corpus, key, text).groupBy("w1", "w2").agg(F.count("*").alias("n")))
+def text_bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, w1, w2, times): each bigram of a text once, merged on the map side and written once for the passes that follow."""
+    return cut_lineage(bigrams(df, key, text).groupBy(key, "w1", "w2").agg(F.count("*").alias("times")), "bigrams")
+
+
+def bigram_model(counted: DataFrame) -> DataFrame:
+    """(w1, w2, n): corpus counts from the counts of its texts, written once."""
+    return cut_lineage(counted.groupBy("w1", "w2").agg(F.sum("times").alias("n")), "model")
 
 
 def ngram_perplexity(df: DataFrame, key: str, text: str, corpus: DataFrame | None = None, add: float = 1.0) -> DataFrame:
     """(key, tokens, perplexity) = exp(-mean ln p) with add-k smoothing.
 
     The model comes from ``corpus`` (same columns) or from the texts themselves.
+    A text is cut into words once; only its distinct bigrams are joined.
     """
-    model = bigram_model(df if corpus is None else corpus, key, text)
+    found = text_bigrams(df, key, text)
+    model = bigram_model(found if corpus is None else text_bigrams(corpus, key, text))
     contexts = model.groupBy("w1").agg(F.sum("n").alias("context"))
     vocabulary = model.select("w2").distinct().agg(F.count("*").alias("v")).scalar()
     log_p = F.log((F.col("n") + add) / (F.col("context") + add * vocabulary))
     logs = model.join(contexts, "w1").select("w1", "w2", log_p.alias("lp"))
-    found = bigrams(df, key, text)
     if corpus is None:
         scored = found.join(logs, ["w1", "w2"])
     else:
         unseen = F.log(F.lit(add) / (F.coalesce("context", F.lit(0)) + add * vocabulary))
         scored = found.join(logs, ["w1", "w2"], "left").join(contexts, "w1", "left").withColumn(
             "lp", F.coalesce("lp", unseen))
-    total = scored.groupBy(key).agg(F.count("*").alias("tokens"), F.sum("lp").alias("log"))
+    total = scored.groupBy(key).agg(F.sum("times").alias("tokens"), F.sum(F.col("times") * F.col("lp")).alias("log"))
     return total.select(key, "tokens", F.exp(-F.col("log") / F.col("tokens")).alias("perplexity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.randomness import unit_random
 from spanloom.functions.text import NO_LABEL_PRESENT, UNDERSPECIFIED, UNKNOWN
 from spanloom.operators.ordering import sorted_positions, sorted_totals
 
@@ -102,6 +103,12 @@ def micro_scores(predictions: DataFrame, gold: str = "gold", predicted: str = "p
     return scored.select("*", f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def resample_runs(df: DataFrame, key: str, runs: int, share: float, seed=42, run: str = "run_id") -> DataFrame:
+    """Each row in a hash-random ``share`` of ``runs`` runs, numbered from 0."""
+    numbered = df.drop(run).withColumn(run, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    return numbered.where(unit_random(seed, F.lit("run"), F.col(run), F.col(key)) < share)
+
+
 def summarise_runs(per_run: DataFrame, metrics=("precision", "recall", "f1")) -> DataFrame:
     """Mean and sample deviation of each metric over the runs."""
     return per_run.agg(

@@ -204,10 +204,14 @@ def mean_vectors(df: DataFrame, keys, vector: str) -> DataFrame:
 
 def neighbours_outside(
     combos: DataFrame, taxonomy: DataFrame, k: int = 2, combo_id: str = "draw_id", members: str = "members",
-    **sizes,
+    near: DataFrame | None = None, **sizes,
 ) -> DataFrame:
-    """Words to avoid: the k nearest of every member that are not members themselves."""
-    near = nearest(taxonomy, k, **sizes).groupBy("anchor").agg(F.collect_list("neighbour").alias("near"))
+    """Words to avoid: the k nearest of every member that are not members themselves.
+
+    ``near`` is the result of an earlier search with at least k neighbours and no threshold.
+    """
+    ranked = nearest(taxonomy, k, **sizes) if near is None else near.where(F.col("rank") <= k)
+    near = ranked.groupBy("anchor").agg(F.collect_list("neighbour").alias("near"))
     exploded = combos.select(combo_id, members, F.explode(members).alias("anchor"))
     # members and k are both short, so the set per combination is small
     gathered = exploded.join(near, "anchor").groupBy(combo_id).agg(

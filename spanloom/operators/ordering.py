@@ -18,6 +18,11 @@ BUCKETS = 4096
 COPIES_PER_TASK = 10_000
 
 
+def bucket_count(df: DataFrame) -> int:
+    """Buckets of a random order: they grow with the shuffle width, which is set for the size of the data."""
+    return max(BUCKETS, 16 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def totals_before(df: DataFrame, bucket: str, order, values: dict, within=()) -> DataFrame:
     """Add, for each ``values`` entry, the sum over all rows that come earlier.
 
@@ -39,15 +44,16 @@ def totals_before(df: DataFrame, bucket: str, order, values: dict, within=()) ->
 
 
 def positions_by_number(df: DataFrame, u: Column, order, within=(), name: str = "position",
-                        buckets: int = BUCKETS) -> DataFrame:
+                        buckets: int | None = None) -> DataFrame:
     """0-based place of each row in the order of ``u``, evenly spread over [0, 1), then ``order``."""
+    buckets = buckets or bucket_count(df)
     spread = df.withColumn("__u", u).withColumn("__bucket", F.floor(F.col("__u") * buckets).cast("int"))
     placed = totals_before(spread, "__bucket", ["__u", *order], {name: F.lit(1).cast("bigint")}, within)
     return placed.drop("__u", "__bucket")
 
 
 def shuffled_positions(df: DataFrame, seed, keys, within=(), name: str = "position",
-                       buckets: int = BUCKETS) -> DataFrame:
+                       buckets: int | None = None) -> DataFrame:
     """0-based place of each row in the hash-random order; ``keys`` are unique in ``within``."""
     u = unit_random(seed, *[F.col(k) for k in within], *[F.col(k) for k in keys])
     return positions_by_number(df, u, list(keys), within, name, buckets)

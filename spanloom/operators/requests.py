@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import annotation_status, covers_whole_sentence, needs_annotation, strip
 
@@ -46,10 +47,16 @@ def route_modes(combos: DataFrame, forced: str | None = None, size: str = "size"
 
 
 def list_text(items: Column) -> Column:
-    """``['a', 'b']`` the way Python prints a list of strings."""
+    """``['a', 'b']`` the way Python prints a list of strings, control characters escaped."""
+
+    def escaped(s):
+        for code in (*range(32), *range(127, 161)):
+            s = F.replace(s, F.lit(chr(code)), F.lit(repr(chr(code))[1:-1]))
+        return s
 
     def quoted(s):
-        s = F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+        s = F.replace(s, F.lit("\\"), F.lit("\\\\"))
+        s = F.when(s.rlike(r"[\x00-\x1f\x7f-\xa0]"), escaped(s)).otherwise(s)
         double = s.contains("'") & ~s.contains('"')
         return F.when(double, F.concat(F.lit('"'), s, F.lit('"'))).otherwise(
             F.concat(F.lit("'"), F.replace(s, F.lit("'"), F.lit("\\'")), F.lit("'"))
@@ -171,10 +178,11 @@ def chosen_place(answer: Column, options: Column) -> Column:
 
 
 def match_answers(questions: DataFrame, answers: DataFrame, keys=("record_id", "span")) -> DataFrame:
-    """Questions with candidate arrays and answers to (keys, name_definition); unmatched spans leave."""
+    """(keys, name_definition), or (keys, the option's fields) where options are structs; unmatched spans leave."""
     joined = questions.join(answers, list(keys), "left")
-    picked = chosen_option(F.col("answer"), F.col("options"))
-    return joined.select(*keys, picked.alias("name_definition")).where("name_definition is not null")
+    picked = joined.select(*keys, chosen_option(F.col("answer"), F.col("options")).alias("name_definition")).where("name_definition is not null")
+    structs = isinstance(picked.schema["name_definition"].dataType, T.StructType)
+    return picked.select(*keys, "name_definition.*") if structs else picked
 
 
 def extraction_shot(sentence: Column, annotated: Column) -> Column:
@@ -219,13 +227,13 @@ def retry_requests(answered: DataFrame, refine_texts: dict[str, str], sentence:
                    messages: str = "messages", answer: str = "answer", check_full: bool = False) -> DataFrame:
     """Second-pass requests for badly marked answers: old messages, answer, refine text.
 
-    Null answers are not retried here. With ``check_full`` an answer that marks
+    Null answers are not retried here; a status without refine text fails the job. With ``check_full`` an answer that marks
     the whole sentence counts as bad, too.
     """
     status = annotation_status(answer)
     if check_full:
         status = F.when(covers_whole_sentence(answer), "FULL-ANNOT").otherwise(status)
-    text = F.lit(None).cast("string")
+    text = F.raise_error(F.concat(F.lit("no refine text for "), F.col("status"))).cast("string")
     for kind, refine in refine_texts.items():
         text = F.when(F.col("status") == kind, F.lit(refine)).otherwise(text)
     bad = answered.withColumn("status", status).where(F.col("status") != "OK")

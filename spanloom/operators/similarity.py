@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.vectors import cosine, squared_norm, unit
 from spanloom.operators.blocks import SCALE
-from spanloom.operators.combinations import softmax_column
+from spanloom.operators.combinations import with_softmax
 from spanloom.operators.neighbours import stack, vector_totals
 
 HISTOGRAM_BLOCK = 1_024
@@ -110,7 +110,7 @@ def category_affinity(taxonomy: DataFrame, category: str = "category", vector: s
     within = F.when(size > 1, (F.col("dot") - F.col("m")) / (size * (size - 1))).otherwise(0.0)
     mean = F.when(F.col("category") == F.col("other"), within).otherwise(F.col("dot") / (size * F.col("n_other")))
     means = dots.select("category", "other", mean.alias("mean_sim"))
-    return means.withColumn("p", softmax_column(F.col("mean_sim"), ["category"], temperature))
+    return with_softmax(means, F.col("mean_sim"), "p", ["category"], temperature)
 
 
 def sentence_label_similarity(sentences: DataFrame, taxonomy: DataFrame, label: str = "label",

@@ -79,6 +79,14 @@ def relabel(df: DataFrame, labels: str = "skills", value: str = NO_LABEL) -> Dat
     return df.withColumn(labels, F.array(F.lit(value)))
 
 
+def require_disjoint(df: DataFrame, key: str, split: str = "split") -> DataFrame:
+    """The rows as they are; a key in more than one split is an error."""
+    bad = overlapping_keys(df, key, split).limit(5).collect()
+    if bad:
+        raise ValueError(f"in more than one split: {[str(r[key])[:80] for r in bad]}")
+    return df
+
+
 def wrap_label(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(label, F.array(label))
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 # A word with its trailing # or + (so that C, C# and C++ differ), or the gap between words.
 ATOM = r"(?U)\w+[#+]*|[^\w]+"
 BEFORE_WORDS = r"(?U)^[^\w]+"
+# Signs before the first word, the words, signs after the last one.
+TERM = r"(?Us)^([^\w]*)(.*\w[#+]*)([^\w]*)$"
 BROADCAST_TERMS = 200_000
+BROADCAST_BYTES = 32 << 20
 
 
 def atoms(text: Column) -> Column:
@@ -24,17 +27,28 @@ def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> D
     """(key, place, entry columns): every occurrence of a term, as whole words, case-sensitive.
 
     Texts are cut into n-grams of only the lengths the dictionary has, and meet
-    the terms in one equi-join, so the cost per text does not depend on the
-    number of terms.
+    the words of the terms in one equi-join, so the cost per text does not
+    depend on the number of terms. Signs around a term's words, as in ``.NET``
+    and ``(ISC)2``, are compared with the gaps around the n-gram; beyond them
+    there must be a space, another sign or the end of the text.
     """
-    wanted = entries.where(term_words(F.col("term")) > 0)
-    facts = wanted.agg(F.collect_set(term_words(F.col("term"))).alias("lengths"), F.count("*").alias("n")).first()
+    part = lambda i: F.regexp_extract("term", TERM, i)
+    wanted = entries.where(term_words(F.col("term")) > 0).select(
+        "*", part(2).alias("__words"), part(1).alias("__lead"), part(3).alias("__tail"))
+    facts = wanted.agg(
+        F.collect_set(term_words(F.col("term"))).alias("lengths"), F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
     if not facts["n"]:
         return df.select(key, F.lit(0).alias("place")).join(entries, F.lit(False))
-    parts = df.select(key, atoms(F.col(text)).alias("atoms"))
-    grams = F.concat(*[_grams(F.col("atoms"), n) for n in sorted(facts["lengths"])])
-    exploded = parts.select(key, F.explode(grams).alias("gram")).select(key, "gram.place", "gram.term")
-    return exploded.join(F.broadcast(wanted) if facts["n"] <= BROADCAST_TERMS else wanted, "term")
+    parts = df.select(key, atoms(F.col(text)).alias("atoms"), F.regexp_extract(text, BEFORE_WORDS, 0).alias("before"))
+    grams = F.concat(*[_grams(F.col("atoms"), F.col("before"), n) for n in sorted(facts["lengths"])])
+    exploded = parts.select(key, F.explode(grams).alias("gram")).select(key, F.col("gram.place"), *[
+        F.col(f"gram.{c}").alias(f"__{c}") for c in ("words", "before", "after", "first", "last")])
+    small = facts["n"] <= BROADCAST_TERMS and facts["bytes"] <= BROADCAST_BYTES
+    met = exploded.join(F.broadcast(wanted) if small else wanted, "__words")
+    free = lambda gap, signs, edge: (F.length(gap) > F.length(signs)) | F.col(edge)
+    led = (F.col("__lead") == "") | (F.endswith("__before", "__lead") & free("__before", "__lead", "__first"))
+    followed = (F.col("__tail") == "") | (F.startswith("__after", "__tail") & free("__after", "__tail", "__last"))
+    return met.where(led & followed).select(key, "place", *entries.columns)
 
 
 def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
@@ -42,13 +56,21 @@ def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str =
     return dictionary_hits(df, key, text, terms.select(F.col(term).alias("term")).distinct()).select(key, "place", "term")
 
 
-def _grams(parts: Column, n: int) -> Column:
+def _grams(parts: Column, before: Column, n: int) -> Column:
     last = F.size(parts) - 2 * (n - 1)
     starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(2))).otherwise(F.array().cast("array<int>"))
     text = (lambda i: F.element_at(parts, i)) if n == 1 else (
         lambda i: F.array_join(F.slice(parts, i, F.lit(2 * n - 1)), "")
     )
-    return F.transform(starts, lambda i: F.struct(i.alias("place"), text(i).alias("term")))
+
+    def gram(i):
+        end = i + 2 * n - 1  # place of the gap after the n-gram
+        return F.struct(
+            i.alias("place"), text(i).alias("words"), F.when(i > 1, F.element_at(parts, F.greatest(i - 1, F.lit(1)))).otherwise(before).alias("before"),
+            F.when(end <= F.size(parts), F.try_element_at(parts, end)).otherwise("").alias("after"), (i == 1).alias("first"),
+            (end >= F.size(parts)).alias("last"))
+
+    return F.transform(starts, gram)
 
 
 def synonym_terms(synonyms: DataFrame, canonical: str = "level2", names: str = "alternative_names_clean") -> DataFrame:

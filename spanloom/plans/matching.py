@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import extract_spans, name_before_definition, parse_levels, strip
+from spanloom.functions.text import extract_spans, parse_levels, strip
 from spanloom.operators import metrics as M
 from spanloom.operators import requests as R
+from spanloom.operators.candidates import CANDIDATE_COLUMNS
 
+OPTION = CANDIDATE_COLUMNS
 
 def extraction_requests(records: DataFrame, templates: DataFrame, shots: DataFrame | None = None) -> DataFrame:
     """(record_id, messages). ``records`` has (record_id, sentence, data_type, prompt_type).
@@ -47,29 +49,34 @@ def matching_requests(records: DataFrame, candidates: DataFrame, templates: Data
                       shots: DataFrame | None = None) -> DataFrame:
     """(record_id, span, options, messages): one multiple-choice question per record and span.
 
-    ``templates`` has (data_type, system, instruction, shots) of the matching task.
+    ``options`` are the candidate records in the order of their ``rank``, best
+    first. ``templates`` has (data_type, system, instruction, shots) of the
+    matching task; a data type without one is an error.
     """
-    listed = F.array_sort(F.collect_list(F.struct("unique_id", "name_definition")))
+    R.require_valid_kinds(records, templates, ["data_type"])
+    listed = F.array_sort(F.collect_list(F.struct("rank", *OPTION)))
     options = candidates.groupBy("record_id", "span").agg(listed.alias("o")).select(
-        "record_id", "span", F.transform("o", lambda e: e["name_definition"]).alias("options"))
+        "record_id", "span", F.transform("o", lambda e: F.struct(*[e[c].alias(c) for c in OPTION])).alias("options"))
     full = options.join(records.select("record_id", "sentence", "data_type"), "record_id").join(templates, "data_type")
     if shots is not None:
         full = full.drop("shots").join(shots, "record_id", "left")
-    question = R.choice_question(F.col("sentence"), F.col("span"), F.col("options"))
+    shown = F.transform("options", lambda o: o["name_definition"])
+    question = R.choice_question(F.col("sentence"), F.col("span"), shown)
     chat = R.build_messages(F.col("system"), F.col("instruction"), F.col("shots"), question)
     return full.select("record_id", "span", "options", chat.alias("messages"))
 
 
 def matched_records(records: DataFrame, questions: DataFrame, answers: DataFrame) -> DataFrame:
-    """Records with the matched entity names, in span order."""
-    found = R.match_answers(questions, answers).withColumn("name", name_before_definition("name_definition"))
+    """Records with ``predicted`` names and ``matches`` (span and the chosen entity's record), in span order."""
+    found = R.match_answers(questions, answers)
     order = records.select("record_id", F.posexplode("spans").alias("i", "span")).groupBy("record_id", "span").agg(
         F.min("i").alias("i"))
-    listed = F.array_sort(F.collect_list(F.struct("i", "name")))
+    listed = F.array_sort(F.collect_list(F.struct("i", "span", *OPTION)))
     names = found.join(order, ["record_id", "span"]).groupBy("record_id").agg(listed.alias("m"))
-    none = F.array().cast("array<string>")
-    return records.join(names, "record_id", "left").withColumn(
-        "predicted", F.coalesce(F.transform("m", lambda e: e["name"]), none)).drop("m")
+    matches = F.transform("m", lambda e: F.struct(*[e[c].alias(c) for c in ("span", *OPTION)]))
+    joined = records.join(names, "record_id", "left").withColumn("matches", matches).drop("m")
+    full = joined.withColumn("matches", F.coalesce("matches", F.array().cast(joined.schema["matches"].dataType)))
+    return full.withColumn("predicted", F.transform("matches", lambda e: e["name"]))
 
 
 def scores(matched: DataFrame, gold: str = "skills", by=()) -> DataFrame:

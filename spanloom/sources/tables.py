@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,15 +31,6 @@ def strings(names) -> T.StructType:
     return T.StructType([T.StructField(n, T.StringType()) for n in names])
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal out the rows of a scan that has fewer splits than the cluster has cores.
-
-    A table of many files is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def read_samples_csv(spark: SparkSession, path: str, names, index: str | None = None, header: bool = False) -> DataFrame:
     """CSV with the given column names, without its index column and without incomplete rows."""
     reader = spark.read.schema(strings(names)).options(**CSV_OPTIONS).option("header", str(header).lower())
@@ -97,10 +90,20 @@ def batch_of(draw: Column, frequency: int) -> Column:
 
 
 def write_batches(df: DataFrame, path: str, draw: str = "draw_id", frequency: int = 100) -> None:
-    """Write rows in batches of ``frequency`` draws; rewriting a batch replaces it."""
-    batched = df.withColumn("batch_id", batch_of(F.col(draw), frequency))
-    (batched.repartition("batch_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").json(path))
+    """Write rows with the batch of ``frequency`` draws they belong to; a batch written again replaces its old rows.
+
+    A write is one folder, however many batches it holds; :func:`read_batches`
+    takes each batch from the last folder that has it.
+    """
+    attempt = f"{time.time_ns():020d}"
+    df.withColumn("batch_id", batch_of(F.col(draw), frequency)).write.json(f"{path}/attempt={attempt}")
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows written by :func:`write_batches`; ``schema`` includes batch_id."""
+    rows = spark.read.schema(f"{schema}, attempt string").json(path)
+    last = rows.groupBy("batch_id").agg(F.max("attempt").alias("attempt"))
+    return rows.join(last, ["batch_id", "attempt"], "left_semi").drop("attempt")
 
 
 def pending(requests: DataFrame, done: DataFrame, draw: str = "draw_id", frequency: int = 100) -> DataFrame:

@@ -8,6 +8,7 @@ from spanloom.functions.randomness import cumulative, softmax
 from spanloom.operators import combinations as C
 from spanloom.operators import neighbours as N
 from spanloom.operators import similarity as S
+from spanloom.session import cut_lineage
 from suite.common import (
     BALANCED_DRAWS_SQL, SIZES, TAXONOMY_SQL, combos_sql, gumbel_sql, joined, neighbours_sql, popularity, read,
     size_sql, taxonomy, u_sql,
@@ -36,16 +37,21 @@ cnn AS (
 KNN_CATEGORY_SQL = f"WITH {CATEGORY_NN_SQL} SELECT anchor, category, neighbour, sim, rank::INTEGER AS rank FROM cnn"
 
 
-def lists(spark, folder, weighted=True):
-    near = N.nearest(taxonomy(spark, folder), K, NEAR)
+def knn_topk_blocked(spark, folder):
+    """The same search cut into blocks, as for a taxonomy too large to be sent to every task."""
+    return N.nearest(taxonomy(spark, folder), K, NEAR, broadcast_rows=0, block_rows=200)
+
+
+def lists(spark, folder, weighted=True, near=None):
+    near = N.nearest(taxonomy(spark, folder), K, NEAR) if near is None else near.where(F.col("sim") > NEAR)
     return C.neighbour_lists(near, popularity(spark, folder) if weighted else None)
 
 
-def combos(spark, folder):
-    """Every name is drawn in two rounds."""
+def combos(spark, folder, near=None):
+    """Every name is drawn in two rounds; ``near`` is a search made before, without threshold."""
     tax = taxonomy(spark, folder)
     draws = C.balanced_numbered_draws(tax, 2 * tax.count())
-    return C.combine(draws, lists(spark, folder), SIZES)
+    return C.combine(draws, lists(spark, folder, near=near), SIZES)
 
 
 def shown(df):
@@ -64,15 +70,15 @@ def combo_size_hist(spark, folder):
     return C.size_histogram(combos(spark, folder))
 
 
-def stochastic_combos(spark, folder):
+def stochastic_combos(spark, folder, temperature=5.0):
     scores = popularity(spark, folder)
-    draws = C.stochastic_draws(scores, 2 * scores.count(), temperature=5.0)
+    draws = C.stochastic_draws(scores, 2 * scores.count(), temperature=temperature)
     return shown(C.combine(draws, lists(spark, folder), SIZES))
 
 
 STOCHASTIC_SQL = f"""WITH {neighbours_sql(K, NEAR)},
 weights AS (
-  SELECT name, floor(exp(((SELECT min(score) FROM tax) - score) / 5.0::DOUBLE) * 1125899906842624::DOUBLE)::HUGEINT AS w,
+  SELECT name, greatest(1, floor(exp(((SELECT min(score) FROM tax) - score) / 5.0::DOUBLE) * 1125899906842624::DOUBLE)::HUGEINT) AS w,
          {u_sql("'cdf'", 'name')} AS o FROM tax),
 edges AS (SELECT name, w, sum(w) OVER (ORDER BY o, name) AS hi FROM weights),
 total AS (SELECT sum(w)::HUGEINT AS t FROM weights),
@@ -84,6 +90,16 @@ draws AS (SELECT draw_id, name AS anchor FROM aimed JOIN edges ON aim >= hi - w
 {SHOWN_SQL}"""
 
 
+def name_weights(spark, folder):
+    """Every name keeps a chance, even far below the best one."""
+    scores = popularity(spark, folder)
+    return C.draw_weights(scores, 1.0).select("name", F.col("w").cast("string").alias("weight"))
+
+
+WEIGHTS_SQL = f"""WITH {TAXONOMY_SQL}
+SELECT name, greatest(1, floor(exp((SELECT min(score) FROM tax) - score) * 1125899906842624::DOUBLE)::HUGEINT)::VARCHAR AS weight FROM tax"""
+
+
 def subset_combos(spark, folder):
     tax = taxonomy(spark, folder)
     draws = C.balanced_draws(tax, tax.count() // 2)
@@ -148,7 +164,8 @@ combos AS (
 
 
 def words_to_avoid(spark, folder):
-    out = N.neighbours_outside(combos(spark, folder), taxonomy(spark, folder))
+    near = cut_lineage(N.nearest(taxonomy(spark, folder), K), "near")
+    out = N.neighbours_outside(combos(spark, folder, near), taxonomy(spark, folder), near=near)
     return out.select("draw_id", joined("avoid").alias("avoid"))
 
 
@@ -236,8 +253,8 @@ SELECT r.vec_id, r.label, round(list_cosine_similarity(r.e, t.e), 9) AS sim FROM
 def popularity_softmax(spark, folder):
     """Share of each name within its category, popular names (low scores) first."""
     rows = taxonomy(spark, folder).join(popularity(spark, folder), "name")
-    share = C.softmax_column(-F.col("score"), ["category"], 5.0)
-    return rows.select("name", F.round(share, 9).alias("p"))
+    share = C.with_softmax(rows, -F.col("score"), "p", ["category"], 5.0)
+    return share.select("name", F.round("p", 9).alias("p"))
 
 
 SOFTMAX_SQL = f"""WITH {TAXONOMY_SQL}
@@ -267,9 +284,12 @@ QUERIES = {
     "popularity_softmax": (popularity_softmax, SOFTMAX_SQL),
     "capped_combos": (capped_combos, _capped_sql()),
     "knn_topk": (knn_topk, KNN_SQL),
+    "knn_topk_blocked": (knn_topk_blocked, KNN_SQL),
     "knn_per_category": (knn_per_category, KNN_CATEGORY_SQL),
     "balanced_combos": (balanced_combos, f"WITH {COMBOS_SQL}\n{SHOWN_SQL}"),
     "stochastic_combos": (stochastic_combos, STOCHASTIC_SQL),
+    "stochastic_combos_cold": (lambda s, f: stochastic_combos(s, f, 1.0), STOCHASTIC_SQL.replace("5.0::DOUBLE", "1.0::DOUBLE")),
+    "name_weights": (name_weights, WEIGHTS_SQL),
     "subset_combos": (subset_combos, SUBSET_SQL),
     "combo_size_hist": (
         combo_size_hist,

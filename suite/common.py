@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.sources.tables import spread
-
 SIZES = [1.0, 1.0, 1.0, 1.0, 1.0]  # combination sizes 1..5, equal weights
 
 
@@ -15,8 +13,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents, dealt out to all cores when they come as one small file."""
-    return spread(read(spark, folder, "documents"))
+    return read(spark, folder, "documents")
 
 
 def joined(column) -> Column:

@@ -82,7 +82,7 @@ def checkpoint_resume(spark, folder):
     count = read(spark, folder, "embeddings").count()
     S.write_batches(rows.where(F.col("draw_id") < count), path, frequency=100)
     S.write_batches(rows.where(F.col("draw_id") < count), path, frequency=100)
-    done = S.read_records(spark, path, "draw_id bigint, anchor string, batch_id bigint")
+    done = S.read_batches(spark, path, "draw_id bigint, anchor string, batch_id bigint")
     return S.pending(rows, done, frequency=100).select("draw_id", "anchor")
 
 

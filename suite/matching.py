@@ -11,8 +11,10 @@ from spanloom.operators import embedding as E
 from spanloom.operators import neighbours as N
 from spanloom.operators import requests as R
 from spanloom.operators import splits as P
+from spanloom.operators.ordering import random_k
 from spanloom.session import cut_lineage
 from suite.combos import AVOID_CTE, COMBOS_SQL, combos
+from suite.combos import K as COMBO_K
 from suite.common import (
     ENTITIES_SQL, MESSAGES_SQL, entities, joined, message_spans, messages, read, taxonomy, token_set_sql, u_sql,
 )
@@ -23,7 +25,7 @@ TOP = 5
 def rule_candidates_exact(spark, folder):
     """Up to five random benchmark passages that contain a mention of a message."""
     wanted = K.record_spans(message_spans(spark, folder))
-    exact = K.random_k(
+    exact = random_k(
         K.containing_entities(wanted, entities(spark, folder)), ["span"], TOP, 42, ["span", "unique_id"])
     return wanted.join(exact, "span")
 
@@ -234,11 +236,18 @@ SELECT doc_id, CASE WHEN position < n - rest THEN 'train' WHEN position < n - re
 FROM documents JOIN ranked USING (text), sizes"""
 
 
+OVERLAP_SQL = f"""WITH placed AS ({SPLIT_SQL}),
+again AS (SELECT DISTINCT text FROM documents WHERE doc_id % 5 = 0)
+SELECT (SELECT count(*) FROM again) AS overlapping,
+       (SELECT count(DISTINCT text) FROM documents JOIN placed USING (doc_id) WHERE split = 'train' AND text IN (SELECT text FROM again)) AS shared"""
+
+
 def split_overlap(spark, folder):
-    """Number of texts in more than one split: none."""
+    """A clean split, to which every fifth document is added once more as another split."""
     docs = read(spark, folder, "documents")
-    sizes = P.share_sizes(P.distinct_count(docs, "text"), {"train": 0.75, "test": 0.15, "dev": 0.15})
-    placed = P.assign_splits(docs, "text", sizes)
+    clean = P.assign_splits(docs, "text", P.rest_sizes(P.distinct_count(docs, "text")))
+    P.require_disjoint(clean, "text")
+    placed = clean.unionByName(docs.where("doc_id % 5 = 0").withColumn("split", F.lit("again")))
     shared = P.common_keys(placed.where("split = 'train'"), placed.where("split <> 'train'"), "text")
     return P.overlapping_keys(placed, "text").agg(F.count("*").alias("overlapping")).select(
         "overlapping", shared.agg(F.count("*").alias("c")).scalar().alias("shared"))
@@ -272,12 +281,13 @@ TEMPLATE = ("Write {nExamples} texts of {minNbSentences} to {maxNbSentences} abo
 
 
 def prompt_requests(spark, folder):
-    """Filled instruction and message list for each combination."""
+    """Filled instruction and message list for each combination; one search serves lists and words to avoid."""
     tax = taxonomy(spark, folder).select(
         "name", "embedding", F.concat(F.lit("also "), "name").alias("alt_labels"),
         F.concat(F.lit("of group "), "category").alias("description"))
-    made = cut_lineage(combos(spark, folder))
-    full = made.join(N.neighbours_outside(made, tax), "draw_id").join(R.additional_info(made, tax), "draw_id", "left")
+    near = cut_lineage(N.nearest(tax, COMBO_K), "near")
+    made = cut_lineage(combos(spark, folder, near))
+    full = made.join(N.neighbours_outside(made, tax, near=near), "draw_id").join(R.additional_info(made, tax), "draw_id", "left")
     values = R.placeholder_values(
         F.col("members"), F.col("additional"), F.col("avoid"), {"typeOfAdditionalInfo": "Other names"})
     filled = R.fill_template(F.lit(TEMPLATE), values)
@@ -304,17 +314,18 @@ SELECT draw_id::BIGINT AS draw_id, 'system > You write texts.' || chr(10) || 'us
 FROM parts"""
 
 
-def questions(spark, folder):
-    """Multiple choice of the nearest entities' names for each vector."""
+def questions(spark, folder, records=False):
+    """Multiple choice of the nearest entities' names (or their records) for each vector."""
     near = vector_candidates(spark, folder).join(entities(spark, folder).select("unique_id", "name"), "unique_id")
-    return near.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("c")).select(
+    option = lambda e: F.struct(e["unique_id"].alias("unique_id"), e["name"].alias("name")) if records else e["name"]
+    return near.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("rank", "unique_id", "name"))).alias("c")).select(
         F.col("vec_id").alias("record_id"), F.concat(F.lit("v"), "vec_id").alias("span"),
-        F.transform("c", lambda e: e["name"]).alias("options"))
+        F.transform("c", option).alias("options"))
 
 
 QUESTIONS_CTE = f"""{VECTOR_CTE},
 questions AS (
-  SELECT vec_id AS record_id, 'v' || vec_id AS span, list(name ORDER BY rank) AS options
+  SELECT vec_id AS record_id, 'v' || vec_id AS span, list(name ORDER BY rank) AS options, list(unique_id ORDER BY rank) AS ids
   FROM ranked JOIN ents USING (unique_id) GROUP BY vec_id)"""
 
 
@@ -332,7 +343,7 @@ ANSWER_FORMS = ["a", " B: because", "c", "", "z", "D", "?", None]
 
 
 def parse_answers(spark, folder):
-    asked = questions(spark, folder)
+    asked = questions(spark, folder, records=True)
     form = (F.floor(unit_random("answer", F.col("record_id")) * len(ANSWER_FORMS)) + 1).cast("int")
     answers = asked.select("record_id", "span", F.element_at(F.array(*[F.lit(a) for a in ANSWER_FORMS]), form).alias("answer"))
     return R.match_answers(asked, answers)
@@ -340,7 +351,8 @@ def parse_answers(spark, folder):
 
 PARSE_SQL = f"""WITH {QUESTIONS_CTE},
 answers AS (SELECT *, floor({u_sql("'answer'", 'record_id')} * 8)::INTEGER AS f FROM questions)
-SELECT record_id, span, options[CASE f WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END] AS name_definition
+SELECT record_id, span, options[CASE f WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END] AS name,
+       ids[CASE f WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE 4 END] AS unique_id
 FROM answers WHERE f IN (0, 1, 2, 5)"""
 
 
@@ -491,18 +503,21 @@ RANDOM_SPAN_SQL = f"""WITH {MESSAGES_SQL}
 SELECT record_id, lower(mentions[floor({u_sql(42, "'span'", 'record_id')} * len(mentions))::INTEGER + 1]) AS span FROM msgs"""
 
 
-def mixed_map_sizes(spark, folder):
-    """Candidates of a record as one map from span to entities, with the map's size."""
+def mixed_map(spark, folder):
+    """Candidates of a record as one map from span to entities, written out in the order of spans."""
     records = message_spans(spark, folder)
     vectors = mention_vectors(spark, folder, K.record_spans(records))
     found = K.select_candidates(records, entities(spark, folder), TOP, "embeddings", span_vectors=vectors)
-    entries = F.transform(F.map_values("candidates"), lambda c: F.size(c))
-    total = F.aggregate(entries, F.lit(0), lambda a, x: a + x)
-    return K.candidate_map(found).select("record_id", F.size("candidates").alias("spans"), total.alias("entities"))
+    shown = lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], lambda c: F.concat(
+        c["unique_id"].cast("string"), F.lit(":"), c["name"])), ","))
+    entries = F.transform(F.array_sort(F.map_entries("candidates")), shown)
+    return K.candidate_map(found).select("record_id", F.size("candidates").alias("spans"), joined(entries).alias("entities"))
 
 
-MAP_SQL = f"""WITH {MESSAGES_SQL}
-SELECT record_id, count(*)::INTEGER AS spans, ({TOP} * count(*))::INTEGER AS entities FROM spans GROUP BY record_id"""
+MAP_SQL = f"""WITH found AS ({VECTOR_METHOD_SQL}),
+listed AS (
+  SELECT record_id, span, span || '=' || string_agg(unique_id || ':' || name, ',' ORDER BY unique_id) AS entry FROM found GROUP BY record_id, span)
+SELECT record_id, count(*)::INTEGER AS spans, string_agg(entry, '|' ORDER BY span) AS entities FROM listed GROUP BY record_id"""
 
 
 FUZZY_SQL = f"""WITH {MESSAGES_SQL}, {ENTITIES_SQL},
@@ -565,7 +580,7 @@ SELECT record_id, span, unique_id, level2, name, methods FROM spans JOIN each_sp
 QUERIES = {
     "known_mixed_candidates": (known_mixed_candidates, KNOWN_MIXED_SQL),
     "random_spans": (random_spans, RANDOM_SPAN_SQL),
-    "candidate_map": (mixed_map_sizes, MAP_SQL),
+    "candidate_map": (mixed_map, MAP_SQL),
     "rule_candidates_exact": (rule_candidates_exact, EXACT_SQL),
     "fuzzy_candidates": (fuzzy_candidates, FUZZY_SQL),
     "vector_candidates": (vector_candidates, VECTOR_SQL),
@@ -577,7 +592,7 @@ QUERIES = {
     "locate_spans": (locate_spans, LOCATE_SQL),
     "span_mean_vectors": (span_mean_vectors, SPAN_MEAN_SQL),
     "split_disjoint": (split_disjoint, SPLIT_SQL),
-    "split_overlap": (split_overlap, "SELECT 0::BIGINT AS overlapping, 0::BIGINT AS shared"),
+    "split_overlap": (split_overlap, OVERLAP_SQL),
     "merge_negatives": (merge_negatives, MERGE_SQL),
     "route_modes": (route_modes, ROUTE_SQL),
     "prompt_requests": (prompt_requests, PROMPT_SQL),

@@ -211,6 +211,22 @@ SELECT doc_id, tag, CASE WHEN starts_with(tag, 'Technologies')
          THEN array_to_string(list_sort(list_distinct(list(v))), '|') ELSE array_to_string(list(v ORDER BY i, v), '|') END AS found
 FROM hits GROUP BY doc_id, tag"""
 
+SIGNED = [".NET", "(ISC)2", "C#", "ASP.NET", "(en)", "net.", "R&D"]
+
+
+def signed_terms(spark, folder):
+    """Terms that start or end with signs, in a sentence before each document; those glued to a word are no hits."""
+    docs = texts(spark, folder).select("doc_id", F.concat(
+        F.lit("(ISC)2 or .NET, ASP.NET, C# (but not C), (ISC)23, R&D, R&D. ("), "lang", F.lit(")\n"), "text").alias("text"))
+    terms = spark.sql("SELECT explode(array(" + ", ".join(f"'{t}'" for t in SIGNED) + ")) AS term")
+    found = G.term_hits(docs, "doc_id", "text", terms)
+    return found.where("place < 40").groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
+
+
+SIGNED_SQL = """SELECT doc_id, term, hits::BIGINT AS hits FROM documents,
+  (VALUES ('.NET', 1), ('(ISC)2', 1), ('C#', 1), ('ASP.NET', 1), ('R&D', 2), ('(en)', 1)) t(term, hits)
+WHERE term <> '(en)' OR lang = 'en'"""
+
 PRICES = {"system": (1.5e-6, 2e-6), "user": (3e-5, 6e-5), "assistant": (2e-5, 2e-5)}
 
 
@@ -338,6 +354,7 @@ QUERIES = {
     "lowest_level": (lowest_level, LOWEST_SQL),
     "clean_alt_names": (clean_alt_names, ALT_SQL),
     "keyword_tag": (keyword_tag, KEYWORD_SQL),
+    "signed_terms": (signed_terms, SIGNED_SQL),
     "cost_by_model": (cost_by_model, COST_SQL),
     "bigram_perplexity": (bigram_perplexity, PERPLEXITY_SQL),
     "popularity_scores": (popularity_scores, POPULARITY_SQL),

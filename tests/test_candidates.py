@@ -201,3 +201,13 @@ def test_keyword_tags(spark):
     assert wide[0].Languages == ["java"] and wide[2].Technologies == []
     assert wide[0].Technologies == ["C#", "C++", "C", "Machine learning"]
     assert G.keyword_tags(texts, "id", "t", terms.limit(0)).count() == 0
+
+
+def test_terms_with_signs(spark):
+    from spanloom.operators import tagging as G
+
+    docs = spark.createDataFrame(
+        [(1, ".NET and (ISC)2, C# or Yahoo!"), (2, "ASP.NET, (ISC)23 C Yahoo"), (3, "use (.NET) Yahoo!!"), (4, "xYahoo! R&D")], "id long, text string")
+    terms = spark.createDataFrame([(t,) for t in (".NET", "(ISC)2", "C#", "Yahoo!", "ASP.NET", "R&D", "!!")], "term string")
+    got = sorted((r.id, r.term) for r in G.term_hits(docs, "id", "text", terms).collect())
+    assert got == [(1, "(ISC)2"), (1, ".NET"), (1, "C#"), (1, "Yahoo!"), (2, "ASP.NET"), (3, ".NET"), (3, "Yahoo!"), (4, "R&D")]

@@ -40,7 +40,7 @@ def test_softmax_is_shifted():
 
 def test_softmax_column_has_no_underflow(spark):
     df = spark.createDataFrame([("a", -90000.0), ("a", -90001.0), ("b", 1.0)], "g string, x double")
-    got = {(r.g, r.x): r.p for r in df.withColumn("p", C.softmax_column(F.col("x"), ["g"])).collect()}
+    got = {(r.g, r.x): r.p for r in C.with_softmax(df, F.col("x"), "p", ["g"]).collect()}
     assert got["a", -90000.0] == pytest.approx(1 / (1 + math.exp(-1))) and got["b", 1.0] == 1
 
 

@@ -47,11 +47,11 @@ def test_batches_resume(spark, tmp_path):
     path = str(tmp_path / "b")
     rows = spark.range(25).select(F.col("id").alias("draw_id"), F.lit("x").alias("v"))
     S.write_batches(rows.where("draw_id < 10 or draw_id = 12"), path, frequency=10)
-    done = S.read_records(spark, path, "draw_id long, v string, batch_id long")
+    done = S.read_batches(spark, path, "draw_id long, v string, batch_id long")
     todo = S.pending(rows, done, frequency=10)
     assert sorted(r.draw_id for r in todo.collect()) == list(range(10, 25))
     S.write_batches(todo, path, frequency=10)
-    done = S.read_records(spark, path, "draw_id long, v string, batch_id long")
+    done = S.read_batches(spark, path, "draw_id long, v string, batch_id long")
     assert done.count() == 25 and S.pending(rows, done, frequency=10).count() == 0
 
 
@@ -73,9 +73,3 @@ def test_shared_folder_follows_the_setting(spark):
     folder = shared_folder(spark)
     assert folder == shared_folder(spark)
     assert cut_lineage(spark.range(10)).inputFiles()[0].replace("file://", "").startswith(folder.replace("file:", ""))
-
-
-def test_spread_leaves_wide_tables_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    assert S.spread(spark.range(10).coalesce(1)).rdd.getNumPartitions() == cores
-    assert S.spread(spark.range(0, 100, 1, 3 * cores)).rdd.getNumPartitions() == 3 * cores

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.operators import candidates as K
@@ -51,8 +52,62 @@ def test_matching_flow(spark):
     kinds = templates.select("data_type", "system", "instruction", "shots")
     questions = M.matching_requests(spans, found, kinds)
     assert questions.count() == 2
-    chosen = spark.createDataFrame([(1, "java", "A"), (1, "sql", "a.")], "record_id long, span string, answer string")
+    shown = {r.span: [o.name for o in r.options] for r in questions.collect()}
+    java = chr(65 + shown["java"].index("java"))
+    chosen = spark.createDataFrame([(1, "java", java), (1, "sql", "a.")], "record_id long, span string, answer string")
     matched = M.matched_records(spans, questions, chosen)
     assert {r.record_id: r.predicted for r in matched.collect()} == {1: ["java", "sql"], 2: []}
+    assert {r.record_id: [(m.span, m.unique_id, m.level2) for m in r.matches] for r in matched.collect()} == {
+        1: [("java", 1, "a"), ("sql", 3, "b")], 2: []}
     s = M.scores(matched).first()
     assert (s.tp, s.fp, s.fn) == (1, 1, 1)
+
+
+def test_names_of_complete_taxonomies_match(spark):
+    """The name is the entity's own column, whatever the option's text looks like."""
+    tax = spark.createDataFrame(
+        [(1, "a", "Cooking", "Cooking: prepare food"), (2, "a", "Tools : sharp", "Tools : sharp: knives")],
+        "unique_id long, level2 string, name string, name_definition string")
+    records = spark.createDataFrame(
+        [(1, "I do cooking", "job", ["Cooking"], ["cooking"]), (2, "I use tools", "job", ["Tools : sharp"], ["tools"])],
+        "record_id long, sentence string, data_type string, skills array<string>, spans array<string>")
+    kinds = spark.createDataFrame([("job", "S", "I", [])], f"data_type string, system string, instruction string, shots {R.SHOTS}")
+    found = K.select_candidates(records, tax, 2, "rules")
+    questions = M.matching_requests(records, found, kinds)
+    answers = questions.select("record_id", "span", F.lit("A").alias("answer"))
+    s = M.scores(M.matched_records(records, questions, answers)).first()
+    assert (s.tp, s.fp, s.fn, s.f1) == (2, 0, 0, 1.0)
+
+
+def test_kinds_without_a_template_are_errors(spark):
+    kinds = spark.createDataFrame([("job", "S", "I", [])], f"data_type string, system string, instruction string, shots {R.SHOTS}")
+    records = spark.createDataFrame([(1, "x", "course", ["x"])], "record_id long, sentence string, data_type string, spans array<string>")
+    candidates = spark.createDataFrame([(1, "x", 1, "a", "n", "d", 1)], "record_id long, span string, unique_id long, level2 string, name string, name_definition string, rank int")
+    with pytest.raises(ValueError):
+        M.matching_requests(records, candidates, kinds)
+    combos = spark.createDataFrame([(1, "a", ["a"], 1)], "draw_id long, anchor string, members array<string>, size int")
+    modes = spark.createDataFrame([("sparse", "S", "I", [])], f"mode string, system string, instruction string, shots {R.SHOTS}")
+    with pytest.raises(ValueError):
+        G.generation_requests(combos, None, modes)
+
+
+def test_overlapping_tables_are_errors(spark):
+    split = spark.createDataFrame([(f"s{i}", ["x"], "train") for i in range(20)], "sentence string, skills array<string>, split string")
+    negatives = spark.createDataFrame([(f"s{i}", ["y"]) for i in range(20)], "sentence string, skills array<string>")
+    with pytest.raises(ValueError):
+        G.with_negatives(split, negatives)
+
+
+def test_gold_is_among_the_letters(spark):
+    many = [f"o{i}" for i in range(30)]
+    df = spark.createDataFrame([(many, "o28"), (many, "o3"), (many, "new"), ([], "new")], "c array<string>, g string")
+    got = [r.o for r in df.select(K.with_gold(F.col("c"), F.col("g")).alias("o")).collect()]
+    assert got[0] == ["o28", *[o for o in many if o != "o28"]] and got[1] == many and got[2] == ["new", *many[:-1]] and got[3] == ["new"]
+
+
+def test_spans_without_vectors_have_no_vector_candidates(spark):
+    tax = spark.createDataFrame([(1, "a", "x", "x", [1.0, 0.0])], "unique_id long, level2 string, name string, name_definition string, embedding array<double>")
+    records = spark.createDataFrame([(1, ["a", "b"])], "record_id long, spans array<string>")
+    vectors = spark.createDataFrame([(1, "a", [1.0, 0.0]), (1, "b", None)], "record_id long, span string, embedding array<double>")
+    found = K.select_candidates(records, tax, 2, "embeddings", span_vectors=vectors)
+    assert [(r.span, r.unique_id, r["rank"]) for r in found.collect()] == [("a", 1, 1)]

@@ -123,3 +123,18 @@ def test_additional_info(spark):
     tax = spark.createDataFrame([("a", "A, AA", "first"), ("b", None, "second")], "name string, alt_labels string, description string")
     got = R.additional_info(combos, tax).first().additional
     assert got == "1) b : can also be referred as :  and described as : second.2) a : can also be referred as : A, AA and described as : first."
+
+
+def test_list_text_escapes_control_characters(spark):
+    from spanloom.functions.text import parse_list
+
+    items = ["a\tb", "c\x01d", "e\rf\ng", "it's", 'say "x"', "back\\slash"]
+    row = spark.createDataFrame([(items,)], "l array<string>").select(R.list_text(F.col("l")).alias("t")).select(
+        "t", parse_list("t").alias("back")).first()
+    assert row.t == repr(items) and row.back == items
+
+
+def test_status_without_refine_text_is_an_error(spark):
+    rows = spark.createDataFrame([("s", [("user", "x")], "nothing marked")], f"sentence string, messages {R.MESSAGES}, answer string")
+    with pytest.raises(Exception, match="no refine text"):
+        R.retry_requests(rows, {"BAD-BOUNDS": "close"}).collect()
