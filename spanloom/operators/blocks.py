@@ -6,14 +6,16 @@ pairs are never written out.
 
 * A right side of at most ``broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes
   (both counted first) is shipped to the tasks once and the left side streams past it, unshuffled.
-* A larger one is cut into hash blocks of about ``block_rows`` rows; left chunks
-  meet right blocks in co-grouped tasks of bounded size, and a ranked window
-  merges the k best of each block. Blocks are cut by row id, so copies of one
+* A larger one is written once and cut into hash blocks of about BLOCK_BYTES; left
+  chunks meet right blocks in co-grouped tasks of bounded size, and a ranked
+  window merges the k best of each block. Fewer, larger blocks mean fewer copies
+  of the left rows; the score matrix of a step is bounded by its cells. Blocks are cut by row id, so copies of one
   vector or name spread over all of them.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Callable, Iterator
 
@@ -24,10 +26,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spanloom.operators.ordering import top_k
+from spanloom.session import cut_lineage
+
+LOG = logging.getLogger("spanloom.blocks")
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 128 << 20
-BLOCK_ROWS = 8_192
+BLOCK_BYTES = 32 << 20
+LEAST_BLOCK, MOST_BLOCK = 1_024, 65_536
+CELLS = 4 << 20  # scores computed at a time
 SELF_ROWS = 256
 SCALE = 10**9  # scores are ranked and returned rounded to 9 decimals
 MISSING = np.iinfo(np.int64).min
@@ -42,6 +49,8 @@ def best_columns(scores: np.ndarray, blocked: np.ndarray, k: int, floor: float |
     does not depend on how the rows were batched.
     """
     rounded = np.rint(scores * SCALE).astype(np.int64)
+    if scores.size and np.abs(rounded).max() > 2 * SCALE:  # too large to be packed with a column
+        return _best_unpacked(rounded, blocked, k, floor)
     packed = rounded * 2**32 - np.arange(scores.shape[1], dtype=np.int64)
     packed[blocked] = MISSING
     if floor is not None:
@@ -58,6 +67,14 @@ def best_columns(scores: np.ndarray, blocked: np.ndarray, k: int, floor: float |
     return columns, np.take_along_axis(rounded, columns, axis=1) / SCALE, values != MISSING
 
 
+def _best_unpacked(rounded: np.ndarray, blocked: np.ndarray, k: int, floor: float | None):
+    out = blocked.copy()
+    if floor is not None:
+        out |= rounded <= int(np.rint(floor * SCALE))
+    columns = np.lexsort((-rounded, out), axis=1)[:, :k]  # stable: the lower column wins a tie
+    return columns, np.take_along_axis(rounded, columns, axis=1) / SCALE, ~np.take_along_axis(out, columns, axis=1)
+
+
 def nothing(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     none = np.array([], dtype=np.int64)
     return pd.DataFrame({
@@ -84,6 +101,7 @@ class RightSide:
 
 def search(left: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor, skip_same: bool,
            left_rows: int = 1024) -> Iterator[pd.DataFrame]:
+    left_rows = max(16, min(left_rows, CELLS // max(1, len(right.ids))))
     for start in range(0, len(left), left_rows):
         part = left.iloc[start:start + left_rows]
         scores = kernel(part["left_value"], right.data)
@@ -117,14 +135,15 @@ def best_matches(
     floor: float | None = None,
     skip_same: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
     probes=None,
     spread_left: bool = False,
 ) -> DataFrame:
     """(left_id, right_group, right_id, score, rank) for the k best per left row and group.
 
     ``left`` has (left_id, left_value), ``right`` has (right_group, right_id,
-    right_value); ids are unique on their side. Scores not above ``floor`` are
+    right_value); ids are unique on their side, a repeated right id
+    is an error. Scores not above ``floor`` are
     dropped. Ties go to the smaller right id. ``spread_left`` deals the left
     rows out evenly first; use it for kernels that cost far more than their
     input's bytes suggest.
@@ -137,8 +156,12 @@ def best_matches(
         T.StructField("score", T.DoubleType()),
         T.StructField("rank", T.IntegerType()),
     ])
-    rows, size = measure(right)
-    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
+    rows, size, ids = measure(right)
+    if ids != rows:
+        raise ValueError(f"{rows - ids} right ids are repeated or null")
+    small_enough = rows <= broadcast_rows and size <= BROADCAST_BYTES
+    LOG.info("right side of %d rows, %d bytes: %s", rows, size, "broadcast" if small_enough else "blocked")
+    if small_enough:
         small = right.toArrow().to_pandas()
         if skip_same:  # the left side is as small as the right one: give every core a share
             left = left.repartition(max(1, math.ceil(rows / SELF_ROWS)), "left_id")
@@ -154,8 +177,10 @@ def best_matches(
 
         return left.select("left_id", "left_value").mapInPandas(stream, schema)
 
+    right = cut_lineage(right, "right")
+    block_rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
     if probes is None:
-        left_probes, right_blocks = hash_blocks(left, right, block_rows)
+        left_probes, right_blocks = hash_blocks(left, right, block_rows, rows)
     else:
         left_probes, right_blocks = probes(left, right, block_rows)
     chunks = max(1, math.ceil(left.count() / block_rows))
@@ -178,17 +203,19 @@ def best_matches(
     return top_k(met, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
 
 
-def measure(right: DataFrame) -> tuple[int, int]:
-    """Rows and payload bytes of the right side."""
+def measure(right: DataFrame) -> tuple[int, int, int]:
+    """Rows, payload bytes and distinct ids (per group) of the right side, in one pass."""
     vector = isinstance(right.schema["right_value"].dataType, T.ArrayType)
     payload = F.size("right_value") * 8 if vector else F.octet_length("right_value")
-    found = right.agg(F.count("*").alias("n"), F.coalesce(F.sum(payload), F.lit(0)).alias("bytes")).first()
-    return found["n"], found["bytes"]
+    per_id = right.where(F.col("right_id").isNotNull()).groupBy("right_group", "right_id").agg(
+        F.count("*").alias("n"), F.sum(payload.cast("bigint")).alias("bytes"))
+    found = per_id.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), F.count("*").alias("ids")).first()
+    return found["n"], found["bytes"], found["ids"]
 
 
-def hash_blocks(left: DataFrame, right: DataFrame, block_rows: int):
+def hash_blocks(left: DataFrame, right: DataFrame, block_rows: int, rows: int):
     """Every left row meets every right block."""
-    blocks = max(1, math.ceil(right.count() / block_rows))
+    blocks = max(1, math.ceil(rows / block_rows))
     right_blocks = right.withColumn("block", F.pmod(F.xxhash64("right_id"), F.lit(blocks)).cast("string"))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<string>"))
     return left.withColumn("block", every), right_blocks

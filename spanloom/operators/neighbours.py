@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.randomness import unit_random
 from spanloom.functions.vectors import unit
-from spanloom.operators.blocks import BLOCK_ROWS, BROADCAST_ROWS, best_matches
+from spanloom.operators.blocks import BROADCAST_ROWS, best_matches
 
 PIVOTS = 256
 SLACK = 1e-6
@@ -96,7 +96,7 @@ def search_vectors(
     threshold: float | None = None,
     skip_same: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Best k right vectors per left vector by dot product (see :func:`best_matches`).
 
@@ -129,7 +129,7 @@ def nearest(
 ) -> DataFrame:
     """(anchor, neighbour, sim, rank): the k most similar other names, then sim > threshold.
 
-    Names must be unique (merge the taxonomy first). The anchor is excluded by
+    Names must be unique (merge the taxonomy first; repeated names are an error). The anchor is excluded by
     name, not by being first in the list.
     """
     lhs, rhs = _sides(taxonomy, name, vector, taxonomy, name, vector)

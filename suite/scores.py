@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from spanloom.functions.randomness import unit_random
 from spanloom.operators import classify as Z
 from spanloom.operators import metrics as M
 from spanloom.operators import neighbours as N
+from spanloom.session import shared_folder
+from spanloom.sources import tables as S
 from suite.common import PREDICTIONS_SQL, joined, predictions, read, taxonomy, texts, u_sql
 
 DIGITS = 9
@@ -216,13 +220,49 @@ def multilabel_classifier(spark, folder):
     data = rows.select("doc_id", "text", truth.alias("truth"))
     total = P.distinct_count(data, "text")
     placed = P.assign_splits(data, "text", P.rest_sizes(total))
-    _, runs = Z.train_best(placed.where("split = 'train'"), placed.where("split <> 'train'"), "text", "truth", 2)
+    _, runs = Z.train_best(placed.where("split = 'train'"), placed.where("split <> 'train'"), "text", "truth", 2, seeds=(0, 1))
     return spark.createDataFrame(
-        [(r["run_id"], r["reg"], r["f1"], r["roc_auc"], r["accuracy"]) for r in runs],
-        "run_id int, reg double, f1 double, roc_auc double, accuracy double")
+        [(r["run_id"], r["seed"], r["reg"], r["f1"], r["roc_auc"], r["accuracy"]) for r in runs],
+        "run_id int, seed int, reg double, f1 double, roc_auc double, accuracy double")
+
+
+def classifier_predictions(spark, folder):
+    """The predict-only path through files. Models fitted in no steps hold the log odds of their label, which SQL knows."""
+    space = spark.sql("SELECT * FROM VALUES ('quality', 0L), ('toxic', 1L) AS t(label, label_id)")
+    rows = read(spark, folder, "documents").select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
+    gold = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
+    data = rows.select("doc_id", "text", F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("truth"), gold.alias("labels"))
+    model = Z.train(data.where("doc_id % 3 > 0"), "text", "truth", 2, iterations=0)
+    path = f"{shared_folder(spark)}/predicted-{uuid.uuid4().hex}"
+    Z.predict_to_files(model, data, space, "doc_id", "labels", path)
+    back = S.read_predictions(spark, path).select(joined("predictions").alias("predicted"), joined("gold").alias("gold"))
+    return back.groupBy("predicted", "gold").agg(F.count("*").alias("n"))
+
+
+PREDICTED_SQL = """WITH data AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)),
+odds AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM data WHERE doc_id % 3 > 0)
+SELECT array_to_string(list_filter([CASE WHEN q >= 0.15 THEN 'quality' END, CASE WHEN t >= 0.15 THEN 'toxic' END], lambda x: x IS NOT NULL), '|') AS predicted,
+       array_to_string(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), '|') AS gold,
+       count(*) AS n FROM data, odds GROUP BY ALL"""
+
+
+def classifier_logits(spark, folder):
+    """Logits of every document under the same models."""
+    rows = read(spark, folder, "documents").select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
+    data = rows.select("doc_id", "text", F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("truth"))
+    model = Z.train(data, "text", "truth", 2, iterations=0)
+    found = model.logits(read(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.round(F.col("logits")[0], 6).alias("quality"), F.round(F.col("logits")[1], 6).alias("toxic"))
+
+
+LOGITS_SQL = """WITH data AS (SELECT quality, toxic FROM documents JOIN labels USING (doc_id)),
+odds AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM data)
+SELECT doc_id, round(ln(q / (1 - q)), 6) AS quality, round(ln(t / (1 - t)), 6) AS toxic FROM documents, odds"""
 
 
 QUERIES = {
+    "classifier_predictions": (classifier_predictions, PREDICTED_SQL),
+    "classifier_logits": (classifier_logits, LOGITS_SQL),
     "entity_1to1": (entity_1to1, ONE_TO_ONE_SQL),
     "jaccard": (jaccard, JACCARD_SQL),
     "entity_quality": (entity_quality, QUALITY_SQL),
