@@ -55,7 +55,7 @@ def containing_entities(spans: DataFrame, taxonomy: DataFrame, span: str = "span
         .select("span", "low", F.col("rare.gram").alias("gram"))
     )
     found = rarest.join(index, "gram").join(texts, "entity").where(F.contains("text", "low"))
-    everywhere = texts.withColumn("low", F.lit("")).join(looked_up.where("low = ''"), "low")
+    everywhere = texts.withColumn("low", F.substring("text", 1, 0)).join(looked_up.where("low = ''"), "low")
     columns = [F.col("span").alias(span), F.col("entity").alias(entity)]
     return found.select(*columns).unionByName(everywhere.select(*columns))
 
