@@ -169,13 +169,16 @@ def train(df: DataFrame, text: str, lang: str, key: str, sample: int = SAMPLE, o
     """
     rows = df.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where(
         F.col("lang").isNotNull() & has_letter(F.col("text")))
-    rows = rows.withColumn("hash", F.xxhash64("text"))
+    rows = rows.withColumn("key", F.coalesce(F.col("key").cast("string"), F.lit("null"))).withColumn("hash", F.xxhash64("text"))
     one = ["lang", "key", "hash"]  # repeated rows count once
-    sizes = rows.select(*one).distinct().groupBy("lang").agg(F.count("*").alias("n"))
-    u = unit_random(seed, F.coalesce(F.col("key").cast("string"), F.lit("null")), F.col("hash"))
-    near = rows.withColumn("u", u).join(sizes, "lang").where(F.col("u") * F.col("n") < 1.5 * sample + 100).dropDuplicates(one)
+    known = rows.select(*one).distinct()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    near = known.withColumn("u", unit_random(seed, F.col("key"), F.col("hash"))).join(sizes, "lang").where(
+        F.col("u") * F.col("n") < 1.5 * sample + 100)
     order_in = Window.partitionBy("lang").orderBy("u", "key", "hash")
-    chosen = near.withColumn("rank", F.row_number().over(order_in)).where(F.col("rank") <= sample)
+    picked = near.withColumn("rank", F.row_number().over(order_in)).where(F.col("rank") <= sample).select(*one)
+    # no more than ``sample`` keys for each language; the texts themselves stay where they are
+    chosen = rows.join(F.broadcast(picked), one).dropDuplicates(one)
     counted = chosen.select("lang", utf8("text").alias("text")).mapInPandas(_count(order), "lang string, size int, gram bigint, n bigint")
     # bounded by the sample: its texts' distinct grams of up to order + 1 bytes
     table = counted.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "size", "gram"])
