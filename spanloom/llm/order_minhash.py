@@ -14,7 +14,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -29,6 +29,8 @@ SIMILARITY = 0.8
 #: Numbers worked on at a time, in sketches and in alignments.
 CELLS = 1 << 19
 FAR = 1 << 28
+#: Bits for the words of a text.
+BITS = 8192
 
 
 def word_bytes() -> bytes:
@@ -77,6 +79,31 @@ def sketches(words: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
+def word_bits(words: np.ndarray) -> np.ndarray:
+    """A bit for every word of a text together with how often it has stood before, among BITS."""
+    marked = np.zeros(BITS, np.uint8)
+    marked[(labelled_runs(words, 1) >> np.uint64(20)) % np.uint64(BITS)] = 1
+    return np.packbits(marked, bitorder="little").view(np.int64)
+
+
+def _marked(batches):
+    for rows in batches:
+        bits = [word_bits(np.frombuffer(w, np.uint32).astype(np.uint64)) for w in rows["words"]]
+        yield pd.DataFrame({"node": rows["node"], "bits": bits, "used": [int(np.bitwise_count(b.view(np.uint64)).sum()) for b in bits]})
+
+
+def _can_be_alike(similarity: float) -> Column:
+    """Whether a member and a leader can be alike, by length and by words in common.
+
+    An edit takes one word at most from what both have. Common words share a
+    bit, except for as many as share it with another word of their text.
+    """
+    longer, shorter = F.greatest("n_words", "leader_n"), F.least("n_words", "leader_n")
+    shared = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
+    most = shared + F.least(F.col("n_words") - F.col("used"), F.col("leader_n") - F.col("leader_used"))
+    return (longer - shorter <= (1 - similarity) * longer + 1e-9) & (most >= similarity * longer - 1e-9)
+
+
 def _named(texts, table: bytes):
     """Word hashes of each text and its node, the digest of its words; a text without any word goes by its bytes."""
     raw = [bytes(t) for t in texts]
@@ -228,40 +255,76 @@ def components(links: DataFrame) -> DataFrame:
         edges = after
 
 
-def _links(nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _placed(nodes: DataFrame) -> DataFrame:
+    """Every bucket entry (bucket, node, n_words, weight) with the bucket's leader, written once.
+
+    The weight of a text is the number of texts in all its buckets; the leader
+    is the heaviest, so that a group of copies with changes in different places
+    meets at the text most of them come from.
+    """
+    buckets = nodes.select("node", F.explode("sketches").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
+    weights = buckets.join(sizes, "bucket").groupBy("node").agg(F.sum("n").alias("weight"))
+    entries = nodes.join(weights, "node").select("node", "n_words", "weight", F.explode("sketches").alias("bucket"))
+    first = entries.groupBy("bucket").agg(F.min(F.struct(-F.col("weight"), "node", "n_words")).alias("l"))
+    leaders = first.select("bucket", F.col("l.node").alias("leader"), F.col("l.n_words").alias("leader_n"))
+    return cut_lineage(entries.join(leaders, "bucket"), "placed")
+
+
+def _pairs(met: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
+    """Distinct pairs of a text and a leader, and whether their lengths allow them to be alike."""
+    pairs = met.where("node <> leader").select(
+        F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader"),
+        F.greatest("n_words", "leader_n").alias("longer"), F.least("n_words", "leader_n").alias("shorter")).distinct()
+    return pairs, F.col("longer") - F.col("shorter") <= (1 - similarity) * F.col("longer") + 1e-9
+
+
+def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b) between texts that share a bucket.
 
-    In each round, leaders of the bucket's texts that have no leader yet are
-    compared with every other member; four times as many lead in the next round, so a
-    bucket of unlike texts is done in few rounds. A text similar to a leader, or
-    a leader itself, is settled; the rounds end when all are.
+    First every text is compared with the leaders of its buckets. Entries that
+    are not like their bucket's leader stay open; in further rounds the heaviest
+    open texts lead, eight times as many each round, and are compared with every
+    member of the bucket that has enough words in common, until each text leads
+    or is like a leader.
     """
-    members, open_members, found, leading = nodes, nodes, None, 1
-    order = Window.partitionBy("bucket").orderBy("node")
+    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
+    met, open_entries, members, found, leading = placed, None, None, None, 8
     while True:
-        # tasks send at most so many rows of a bucket on (Spark limits ranked groups before the shuffle)
-        leaders = open_members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leading).select(
-            "bucket", F.col("node").alias("leader"), F.col("n_words").alias("leader_words_n"))
-        met = members.join(leaders, "bucket").where("node <> leader")
-        near = F.abs(F.col("n_words") - F.col("leader_words_n")) <= (1 - similarity) * F.greatest("n_words", "leader_words_n") + 1e-9
-        pairs = met.where(near).select(F.greatest("node", "leader").alias("node"), F.least("node", "leader").alias("leader")).distinct()
-        if found is not None:
-            pairs = pairs.join(found, ["node", "leader"], "left_anti")
-        texts = pairs.join(words, "node").join(
+        pairs, near = _pairs(met, similarity)
+        pairs = cut_lineage(pairs.where(near) if found is None else pairs.where(near).join(found, ["node", "leader"], "left_anti"), "pairs")
+        texts = pairs.select("node", "leader").join(words, "node").join(
             words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
         tried = cut_lineage(texts.select("node", "leader", "words", "leader_words").mapInPandas(
             _verified(similarity), "node binary, leader binary, good boolean"), "tried")
         found = tried if found is None else found.unionByName(tried)
         good = found.where("good").select("node", "leader")
-        either = good.unionByName(good.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
-        settled = met.join(either, ["node", "leader"], "left_semi").select("bucket", "node").unionByName(
-            leaders.select("bucket", F.col("leader").alias("node"))).distinct()
-        left = open_members.join(settled, ["bucket", "node"], "left_anti")
-        open_members = cut_lineage(left, "open")
-        if open_members.isEmpty():
+        both = good.unionByName(good.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
+        if open_entries is None:
+            unlike = placed.where("node <> leader").select("node", "leader").distinct().join(both, ["node", "leader"], "left_anti")
+            left = placed.join(unlike, ["node", "leader"], "left_semi").select("bucket", "node", "n_words", "weight")
+        else:
+            led = leaders.join(both, "leader").select("bucket", "node").unionByName(leaders.select("bucket", F.col("leader").alias("node")))
+            left = open_entries.join(led.distinct(), ["bucket", "node"], "left_anti")
+        open_entries = cut_lineage(left, "open")
+        if open_entries.isEmpty():
             return good.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        members = cut_lineage(members.join(open_members.select("bucket").distinct(), "bucket", "left_semi"), "members")
-        leading = min(512, leading * 4)
+        # tasks send at most so many entries of a bucket on (Spark limits ranked groups before the shuffle)
+        leaders = cut_lineage(open_entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leading).select(
+            "bucket", F.col("node").alias("leader"), F.col("n_words").alias("leader_n")), "leaders")
+        if members is None:  # of all buckets that are open after the first round
+            entries = placed.select("bucket", "node", "n_words").join(open_entries.select("bucket").distinct(), "bucket", "left_semi")
+            bits = words.join(entries.select("node").distinct(), "node").mapInPandas(_marked, "node binary, bits array<bigint>, used int")
+            of_node = entries.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(bits, "node")
+            members = cut_lineage(entries.join(of_node, "node"), "members")
+        own = leaders.groupBy("leader").agg(F.collect_set("bucket").alias("led_buckets"))
+        led = members.withColumnRenamed("node", "leader").join(leaders, ["bucket", "leader"], "left_semi").join(own, "leader").select(
+            F.col("bucket").alias("led"), "led_buckets", "leader", F.col("n_words").alias("leader_n"),
+            F.col("bits").alias("leader_bits"), F.col("used").alias("leader_used"))
+        # a pair with several buckets in common meets in the smallest of them only
+        once = F.col("bucket") == F.array_min(F.array_intersect("led_buckets", "buckets"))
+        met = members.join(led, (F.col("bucket") == F.col("led")) & once & _can_be_alike(similarity)).select("node", "n_words", "leader", "leader_n")
+        leading = min(512, leading * 8)
 
 
 def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -281,15 +344,13 @@ def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILAR
                            T.StructField("sketches", T.ArrayType(T.LongType()))])
     known = given.where(F.col("text").isNotNull()).select(key, utf8("text").alias("text"))
     rows = cut_lineage(known.mapInPandas(_sketched(key), schema), "sketched")
-    copies = rows.groupBy("node").agg(F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
-    buckets = copies.select("node", "n_words", F.explode("sketches").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = cut_lineage(buckets.join(shared, "bucket").select("bucket", "node", "n_words"), "members")
+    placed = _placed(rows.groupBy("node").agg(F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches")))
     least = rows.groupBy("node").agg(F.min(key).alias("least"))
-    wanted = members.select("node").distinct().join(least, "node")
+    in_company = placed.where("node <> leader")
+    wanted = in_company.select("node").unionByName(in_company.select(F.col("leader").alias("node"))).distinct().join(least, "node")
     # one row of each node is enough: copies have the same words
     words = cut_lineage(wanted.join(known, F.col("least").eqNullSafe(F.col(key))).select("node", "text").mapInPandas(_word_numbers, "node binary, words binary").dropDuplicates(["node"]), "words")
-    roots = components(_links(members, words, similarity))
+    roots = components(_links(placed, words, similarity))
     named = roots.join(least, "node")
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
     of_node = least.join(classes, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
