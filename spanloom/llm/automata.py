@@ -8,7 +8,8 @@ reference is cut into shards of bounded size, a suffix automaton is built for
 each, and the spans are streamed past it for their matching statistics: wherever
 the longest match that ends at a word has at least a window's length, its words
 are removed. Automata compare the words themselves, so hashes only say where to
-look. A reference that many spans go to is sent to several groups.
+look. A reference that many spans go to is sent to several groups, by the words
+of those spans.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ SHARD_WORDS = 100_000
 #: Words of spans that one group streams.
 GROUP_WORDS = 1_000_000
 SENT = "block int, shard int, keys binary"
-ANSWERED = "block int, shard int, firsts binary, loads map<int,bigint>"
+ANSWERED = "block int, shard int, firsts binary"
+#: Pieces per block in which bytes are counted for the borders, texts per block that choose borders inside a key, and their bytes.
+PIECES, CHOSEN, PREFIX = 512, 16, 128
 SPANS = "ref int, source int, doc int, start int, n_words int, words binary, reference boolean"
 
 
@@ -76,11 +79,7 @@ def _answered(rows: pd.DataFrame) -> pd.DataFrame:
     owner = np.repeat(blocks, sizes)
     first = np.where(n > 1, owner[at] + 1, 0)[place]  # blocks ascend, so the first place is the first block
     parts = np.split(first, np.cumsum(sizes)[:-1])
-    loads = []
-    for block, part in zip(blocks, parts, strict=True):
-        targets, count = np.unique(part[(part > 0) & (part != block + 1)] - 1, return_counts=True)
-        loads.append(dict(zip(targets.tolist(), count.tolist(), strict=True)))
-    return pd.DataFrame({"block": blocks, "shard": rows["shard"], "firsts": [pack_numbers(p) for p in parts], "loads": loads})
+    return pd.DataFrame({"block": blocks, "shard": rows["shard"], "firsts": [pack_numbers(p) for p in parts]})
 
 
 def _runs(targets: np.ndarray, starts: np.ndarray):
@@ -91,6 +90,32 @@ def _runs(targets: np.ndarray, starts: np.ndarray):
     return zip(np.concatenate(([0], cut)), np.concatenate((cut, [len(starts)])) - 1, strict=True)
 
 
+def _places(key_name: str, window: int, rows: pd.DataFrame, answers: pd.DataFrame):
+    """Texts of a block, and its spans as (target block, document, first word, words, reference)."""
+    rows = _sorted(rows, key_name)
+    block, texts = int(rows["block"].iloc[0]), [bytes(t) for t in rows["text"]]
+    hashes, starts, sizes = _windows(texts, window)
+    _, at, place, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    first = np.concatenate([unpack_numbers(f) for f in answers.sort_values("shard")["firsts"]])[place]
+    here = (first == 0) | (first == block + 1)
+    earliest = at[place] == np.arange(len(hashes))
+    of_reference = here & earliest & ((first > 0) | (n[place] > 1))
+    repeats = ~here | ~earliest
+    target = np.where(here, block, first - 1)
+    ends = np.cumsum(sizes)
+    owner = np.searchsorted(ends, starts, "right")
+    found = []
+    for chosen, reference in ((of_reference, True), (repeats, False)):
+        which = np.flatnonzero(chosen)
+        # a text's number in the target keeps runs of neighbouring texts apart
+        for a, b in _runs(target[which] * len(texts) + owner[which], starts[which]):
+            doc = int(owner[which[a]])
+            begin = int(starts[which[a]] - (ends[doc] - sizes[doc]))
+            count = int(starts[which[b]] - starts[which[a]]) + window
+            found.append((int(target[which[a]]), doc, begin, count, reference))
+    return block, texts, found
+
+
 def _spans(key_name: str, window: int):
     """The spans of a block: its reference, and what may repeat the reference of an earlier block or its own."""
     columns = ["ref", "source", "doc", "start", "n_words", "words", "reference"]
@@ -98,35 +123,30 @@ def _spans(key_name: str, window: int):
     def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(answers):
             return pd.DataFrame(columns=columns)
-        rows = _sorted(rows, key_name)
-        block, texts = int(rows["block"].iloc[0]), [bytes(t) for t in rows["text"]]
-        hashes, starts, sizes = _windows(texts, window)
-        _, at, place, n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-        first = np.concatenate([unpack_numbers(f) for f in answers.sort_values("shard")["firsts"]])[place]
-        here = (first == 0) | (first == block + 1)
-        earliest = at[place] == np.arange(len(hashes))
-        of_reference = here & earliest & ((first > 0) | (n[place] > 1))
-        repeats = ~here | ~earliest
-        target = np.where(here, block, first - 1)
-        ends = np.cumsum(sizes)
-        owner = np.searchsorted(ends, starts, "right")
+        block, texts, found = _places(key_name, window, rows, answers)
         split, out = {}, []
-        for chosen, reference in ((of_reference, True), (repeats, False)):
-            which = np.flatnonzero(chosen)
-            # a text's number in the target keeps runs of neighbouring texts apart
-            for a, b in _runs(target[which] * len(texts) + owner[which], starts[which]):
-                doc = int(owner[which[a]])
-                if doc not in split:
-                    split = {doc: texts[doc].split()}
-                begin = int(starts[which[a]] - (ends[doc] - sizes[doc]))
-                count = int(starts[which[b]] - starts[which[a]]) + window
-                words = b" ".join(split[doc][begin: begin + count])
-                out.append((int(target[which[a]]), block, doc, begin, count, words, reference))
+        for target, doc, begin, count, reference in found:
+            if doc not in split:
+                split = {doc: texts[doc].split()}
+            out.append((target, block, doc, begin, count, b" ".join(split[doc][begin: begin + count]), reference))
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
+def _loads(key_name: str, window: int):
+    """Words of the spans that a block sends to each reference, every occurrence counted."""
+    def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        words: dict[int, int] = {}
+        if len(rows) and len(answers):
+            for target, _, _, count, reference in _places(key_name, window, rows, answers)[2]:
+                if not reference:
+                    words[target] = words.get(target, 0) + count
+        return pd.DataFrame(list(words.items()), columns=["ref", "load"])
+
+    return run
+
+
 class SuffixAutomaton:
     """All substrings of a sequence of word numbers; states keep length, suffix link and arcs."""
 
@@ -249,14 +269,53 @@ def _kept(key_name: str, columns: list[str]):
     return run
 
 
-def document_blocks(df: DataFrame, key: str, blocks: int) -> Column:
-    """Block of a row, rising with the key; borders are quantiles, rows of one key stay together, null is in the first."""
+def _inner_borders(df: DataFrame, key: str, text: str, parts: dict, piece: float) -> list[tuple]:
+    """(key, start of a text) that cut the rows of each heavy key into about so many parts of even bytes, in the order of texts."""
+    heavy = F.col(key).isNull() if None in parts else F.lit(False)
+    known = [k for k in parts if k is not None]
+    chosen = df.where(heavy | F.col(key).isin(known)).select(
+        F.col(key).alias("key"), F.substring(text, 1, PREFIX).alias("start"), _pieces(text, piece).alias("n")).where("n > 0").collect()
+    out = []
+    for k, n in parts.items():
+        starts = sorted((bytes(r["start"]), r["n"]) for r in chosen if r["key"] == k)
+        upto = np.cumsum([w for _, w in starts])
+        at = {int(np.searchsorted(upto, upto[-1] * i / n)) for i in range(1, n)} if len(starts) else ()
+        out += [(k, start) for start in sorted({starts[i][0] for i in at})]
+    return out
+
+
+def _pieces(text: str, piece: float) -> Column:
+    """Bytes of a text in pieces, up or down to a whole number by chance, so that sums are right."""
+    return F.floor(F.octet_length(text) / F.lit(float(piece)) + F.rand(29)).cast("int")
+
+
+def document_blocks(df: DataFrame, key: str, text: str, blocks: int, total: int) -> Column:
+    """Block of a row, rising with the key and by text within a key, null first; borders are quantiles of the texts' bytes.
+
+    A key that fills blocks of its own, or null, is cut at texts. Borders only
+    say where blocks end; what is removed doesn't depend on them. Texts of one
+    key that agree in their first PREFIX bytes stay together.
+    """
     if blocks == 1:
         return F.lit(0)
+    piece = max(1.0, total / (blocks * PIECES))
     parts = [i / blocks for i in range(1, blocks)]
-    borders = df.agg(F.percentile_approx(key, parts, 10 * max(1000, blocks)).alias("b")).first()["b"] or []
-    border = F.array(*[F.lit(b) for b in sorted(set(borders))])
-    return F.coalesce(F.size(F.filter(border, lambda b: b < F.col(key))), F.lit(0)) if borders else F.lit(0)
+    weighed = df.select(key, F.explode(F.array_repeat(F.lit(True), _pieces(text, piece))))
+    found = weighed.agg(F.percentile_approx(key, parts, 10 * max(1000, blocks)).alias("b"), F.count(F.when(F.col(key).isNull(), 1)).alias("n")).first()
+    borders = found["b"] or []
+    heavy = {k: borders.count(k) + 1 for k in sorted(set(borders)) if borders.count(k) > 1}
+    if found["n"] > PIECES:
+        heavy[None] = -(-found["n"] // PIECES)
+    number = F.lit(0)
+    if borders:
+        light = F.array(*[F.lit(b) for b in sorted(set(borders))])
+        number = F.coalesce(F.size(F.filter(light, lambda b: b < F.col(key))), F.lit(0))
+    for k in heavy:  # rows of the key after those of smaller keys
+        number += F.when(F.col(key).isNotNull() if k is None else F.col(key) >= F.lit(k), 1).otherwise(0)
+    for k, start in _inner_borders(df, key, text, heavy, total / (blocks * CHOSEN)) if heavy else ():
+        later = F.col(key).isNotNull() if k is None else F.coalesce(F.col(key) > F.lit(k), F.lit(False))
+        number += F.when(later | (F.col(key).eqNullSafe(F.lit(k)) & (F.col(text) >= F.lit(start))), 1).otherwise(0)
+    return number
 
 
 def remove_repeats(df: DataFrame, key: str, text: str, window: int = 20, with_text: bool = False) -> DataFrame:
@@ -271,15 +330,17 @@ def remove_repeats(df: DataFrame, key: str, text: str, window: int = 20, with_te
     searched whole. An empty table gives an empty result, other columns are ignored.
     """
     given = df.select(F.col(key), utf8(text).alias("text"))
-    blocks, shards = number_of_blocks(text_bytes(given, "text"))
-    rows = dealt(given, document_blocks(given, key, blocks), blocks)
+    total = text_bytes(given, "text")
+    blocks, shards = number_of_blocks(total)
+    rows = dealt(given, document_blocks(given, key, "text", blocks, total), blocks)
     asked = rows.groupBy("block").applyInPandas(_asked(key, window, shards), SENT)
     answers = asked.groupBy("shard").applyInPandas(_answered, ANSWERED)
-    spans = rows.groupBy("block").cogroup(answers.select("block", "shard", "firsts").groupBy("block")).applyInPandas(_spans(key, window), SPANS)
-    # later windows that go to each reference: so many groups share them
-    loads = answers.select(F.explode("loads").alias("ref", "load")).groupBy("ref").agg(
-        F.ceil(F.sum("load") / GROUP_WORDS).cast("int").alias("groups"))
-    wide = spans.join(loads, "ref", "left").withColumn("groups", F.greatest(F.coalesce("groups", F.lit(1)), F.lit(1)))
+    told = rows.groupBy("block").cogroup(answers.groupBy("block"))
+    spans = told.applyInPandas(_spans(key, window), SPANS)
+    # words of the spans that go to each reference: so many groups share them; a row for each busy reference
+    loads = told.applyInPandas(_loads(key, window), "ref int, load bigint").groupBy("ref").agg(
+        F.ceil(F.sum("load") / GROUP_WORDS).cast("int").alias("groups")).where("groups > 1")
+    wide = spans.join(F.broadcast(loads), "ref", "left").withColumn("groups", F.coalesce("groups", F.lit(1)))
     own = F.pmod(F.xxhash64("source", "doc", "start"), F.col("groups")).cast("int")
     spread = wide.withColumn("group", F.explode(F.when(F.col("reference"), F.sequence(F.lit(0), F.col("groups") - 1)).otherwise(F.array(own))))
     confirmed = spread.drop("groups").groupBy("ref", "group").applyInPandas(_confirmed(window), "source int, doc int, start int, end int")

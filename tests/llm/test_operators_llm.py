@@ -439,6 +439,49 @@ def test_removal_equals_brute_force(spark, monkeypatch, block_bytes):
     assert all(sum(s.end - s.start for s in r.spans) == r.n_removed for r in done)
 
 
+def test_spans_of_a_hot_passage_are_shared_out(spark, monkeypatch):
+    """One passage in every document: no group streams more than a few times its words."""
+    confirmed, passage = automata._confirmed, text(77, 25)
+
+    def limited(window):
+        run = confirmed(window)
+
+        def checked(rows):
+            assert rows.loc[~rows["reference"].to_numpy(bool), "n_words"].sum() <= 1500
+            return run(rows)
+
+        return checked
+
+    monkeypatch.setattr(automata, "number_of_blocks", lambda total: packed.number_of_blocks(total, 8000))
+    monkeypatch.setattr(automata, "GROUP_WORDS", 500)
+    monkeypatch.setattr(automata, "_confirmed", limited)
+    rows = [(i, f"{text(3000 + i, 9)} {passage} {text(4000 + i, 9)}") for i in range(300)]
+    done = automata.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in done) == brute_kept(rows, 20)
+
+
+def test_document_blocks_have_even_bytes(spark):
+    """Long texts at the end of the keys, one key and null with many texts: blocks follow bytes and the order of rows."""
+    rows = [(i, "s" * 20) for i in range(900)] + [(i, f"{i} " + "l" * 2000) for i in range(900, 1000)]
+    rows += [(500, f"{(i * 7919) % 1000:04} " + "h" * 400) for i in range(500)] + [(None, f"{(i * 7919) % 1000:04} " + "n" * 400) for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", automata.utf8("text").alias("text"))
+    total = packed.text_bytes(df, "text")
+    placed = df.withColumn("block", automata.document_blocks(df, "doc_id", "text", 20, total)).collect()
+    bytes_of = {}
+    for r in placed:
+        bytes_of[r.block] = bytes_of.get(r.block, 0) + len(r.text)
+    assert max(bytes_of.values()) <= 2.5 * total / 20
+    placed.sort(key=lambda r: (r.doc_id is not None, r.doc_id or 0, bytes(r.text)))
+    assert [r.block for r in placed] == sorted(r.block for r in placed)
+
+
+def test_removal_with_heavy_keys(spark, monkeypatch):
+    monkeypatch.setattr(automata, "number_of_blocks", lambda total: packed.number_of_blocks(total, 2000))
+    rows = [(None if k % 3 else 7 + k % 2, body) for k, (_, body) in enumerate(passages())] + [(1, text(5, 40)), (9, text(5, 40))]
+    done = automata.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()
+    assert sorted((r.doc_id or 0, r.n_words, r.n_removed, r.kept_sha256) for r in done) == brute_kept(rows, 20)
+
+
 def test_removal_of_nothing(spark, odd, none):
     assert automata.remove_repeats(none, "doc_id", "text").collect() == []
     rows = {r.doc_id: r for r in automata.remove_repeats(odd, "doc_id", "text").collect()}
