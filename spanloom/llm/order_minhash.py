@@ -4,8 +4,8 @@ A text's runs of five words are labelled with their occurrence. For each of 24
 hash functions the three smallest are taken and kept in text order: two texts
 share such a sketch only if the same runs stand in the same order, so sketches
 follow edit similarity, which min-hash alone does not. Texts that share a sketch
-meet through a leader of that bucket, never in all pairs, and every candidate
-pair is verified by an alignment of its words within a band around the diagonal.
+meet through a leader of that bucket, texts under different leaders only if their
+lengths and words allow them to be alike, and every candidate pair is verified by an alignment of its words within a band around the diagonal.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ CELLS = 1 << 19
 FAR = 1 << 28
 #: Bits for the words of a text.
 BITS = 8192
+#: Texts of a bucket that a task compares by their bits with as many others.
+TOGETHER = 512
 
 
 def word_bytes() -> bytes:
@@ -279,6 +281,59 @@ def _pairs(met: DataFrame, similarity: float) -> tuple[DataFrame, Column]:
     return pairs, F.col("longer") - F.col("shorter") <= (1 - similarity) * F.col("longer") + 1e-9
 
 
+def _tried(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (node, leader) and whether they are alike, written once."""
+    texts = pairs.select("node", "leader").join(words, "node").join(
+        words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
+    return cut_lineage(texts.select("node", "leader", "words", "leader_words").mapInPandas(
+        _verified(similarity), "node binary, leader binary, good boolean"), "tried")
+
+
+def _crossing(similarity: float):
+    """Pairs of a text and another of its bucket in a different component that can be alike, as in _can_be_alike."""
+    columns = ["node", "n_words", "leader", "leader_n"]
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):
+            bits, n, roots = np.stack(right["bits"].to_list()), right["n_words"].to_numpy(), right["root"].to_numpy()
+            spare, nodes = n - right["used"].to_numpy(), right["node"].to_numpy()
+            for node, size, own, used, root in zip(left["node"], left["n_words"], left["bits"], left["used"], left["root"], strict=True):
+                longer = np.maximum(n, size)
+                near = np.flatnonzero((longer - np.minimum(n, size) <= (1 - similarity) * longer + 1e-9) & (roots != root))
+                shared = np.bitwise_count((bits[near] & np.asarray(own)).view(np.uint64)).sum(axis=1, dtype=np.int64)
+                near = near[shared + np.minimum(size - used, spare[near]) >= similarity * longer[near] - 1e-9]
+                out.extend((node, size, nodes[i], n[i]) for i in near)
+        return pd.DataFrame(out, columns=columns)
+
+    return run
+
+
+def _between(late: DataFrame, members: DataFrame, good: DataFrame, similarity: float) -> DataFrame:
+    """Pairs that leaders leave out: a late entry (bucket, node) and a member (no leader) of its bucket in another component.
+
+    Components are those of the links found so far. Large buckets are cut on
+    both sides, so that a task compares a part with a part.
+    """
+    roots = components(good.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    columns = ["bucket", "node", "n_words", "bits", "used"]
+    rooted = members.join(late.select("bucket").distinct(), "bucket", "left_semi").select(*columns).join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node"))
+    mixed_up = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(
+        "low <> high").select("bucket", "n")
+    numbers = late.groupBy("bucket").agg(F.count("*").alias("n_late")).join(mixed_up, "bucket").select(
+        "bucket", F.ceil(F.col("n_late") / TOGETHER).cast("int").alias("rows"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
+    entries = cut_lineage(rooted.join(numbers, "bucket"), "crossing")
+    place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = entries.join(late, ["bucket", "node"], "left_semi").withColumn("row", place("rows", 1)).withColumn("part", every("parts"))
+    again = entries.select(*[F.col(c).alias(c) for c in entries.columns])
+    right = again.withColumn("part", place("parts", 2)).withColumn("row", every("rows"))
+    keys = ["bucket", "row", "part"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(
+        _crossing(similarity), "node binary, n_words int, leader binary, leader_n int")
+
+
 def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     """Verified links (a, b) between texts that share a bucket.
 
@@ -286,17 +341,16 @@ def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
     are not like their bucket's leader stay open; in further rounds the heaviest
     open texts lead, eight times as many each round, and are compared with every
     member of the bucket that has enough words in common, until each text leads
-    or is like a leader.
+    or is like a leader. Texts that became like a leader of a further round are
+    then compared with the bucket's members in other components, so that no link
+    between two clusters of a bucket is lost.
     """
     order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-    met, open_entries, members, found, leading = placed, None, None, None, 8
+    met, open_entries, members, found, leading, opened, all_leaders = placed, None, None, None, 8, None, None
     while True:
         pairs, near = _pairs(met, similarity)
         pairs = cut_lineage(pairs.where(near) if found is None else pairs.where(near).join(found, ["node", "leader"], "left_anti"), "pairs")
-        texts = pairs.select("node", "leader").join(words, "node").join(
-            words.select(F.col("node").alias("leader"), F.col("words").alias("leader_words")), "leader")
-        tried = cut_lineage(texts.select("node", "leader", "words", "leader_words").mapInPandas(
-            _verified(similarity), "node binary, leader binary, good boolean"), "tried")
+        tried = _tried(pairs, words, similarity)
         found = tried if found is None else found.unionByName(tried)
         good = found.where("good").select("node", "leader")
         both = good.unionByName(good.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
@@ -307,11 +361,13 @@ def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
             led = leaders.join(both, "leader").select("bucket", "node").unionByName(leaders.select("bucket", F.col("leader").alias("node")))
             left = open_entries.join(led.distinct(), ["bucket", "node"], "left_anti")
         open_entries = cut_lineage(left, "open")
+        opened = open_entries if opened is None else opened
         if open_entries.isEmpty():
-            return good.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+            break
         # tasks send at most so many entries of a bucket on (Spark limits ranked groups before the shuffle)
         leaders = cut_lineage(open_entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leading).select(
             "bucket", F.col("node").alias("leader"), F.col("n_words").alias("leader_n")), "leaders")
+        all_leaders = leaders if all_leaders is None else all_leaders.unionByName(leaders)
         if members is None:  # of all buckets that are open after the first round
             entries = placed.select("bucket", "node", "n_words").join(open_entries.select("bucket").distinct(), "bucket", "left_semi")
             bits = words.join(entries.select("node").distinct(), "node").mapInPandas(_marked, "node binary, bits array<bigint>, used int")
@@ -325,6 +381,14 @@ def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
         once = F.col("bucket") == F.array_min(F.array_intersect("led_buckets", "buckets"))
         met = members.join(led, (F.col("bucket") == F.col("led")) & once & _can_be_alike(similarity)).select("node", "n_words", "leader", "leader_n")
         leading = min(512, leading * 8)
+    if all_leaders is not None:
+        led = all_leaders.select("bucket", F.col("leader").alias("node")).unionByName(placed.where("node = leader").select("bucket", "node"))
+        late = cut_lineage(opened.select("bucket", "node").join(led, ["bucket", "node"], "left_anti"), "late")
+        if not late.isEmpty():
+            pairs, near = _pairs(_between(late, members.join(led, ["bucket", "node"], "left_anti"), good, similarity), similarity)
+            pairs = cut_lineage(pairs.where(near).join(found, ["node", "leader"], "left_anti"), "pairs")
+            good = good.unionByName(_tried(pairs, words, similarity).where("good").select("node", "leader"))
+    return good.select(F.col("node").alias("a"), F.col("leader").alias("b"))
 
 
 def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:

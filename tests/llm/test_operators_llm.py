@@ -179,6 +179,23 @@ def test_near_classes_of_a_large_group(spark):
     assert all(got[i] == 0 for i in range(290)) and all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+@pytest.mark.parametrize("together", [512, 2])
+def test_links_between_texts_of_different_leaders(spark, monkeypatch, together):
+    """In a bucket of many unlike texts, a is like the first leader, b like a later one; a and b are alike."""
+    monkeypatch.setattr(order_minhash, "TOGETHER", together)
+    first = np.arange(100, dtype=np.uint32)
+    a, b, later = first.copy(), first.copy(), first.copy()
+    a[:15] += 1000
+    b[:30] += 1000
+    later[:45] += 1000
+    texts = [first, later, *[np.arange(100, dtype=np.uint32) + 10_000 * i for i in range(1, 8)], a, b]
+    rows = [(1, bytes([i]), 100, 1000 - i, b"\x00", 100) for i in range(len(texts))]
+    placed = spark.createDataFrame(rows, "bucket long, node binary, n_words int, weight long, leader binary, leader_n int")
+    words = spark.createDataFrame([(bytes([i]), w.tobytes()) for i, w in enumerate(texts)], "node binary, words binary")
+    links = {frozenset((bytes(r.a)[0], bytes(r.b)[0])) for r in order_minhash._links(placed, words, 0.8).collect()}
+    assert links == {frozenset((0, 9)), frozenset((1, 10)), frozenset((9, 10))}
+
+
 def test_components_of_a_chain(spark):
     links = [(bytes([i]), bytes([i + 1])) for i in range(40)] + [(b"\xf0", b"\xf1"), (b"\xf1", b"\xf0")]
     got = {r.node: r.root for r in order_minhash.components(spark.createDataFrame(links, "a binary, b binary")).collect()}
