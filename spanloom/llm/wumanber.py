@@ -18,6 +18,8 @@ from spanloom.session import cut_lineage
 
 #: Benchmark text searched for in one pass; a larger benchmark takes more passes.
 PASS_BYTES = 2 << 20
+#: Parts by hash for each pass; passes are runs of parts, cut by their bytes.
+PARTS = 64
 #: Passes in one stage before the rows are written, so that a task holds few tables at a time.
 PASSES_PER_STAGE = 4
 SPANS = "array<struct<start:int,end:int>>"
@@ -115,6 +117,17 @@ def _scan(patterns):
     return run
 
 
+def pass_borders(sizes: dict[int, int], parts: int) -> list[int]:
+    """First part of every pass and the end: a pass takes parts until the next one's bytes would go beyond PASS_BYTES."""
+    borders, taken = [0], 0
+    for part, size in sorted(sizes.items()):
+        if taken and taken + size > PASS_BYTES:
+            borders.append(part)
+            taken = 0
+        taken += size
+    return [*borders, parts]
+
+
 def contaminated_spans(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
                        window: int = 10) -> DataFrame:
     """``row`` (struct of all input columns), ``n_words``, ``spans`` of hit words [start, end) and sorted ``items``.
@@ -128,15 +141,20 @@ def contaminated_spans(docs: DataFrame, bench: DataFrame, text: str = "text", it
     """
     spark = docs.sparkSession
     given = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), utf8(item_text).alias("body"))
-    total = given.agg(F.sum(F.octet_length("body"))).first()[0] or 0
-    passes = max(1, -(-total // PASS_BYTES))
+    given = cut_lineage(given.distinct(), "items")
+    total = given.agg(F.sum(F.octet_length("body").cast("bigint"))).first()[0] or 0
+    parts = PARTS * max(1, -(-total // PASS_BYTES))
+    given = given.withColumn("part", F.pmod(F.xxhash64("item", "body"), F.lit(parts)))
+    sizes = given.groupBy("part").agg(F.sum(F.octet_length("body").cast("bigint")).alias("n")).collect()
+    borders = pass_borders({r["part"]: r["n"] for r in sizes}, parts)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), utf8(text).alias("text")).select(
         "row", "text", F.lit(0).cast("bigint").alias("n_words"), F.array().cast(SPANS).alias("spans"),
         F.array().cast("array<string>").alias("items"))
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema.fields])
+    passes = len(borders) - 1
     for k in range(passes):
-        # about PASS_BYTES of items, sent to every worker
-        part = given.where(F.pmod(F.xxhash64("item", "body"), F.lit(passes)) == k).collect()
+        # at most PASS_BYTES of items unless one part is larger, sent to every worker
+        part = given.where((F.col("part") >= borders[k]) & (F.col("part") < borders[k + 1])).collect()
         patterns = shipped(spark, Patterns([(r["item"], bytes(r["body"])) for r in part], window))
         rows = rows.mapInArrow(_scan(patterns), schema)
         if k % PASSES_PER_STAGE == PASSES_PER_STAGE - 1 and k + 1 < passes:

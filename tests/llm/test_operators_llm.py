@@ -320,6 +320,23 @@ def test_hits_equal_brute_force(spark, monkeypatch):
     assert got == want
 
 
+def test_passes_are_bounded_with_repeated_items(spark, monkeypatch):
+    patterns, held = wumanber.Patterns, []
+
+    def counted(items, window):
+        held.append(sum(len(body) for _, body in items))
+        return patterns(items, window)
+
+    monkeypatch.setattr(wumanber, "PASS_BYTES", 2000)
+    monkeypatch.setattr(wumanber, "Patterns", counted)
+    items = [("same", text(31, 12))] * 200 + [(f"i{k}", text(600 + k, 12)) for k in range(60)]
+    docs = [(k, body) for k, (_, body) in enumerate(items[195:])]
+    found = wumanber.contaminated_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"))
+    got = {r.row.doc_id: r["items"] for r in found.collect()}
+    assert got == {k: [item] for k, (item, _) in enumerate(items[195:])}
+    assert max(held) <= 2000 and sum(held) == sum(len(body.encode()) for _, body in set(items))
+
+
 def test_no_benchmark_and_no_documents(spark, odd, none):
     bench = spark.createDataFrame([], "item_id string, text string")
     rows = wumanber.contaminated_spans(odd, bench).collect()
