@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from spanloom.llm import automata, backoff, bitslice, kdtree, mixing, order_minhash, ppm, quality, warc, wumanber
+from spanloom.llm import (
+    automata, backoff, bitslice, conversation_repair, kdtree, lemp, mixing, order_minhash, ppm, quality, token_counts, warc, wumanber,
+)
 from spanloom.llm.common import read, remainder
 from spanloom.session import cut_lineage, shared_folder
 
@@ -187,6 +189,101 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_re
 FROM d LEFT JOIN numbers USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+def op11_lemp_negatives(spark, folder):
+    key, label = F.col("vec_id"), F.col("label")
+    moved = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    index = lemp.index_rows(read(spark, folder, "embeddings"), "vec_id", "embedding", moved)
+    return lemp.hard_negatives(index, index.where("key % 100 = 0"))
+
+
+OP11_SQL = """WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS code FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = o.label AS same, o.vec_id, list_inner_product(a.code, o.code)::BIGINT AS score
+  FROM v a JOIN v o ON a.vec_id % 100 = 0 AND a.vec_id <> o.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id,
+       (row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id))::INTEGER AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5"""
+
+
+def op12_token_counts(spark, folder):
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(read(spark, folder, "documents").select("doc_id", "text"), "text",
+                                        public_tokenizers.path("piece_bpe_32k.model"))
+    size = F.coalesce(F.octet_length("row.text"), F.lit(0)).cast("bigint")
+    return counted.select("row.doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+def op13_hirschberg_repair(spark, folder):
+    rows = conversation_repair.damaged(read(spark, folder, "conversations"), "conv_id", "turn", "role", "text")
+    done = conversation_repair.repair(rows)
+    key = F.when(F.col("id") != "n", F.expr("substring(id, 2)")).cast("bigint")
+    return done.select(key.alias("conv_id"), "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+OP13_SQL = rf"""WITH RECURSIVE r AS (
+  SELECT conv_id, coalesce(conv_id::VARCHAR, ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {crc_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate FROM conversations),
+d AS (
+  SELECT c, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+         CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy FROM r WHERE fate <> 0),
+n AS MATERIALIZED (
+  SELECT *, row_number() OVER (
+           PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(strlen(role) || ':' || role || text), copy) AS i FROM d),
+f AS (
+  SELECT c, turn, role, text, i, role[1] AS initial, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS stop,
+         row_number() OVER (PARTITION BY c, role, text ORDER BY i) AS k,
+         lag(role[1]) OVER (PARTITION BY c ORDER BY i) AS before FROM n),
+g AS (
+  SELECT *, stop = '' AS blank, stop <> '' AND k > 1 AS duplicate, stop <> '' AND k = 1 AND stop NOT IN ('.', '!', '?') AS truncated
+  FROM f),
+closure(p, s, inserts) AS (
+  VALUES (0, 0, 0), (0, 2, 1), (0, 3, 2), (1, 1, 0), (1, 2, 1), (1, 3, 2), (2, 2, 0), (2, 3, 1), (3, 3, 0), (3, 2, 1)),
+moves(s, edit, q, price, letter) AS (
+  VALUES (0, 'D', 0, 4, ''), (1, 'D', 1, 4, ''), (2, 'D', 2, 4, ''), (3, 'D', 3, 4, ''), (0, 'R', 2, 3, ''), (1, 'R', 2, 3, ''),
+         (2, 'R', 3, 3, ''), (3, 'R', 2, 3, ''), (0, 'K', 1, 0, 's'), (0, 'K', 2, 0, 'u'), (1, 'K', 2, 0, 'u'), (3, 'K', 2, 0, 'u'),
+         (2, 'K', 3, 0, 'a')),
+paths AS (
+  SELECT DISTINCT c, 0::BIGINT AS i, 0 AS q, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM r
+  UNION ALL
+  SELECT g.c, g.i, m.q, min({{'cost': t.best.cost + 3 * x.inserts + m.price + CASE WHEN truncated AND edit <> 'D' THEN 3 ELSE 0 END,
+                             'audit': t.best.audit || repeat('I', x.inserts) || m.edit}})
+  FROM paths t JOIN g ON g.c = t.c AND g.i = t.i + 1 JOIN closure x ON x.p = t.q JOIN moves m ON m.s = x.s
+  WHERE edit = 'D' OR NOT (blank OR duplicate) AND (edit = 'R' OR letter = initial)
+  GROUP BY g.c, g.i, m.q),
+totals AS (
+  SELECT c, max(i) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+         count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps FROM g GROUP BY c),
+chosen AS (
+  SELECT p.c, min({{'cost': p.best.cost + 3 * e.n, 'audit': p.best.audit || repeat('I', e.n)}}) AS best
+  FROM paths p JOIN totals t ON t.c = p.c AND t.n = p.i JOIN (VALUES (0, 0), (1, 2), (2, 1), (3, 0)) e(q, n) ON e.q = p.q GROUP BY p.c),
+letters AS (
+  SELECT c, place, audit[place] AS edit, len(replace(audit[1 : place], 'I', '')) AS i
+  FROM (SELECT c, best.audit AS audit, unnest(range(1, len(best.audit) + 1)) AS place FROM chosen)),
+lines AS (
+  SELECT l.c, place, edit, CASE WHEN edit = 'I' THEN '' ELSE g.text END AS text, g.role,
+         row_number() OVER (PARTITION BY l.c ORDER BY place) - 1 AS nth,
+         edit = 'K' AND g.initial = 's' AS opening
+  FROM letters l LEFT JOIN g ON g.c = l.c AND g.i = l.i WHERE edit <> 'D'),
+spoken AS (
+  SELECT c, place, text, CASE WHEN edit = 'K' THEN role WHEN (nth - max(opening::INTEGER) OVER (PARTITION BY c)) % 2 = 0 THEN 'user'
+                              ELSE 'assistant' END AS role FROM lines),
+mended AS (SELECT c, string_agg(role || ':' || text, chr(10) ORDER BY place) AS body FROM spoken GROUP BY c)
+SELECT DISTINCT r.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best.cost, 0)::BIGINT AS cost,
+       coalesce(best.audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM r LEFT JOIN totals USING (c) LEFT JOIN chosen USING (c) LEFT JOIN mended USING (c)"""
+
+
 QUERIES = {
     "op1_fair_mix": (op1_fair_mix, OP1_SQL),
     "op2_bit_slices": (op2_bit_slices, OP2_SQL),
@@ -198,4 +295,7 @@ QUERIES = {
     "op8_ppm_language": (op8_ppm_language, None),
     "op9_kd_shards": (op9_kd_shards, None),
     "op10_suffix_automata": (op10_suffix_automata, OP10_SQL),
+    "op11_lemp_negatives": (op11_lemp_negatives, OP11_SQL),
+    "op12_token_counts": (op12_token_counts, None),
+    "op13_hirschberg_repair": (op13_hirschberg_repair, OP13_SQL),
 }
