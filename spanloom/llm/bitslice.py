@@ -13,36 +13,34 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.llm.common import by_key, finite, quantised
 from spanloom.session import cut_lineage
 
 BLOCK = 8192
 QUERIES = 512
-SCALE = 256
-#: Larger quantised components would leave the 64-bit range of a score; such vectors take no part.
-LARGEST = 1 << 24
-
-
-def quantised(vector: Column) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * SCALE).cast("bigint"))
+#: Components below this are kept as 64-bit numbers, in a block with larger ones all as numbers of any size.
+SMALL = float(1 << 61)
 
 
 def index_rows(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """``row`` (its own number), ``key`` and ``code`` (quantised vector) of the rows that can take part."""
-    usable = df.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("x")).where(
-        F.col("key").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0))
-    usable = usable.where(F.forall("x", lambda v: F.coalesce(F.abs(v.cast("double")) < LARGEST / SCALE, F.lit(False))))
-    return usable.select(F.monotonically_increasing_id().alias("row"), "key", quantised(F.col("x")).alias("code"))
+    """``row`` (its own number), ``key`` and ``code`` (floor(256 * x), as doubles) of the rows that can take part.
+
+    Null and empty vectors and those with a null or non-finite component are
+    left out; a finite component may have any size, and a key may be null.
+    """
+    usable = df.select(F.col(key).cast("bigint").alias("key"), F.col(vector).alias("x")).where(finite("x"))
+    return usable.select(F.monotonically_increasing_id().alias("row"), "key", quantised("x").alias("code"))
 
 
 def bitmaps(values: np.ndarray, bits: int) -> np.ndarray:
     """Slice b of one component: rows as bits of 64-bit words."""
     rows = -(-len(values) // 64) * 64
     planes = np.zeros((bits, rows), np.uint8)
-    planes[:, : len(values)] = (values[None, :] >> np.arange(bits)[:, None]) & 1
+    planes[:, : len(values)] = (values[None, :] >> np.arange(bits).astype(values.dtype)[:, None]) & 1
     return np.packbits(planes, axis=1, bitorder="little").view(np.uint64)
 
 
@@ -121,25 +119,32 @@ class SlicedBlock:
         return (words[at] * 64 + place).tolist()
 
 
+def _whole(codes: np.ndarray) -> np.ndarray:
+    """Doubles without fraction as integers."""
+    if not codes.size or np.abs(codes).max() < SMALL:
+        return codes.astype(np.int64)
+    return np.array([[int(x) for x in row] for row in codes.tolist()], object)
+
+
 def _matrix(codes) -> np.ndarray:
     """Rows of equal length; a shorter vector ends with zeros."""
     width = max(map(len, codes))
-    out = np.zeros((len(codes), width), np.int64)
+    out = np.zeros((len(codes), width))
     for i, c in enumerate(codes):
         out[i, : len(c)] = c
-    return out
+    return _whole(out)
 
 
 def _search(k: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = left.sort_values(["key", "row"])
-            rows, keys = left["row"].to_numpy(), left["key"].to_numpy()
+            left, keys = by_key(left)
+            rows = left["row"].to_numpy()
             own = {r: i for i, r in enumerate(rows)}
             block = SlicedBlock(_matrix(left["code"].tolist()))
             for row, query_key, code in zip(right["row"], right["key"], right["code"], strict=True):
-                for at, score in block.best(np.asarray(code, np.int64), k, own.get(row)):
+                for at, score in block.best(_whole(np.asarray(code)[None, :])[0], k, own.get(row)):
                     out.append((row, query_key, rows[at], keys[at], score))
         return pd.DataFrame(out, columns=["query_row", "query_id", "row", "vec_id", "score"])
 
@@ -151,19 +156,24 @@ def top_k(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
     Both sides come from :func:`index_rows` of one written table. Blocks of rows
     and blocks of queries meet in pairs, so a task holds one block of each; at
-    most k rows per query leave it. Ties go to the smaller key; rows with equal
-    keys count as different rows. A shorter vector counts as ending in zeros.
+    most k rows per query leave it. Ties go to the smaller key, null last; rows
+    with equal keys count as different rows. A shorter vector counts as ending in
+    zeros. Fewer than k rows are all given, an empty index or no query gives no
+    rows, and a score that 64 bits cannot hold is an error.
     """
+    index = index.withColumn("key", F.col("key").cast("string"))  # nulls pass through tasks as text
+    queries = queries.select(F.col("row").alias("row"), F.col("key").cast("string").alias("key"), F.col("code").alias("code"))
     rows, asked = index.count(), queries.count()
     blocks, groups = max(1, -(-rows // BLOCK)), max(1, -(-asked // QUERIES))
     dealt = lambda df, name, n, salt: df.withColumn(name, F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = dealt(index, "block", blocks, 1).withColumn("group", every(groups))
     right = dealt(queries, "group", groups, 2).withColumn("block", every(blocks))
-    schema = "query_row bigint, query_id bigint, row bigint, vec_id bigint, score bigint"
+    schema = "query_row bigint, query_id string, row bigint, vec_id string, score bigint"
     found = left.groupBy("block", "group").cogroup(right.groupBy("block", "group")).applyInPandas(_search(k), schema)
-    order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    order = Window.partitionBy("query_row", "query_id").orderBy(F.desc("score"), F.col("vec_id").cast("bigint").asc_nulls_last(), "row")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+        F.col("query_id").cast("bigint").alias("query_id"), "rank", F.col("vec_id").cast("bigint").alias("vec_id"), "score")
 
 
 def written_index(df: DataFrame, key: str, vector: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pickle
 
 import numpy as np
+import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +48,30 @@ def utf8(text) -> Column:
     return F.coalesce(column, F.lit("")).cast("binary")
 
 
+def finite(vector) -> Column:
+    """Whether a vector has components, all of them numbers."""
+    column = F.col(vector) if isinstance(vector, str) else vector
+    numbers = F.forall(column, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    return column.isNotNull() & (F.size(column) > 0) & numbers
+
+
+def quantised(vector, scale: int = 256) -> Column:
+    """floor(scale * x) of every component, as doubles: exact whole numbers however large."""
+    def whole(x):
+        large = x.cast("double") * scale  # from 2**53 on every double is whole
+        return F.when(F.abs(large) < float(1 << 53), F.floor(large).cast("double")).otherwise(large)
+
+    return F.transform(F.col(vector) if isinstance(vector, str) else vector, whole)
+
+
+def by_key(frame: pd.DataFrame) -> tuple[pd.DataFrame, list]:
+    """Rows by key (whole numbers as text, null last), then row number, and their keys as they came."""
+    keys = frame["key"].tolist()
+    number = [0 if k is None else int(k) for k in keys]
+    order = np.lexsort((frame["row"].to_numpy(), number, [k is None for k in keys]))
+    return frame.iloc[order], [keys[i] for i in order]
+
+
 def chunks(texts, limit: int = CHUNK):
     """(first, last) index ranges of consecutive texts of about ``limit`` bytes; each range has one text at least."""
     start, total = 0, 0

@@ -3,9 +3,10 @@
 Points are groups of equal texts. Each step looks at all nodes of a level at
 once: the widest dimension of a node is cut where half of its bytes (or the
 share of its left shards) lie on either side. The cut is found by narrowing an
-interval of positions: one aggregation per pass gives the bytes of 1,024 bins
-per node, and only the bin with the median, one row per node, comes to the
-driver. Everything is DataFrame work; no text is moved.
+interval of positions: one aggregation per pass gives the bytes of 4,096 bins
+per node, and the bin with the median becomes the node's next interval. The
+nodes stay in tables, so neither the driver nor the plans grow with the shards.
+Everything is DataFrame work; no text is moved.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.window import Window
 from spanloom.operators.ordering import totals_before
 from spanloom.session import cut_lineage
 
-BINS = 1024
+BINS = 4096
 #: A group of equal texts that is heavier than this part of a shard is cut into pieces by its rows' keys.
 WHOLE_GROUP = 0.05
 PIECES = 4096
@@ -34,59 +35,37 @@ def category_axis(column: Column) -> Column:
     return F.coalesce(F.shiftright(F.crc32(column.cast("string")), 1), F.lit(0).cast("bigint"))
 
 
-def _at(values: list, node: Column, kind: str) -> Column:
-    """The entry of a list with one value per shard, at most as long as the number of shards."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>"), (node + 1).cast("int"))
-
-
-def _position(axes: list[str], choice: Column) -> Column:
-    """Sort key along the chosen axis: the coordinate, then the point's own number."""
-    places = F.array(*[F.col(a) * F.lit(1 << 31) + F.col("__tie") for a in axes])
-    return F.element_at(places, (choice + 1).cast("int"))
-
-
-def _cuts(points: DataFrame, axes: list[str], spans: dict[int, int], spread: dict[str, float], shards: int):
-    """Axis and largest left position of every node that has more than one shard."""
-    held = points.groupBy("__node").agg(
-        F.sum("__w").alias("w"), *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes]
-    ).collect()  # one row per node, so no more than shards
-    choice, lo, hi, need = [0] * shards, [0] * shards, [-1] * shards, [0.0] * shards
-    for row in held:
-        node, leaves = row["__node"], spans[row["__node"]]
-        if leaves < 2:
-            continue
-        widths = [(row[f"hi_{a}"] - row[f"lo_{a}"]) / spread[a] for a in axes]
-        axis = max(range(len(axes)), key=lambda i: (widths[i], -i))
-        choice[node], need[node] = axis, row["w"] * (leaves // 2) / leaves
-        lo[node], hi[node] = row[f"lo_{axes[axis]}"] << 31, (row[f"hi_{axes[axis]}"] + 1) << 31
-    cut = {}
-    open_nodes = {n for n in range(shards) if hi[n] >= lo[n]}
-    placed = points.withColumn("__pos", _position(axes, _at(choice, F.col("__node"), "int")))
-    while open_nodes:
-        low, high = _at(lo, F.col("__node"), "bigint"), _at(hi, F.col("__node"), "bigint")
-        step = [max(1, -(-(h - b + 1) // BINS)) for b, h in zip(lo, hi, strict=True)]
-        bins = placed.where(F.col("__pos").between(low, high)).groupBy(
-            "__node", ((F.col("__pos") - low) / _at(step, F.col("__node"), "bigint")).cast("bigint").alias("bin")
-        ).agg(F.sum("__w").alias("w"), F.min("__pos").alias("first"), F.max("__pos").alias("last"))
-        order = Window.partitionBy("__node").orderBy("bin")
-        counted = bins.withColumn("upto", F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        wanted = _at(need, F.col("__node"), "double")
-        middle = counted.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("w") < wanted)).collect()
-        found = {row["__node"]: row for row in middle}
-        for node in list(open_nodes):
-            row = found.get(node)
-            if row is None:  # the share is zero: nothing goes left
-                cut[node] = (choice[node], lo[node] - 1)
-            elif row["first"] == row["last"]:
-                before = row["upto"] - row["w"]
-                inside = row["upto"] - need[node] <= need[node] - before
-                cut[node] = (choice[node], row["first"] if inside else row["first"] - 1)
-            else:
-                lo[node], hi[node], need[node] = row["first"], row["last"], need[node] - (row["upto"] - row["w"])
-                continue
-            open_nodes.discard(node)
-            hi[node] = lo[node] - 1
-    return cut
+def _position(axes: list[str]) -> Column:
+    """Sort key along the ``axis`` of a node, from 1: the coordinate, then the point's own number."""
+    return F.element_at(F.array(*[F.col(a) * F.lit(1 << 31) + F.col("__tie") for a in axes]), F.col("axis"))
+
+
+def _widest(points: DataFrame, axes: list[str], spread: dict[str, float]) -> DataFrame:
+    """One row per node of several shards: its widest ``axis``, the interval of positions, and the bytes its left side needs."""
+    held = points.where("__leaves > 1").groupBy("__node", "__leaves").agg(
+        F.sum("__w").alias("w"), *[F.min(a).alias(f"lo_{a}") for a in axes], *[F.max(a).alias(f"hi_{a}") for a in axes])
+    widths = F.array(*[(F.col(f"hi_{a}") - F.col(f"lo_{a}")) / F.lit(spread[a]) for a in axes])
+    end = lambda side: F.element_at(F.array(*[F.col(f"{side}_{a}") for a in axes]), F.col("axis"))
+    return held.withColumn("axis", F.array_position(widths, F.array_max(widths)).cast("int")).select(
+        "__node", "axis", F.expr("__leaves div 2").alias("left"), (end("lo") * F.lit(1 << 31)).alias("lo"),
+        ((end("hi") + 1) * F.lit(1 << 31)).alias("hi"), (F.col("w") * F.expr("__leaves div 2") / F.col("__leaves")).alias("need"),
+        F.lit(None).cast("bigint").alias("cut"))
+
+
+def _narrowed(points: DataFrame, nodes: DataFrame, axes: list[str]) -> DataFrame:
+    """Nodes with the interval of the bin that has the median, or with the ``cut`` if that is settled."""
+    near = points.join(nodes, "__node").withColumn("pos", _position(axes)).where("pos BETWEEN lo AND hi")
+    bin_ = F.expr(f"(pos - lo) div ((hi - lo + {BINS}) div {BINS})")
+    bins = near.groupBy("__node", "need", bin_.alias("bin")).agg(
+        F.sum("__w").alias("w"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    order = Window.partitionBy("__node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)  # at most BINS rows
+    middle = bins.withColumn("upto", F.sum("w").over(order)).withColumn("before", F.col("upto") - F.col("w")).where(
+        "upto >= need AND before < need").select("__node", "first", "last", "upto", "before")
+    cut = F.expr("""CASE WHEN first IS NULL THEN lo - 1
+                         WHEN first = last THEN CASE WHEN upto - need <= need - before THEN first ELSE first - 1 END END""")
+    return nodes.join(middle, "__node", "left").select(  # without a middle the share is zero: nothing goes left
+        "__node", "axis", "left", F.coalesce("first", "lo").alias("lo"), F.coalesce("last", "hi").alias("hi"),
+        (F.col("need") - F.coalesce("before", F.lit(0))).alias("need"), cut.alias("cut"))
 
 
 def tree_leaves(points: DataFrame, axes: list[str], shards: int) -> DataFrame:
@@ -94,28 +73,26 @@ def tree_leaves(points: DataFrame, axes: list[str], shards: int) -> DataFrame:
 
     A node that has k shards gives its left side k // 2 of them and the bytes in
     proportion, so any number of shards comes out even. Points with the same
-    coordinate and number stay together.
+    coordinate and number stay together. All nodes of a level are a small written
+    table with one row each, joined to the points by whatever way its size allows.
     """
     whole = points.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
     spread = {a: float(whole[a] or 0) or 1.0 for a in axes}
-    spans = {0: shards}
-    points = points.withColumn("__node", F.lit(0))
-    while max(spans.values()) > 1:
-        cut = _cuts(points, axes, spans, spread, shards)
-        axis, limit, right = [0] * shards, [(1 << 63) - 1] * shards, [0] * shards
-        below = {}
-        for node, leaves in spans.items():
-            if leaves > 1:
-                axis[node], limit[node] = cut.get(node, (0, (1 << 63) - 1))
-                right[node] = node + leaves // 2
-                below |= {node: leaves // 2, right[node]: leaves - leaves // 2}
-            else:
-                below[node] = 1
-        here = F.col("__node")
-        points = points.withColumn("__node", F.when(
-            _position(axes, _at(axis, here, "int")) > _at(limit, here, "bigint"), _at(right, here, "int")).otherwise(here))
-        spans = below
-    return points
+    points = points.withColumns({"__node": F.lit(0), "__leaves": F.lit(shards)})
+    for _ in range((shards - 1).bit_length()):
+        nodes, settled = cut_lineage(_widest(points, axes, spread), "kd-nodes"), None
+        while not nodes.isEmpty():
+            tried = cut_lineage(_narrowed(points, nodes, axes), "kd-nodes")
+            done, nodes = tried.where("cut IS NOT NULL"), tried.where("cut IS NULL")
+            settled = done if settled is None else settled.unionByName(done)
+        if settled is None:
+            break
+        given = points.join(settled.select("__node", "axis", "left", "cut"), "__node", "left")
+        right = F.coalesce(_position(axes) > F.col("cut"), F.lit(False))
+        leaves = F.when(F.col("cut").isNull(), F.col("__leaves")).when(right, F.col("__leaves") - F.col("left")).otherwise(F.col("left"))
+        node = F.col("__node") + F.when(right, F.col("left")).otherwise(0)
+        points = cut_lineage(given.withColumns({"__leaves": leaves.cast("int"), "__node": node.cast("int")}).select(points.columns), "kd-points")
+    return points.drop("__leaves")
 
 
 def kd_shards(df: DataFrame, key: str, text: str, categories: list[str], shards: int | None = None,
@@ -144,10 +121,10 @@ def kd_shards(df: DataFrame, key: str, text: str, categories: list[str], shards:
     group = ["__hash", "__crc", "__size"]
     limit = WHOLE_GROUP * total["bytes"] / shards
     # at most shards / WHOLE_GROUP groups are this heavy
-    heavy = [tuple(r) for r in rows.groupBy(*group).agg(F.sum("__size").alias("w")).where(F.col("w") > limit).select(*group).collect()]
-    is_heavy = F.lit(False) if not heavy else F.concat_ws(":", *group).isin([":".join(map(str, g)) for g in heavy])
-    piece = F.when(is_heavy, F.pmod(F.xxhash64("__key", F.lit(9)), F.lit(PIECES))).otherwise(F.lit(0).cast("bigint"))
-    rows = rows.withColumn("__piece", piece)
+    heavy = cut_lineage(rows.groupBy(*group).agg(F.sum("__size").alias("w")).where(F.col("w") > limit).select(
+        *group, F.lit(True).alias("__heavy")), "kd-heavy")
+    piece = F.when(F.col("__heavy"), F.pmod(F.xxhash64("__key", F.lit(9)), F.lit(PIECES))).otherwise(F.lit(0).cast("bigint"))
+    rows = rows.join(heavy, group, "left").withColumn("__piece", piece).drop("__heavy")
     axes = ["__axis_size", *[f"__axis{i}" for i in range(len(categories))]]
     points = cut_lineage(rows.groupBy(*group, "__piece").agg(
         F.sum("__size").alias("__w"), *[F.min(a).alias(a) for a in axes[1:]],

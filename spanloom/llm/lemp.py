@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanloom.llm.common import by_key, finite, quantised
 from spanloom.session import cut_lineage
 
-SCALE = 256
 #: Components of vectors in a block, and in a group of anchors: about 32 MB as doubles.
 BLOCK_VALUES = 4 << 20
 #: Rows of the smallest block worth a task of its own.
@@ -38,13 +38,9 @@ def index_rows(df: DataFrame, key: str, vector: str, label: Column) -> DataFrame
 
     Rows with a null label, a null or empty vector, or a null or non-finite component are left out.
     """
-    usable = df.select(F.col(key).cast("bigint").alias("key"), label.cast("bigint").alias("label"), F.col(vector).alias("x"))
-    finite = F.forall("x", lambda v: F.coalesce(F.abs(v.cast("double")) < float("inf"), F.lit(False)))
-    usable = usable.where(F.col("label").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(finite)
-    code = F.transform("x", lambda v: F.floor(v.cast("double") * SCALE).cast("double"))
-    large = F.transform("x", lambda v: v.cast("double") * SCALE)  # beyond 2**53 every double is whole
-    code = F.zip_with(code, large, lambda a, b: F.when(F.abs(b) < EXACT, a).otherwise(b))
-    return cut_lineage(usable.select(F.monotonically_increasing_id().alias("row"), "key", "label", code.alias("code")), "lemp")
+    usable = df.select(F.col(key).cast("bigint").alias("key"), label.cast("bigint").alias("label"), F.col(vector).alias("x")).where(
+        F.col("label").isNotNull() & finite("x"))
+    return cut_lineage(usable.select(F.monotonically_increasing_id().alias("row"), "key", "label", quantised("x").alias("code")), "lemp")
 
 
 def _matrix(codes, width: int = 0) -> np.ndarray:
@@ -130,15 +126,6 @@ def _best(rows, scores, more_rows, more_scores, k: int):
 NOTHING = (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _sorted(frame: pd.DataFrame) -> pd.DataFrame:
-    """Rows by the order of ties: key, null last, then row."""
-    return frame.sort_values(["key", "row"], na_position="last")
-
-
-def _keys(values) -> list:
-    return [None if pd.isna(v) else int(v) for v in values]
-
-
 def _positives(k: int, focus: int):
     """The k best rows of an anchor's own label in a block."""
     names = ["anchor_row", "anchor", "label", "code", "row", "key", "score"]
@@ -146,13 +133,13 @@ def _positives(k: int, focus: int):
     def run(group, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = _sorted(left)
             width = max(max(map(len, left["code"])), max(map(len, right["code"])))
             for label, some in left.groupby("label", sort=True):
                 anchors = right[right["label"] == label]
                 if not len(anchors):
                     continue
-                block, keys, rows = Block(_matrix(some["code"].tolist(), width)), _keys(some["key"]), some["row"].to_numpy()
+                some, keys = by_key(some)
+                block, rows = Block(_matrix(some["code"].tolist(), width)), some["row"].to_numpy()
                 for row, key, code in anchors[["row", "key", "code"]].itertuples(index=False, name=None):
                     best = NOTHING
                     found = block.scores(_matrix([code], width)[0], focus, lambda: best[1][-1] if len(best[1]) == k else -np.inf)
@@ -160,9 +147,7 @@ def _positives(k: int, focus: int):
                         other = rows[at] != row
                         best = _best(*best, at[other], scores[other], k)
                     out += [(row, key, label, code, rows[i], keys[i], int(s)) for i, s in zip(*best, strict=True)]
-        frame = pd.DataFrame(out, columns=names)
-        frame["key"] = pd.array(frame["key"].tolist(), dtype="Int64")
-        return frame
+        return pd.DataFrame(out, columns=names)
 
     return run
 
@@ -174,9 +159,9 @@ def _negatives(k: int, focus: int, low: int, high: int):
     def run(group, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            left = _sorted(left)
             width = max(max(map(len, left["code"])), max(map(len, right["code"])))
-            block, keys = Block(_matrix(left["code"].tolist(), width)), _keys(left["key"])
+            left, keys = by_key(left)
+            block = Block(_matrix(left["code"].tolist(), width))
             rows, labels = left["row"].to_numpy(), left["label"].to_numpy()
             for row, key, label, code, positives in right[["anchor_row", "anchor", "label", "code", "positives"]].itertuples(
                     index=False, name=None):
@@ -196,16 +181,15 @@ def _negatives(k: int, focus: int, low: int, high: int):
                             best[p] = _best(*best[p], at[fits], scores[fits], k)
                 out += [(row, p["row"], key, p["key"], int(p["score"]), rows[i], keys[i], int(s))
                         for p in positives for i, s in zip(*best.get(int(p["score"]), NOTHING), strict=True)]
-        frame = pd.DataFrame(out, columns=names)
-        for c in ("positive", "key"):
-            frame[c] = pd.array(frame[c].tolist(), dtype="Int64")
-        return frame
+        return pd.DataFrame(out, columns=names)
 
     return run
 
 
 def _met(left: DataFrame, right: DataFrame, blocks: int, groups: int, run, schema: str) -> DataFrame:
-    """Every block of rows meets every group of anchors, a pair to a task."""
+    """Every block of rows meets every group of anchors, a pair to a task; keys go through tasks as text, nulls kept."""
+    left = left.withColumn("key", F.col("key").cast("string"))
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])  # both sides may come from one table
     dealt = lambda df, key, name, n, salt: df.withColumn(name, F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(n)).cast("int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = dealt(left, "row", "block", blocks, 1).withColumn("group", every(groups))
@@ -229,22 +213,22 @@ def hard_negatives(index: DataFrame, anchors: DataFrame, positives: int = 5, neg
     of each; at most ``positives`` and ``negatives`` rows per anchor and pair leave it.
     """
     wide, n = index.agg(F.coalesce(F.max(F.size("code")), F.lit(0)), F.count("*")).first()
-    asked = anchors.count()
+    groups = max(1, -(-anchors.count() * wide // BLOCK_VALUES))
     per_block = max(1, BLOCK_VALUES // max(1, wide))
     tasks = index.sparkSession.sparkContext.defaultParallelism
-    groups = max(1, -(-asked // per_block))
     blocks = max(1, -(-n // per_block), min(-(-tasks // groups), n // SMALL_BLOCK))
-    schema = "anchor_row bigint, anchor bigint, label bigint, code array<double>, row bigint, key bigint, score bigint"
-    near = _met(index, anchors.select("row", "key", "label", "code"), blocks, groups, _positives(positives, focus), schema)
-    order = [F.desc("score"), F.asc_nulls_last("key"), "row"]
+    schema = "anchor_row bigint, anchor string, label bigint, code array<double>, row bigint, key string, score bigint"
+    asked = anchors.select("row", F.col("key").cast("string").alias("key"), "label", "code")
+    near = _met(index, asked, blocks, groups, _positives(positives, focus), schema)
+    order = [F.desc("score"), F.col("key").cast("bigint").asc_nulls_last(), "row"]
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_row").orderBy(*order))).where(F.col("rank") <= positives)
     found = near.groupBy("anchor_row").agg(  # some positives to an anchor
         F.first("anchor").alias("anchor"), F.first("label").alias("label"), F.first("code").alias("code"),
         F.collect_list(F.struct("row", "key", "score")).alias("positives"))
-    schema = ("anchor_row bigint, positive_row bigint, anchor bigint, positive bigint, positive_score bigint, row bigint, key bigint, "
+    schema = ("anchor_row bigint, positive_row bigint, anchor string, positive string, positive_score bigint, row bigint, key string, "
               "score bigint")
     far = _met(index, cut_lineage(found, "positives"), blocks, groups, _negatives(negatives, focus, low, high), schema)
     ranked = far.withColumn("rank", F.row_number().over(Window.partitionBy("anchor_row", "positive_row").orderBy(*order)))
     return ranked.where(F.col("rank") <= negatives).select(
-        F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("key").alias("negative_id"),
-        "positive_score", F.col("score").alias("negative_score"))
+        F.col("anchor").cast("bigint").alias("anchor_id"), F.col("positive").cast("bigint").alias("positive_id"), "rank",
+        F.col("key").cast("bigint").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))

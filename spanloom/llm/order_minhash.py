@@ -17,7 +17,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from spanloom.llm.common import chunks, grams, mixed, utf8, word_hashes
 from spanloom.session import cut_lineage
@@ -94,18 +93,6 @@ def _marked(batches):
         yield pd.DataFrame({"node": rows["node"], "bits": bits, "used": [int(np.bitwise_count(b.view(np.uint64)).sum()) for b in bits]})
 
 
-def _can_be_alike(similarity: float) -> Column:
-    """Whether a member and a leader can be alike, by length and by words in common.
-
-    An edit takes one word at most from what both have. Common words share a
-    bit, except for as many as share it with another word of their text.
-    """
-    longer, shorter = F.greatest("n_words", "leader_n"), F.least("n_words", "leader_n")
-    shared = F.aggregate(F.zip_with("bits", "leader_bits", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda n, x: n + x)
-    most = shared + F.least(F.col("n_words") - F.col("used"), F.col("leader_n") - F.col("leader_used"))
-    return (longer - shorter <= (1 - similarity) * longer + 1e-9) & (most >= similarity * longer - 1e-9)
-
-
 def _named(texts, table: bytes):
     """Word hashes of each text and its node, the digest of its words; a text without any word goes by its bytes."""
     raw = [bytes(t) for t in texts]
@@ -290,43 +277,57 @@ def _tried(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
 
 
 def _crossing(similarity: float):
-    """Pairs of a text and another of its bucket in a different component that can be alike, as in _can_be_alike."""
+    """Pairs of a text and another of its bucket, in different components, that can be alike by length and by words in common.
+
+    An edit takes one word at most from what both have. Common words share a
+    bit, except for as many as share it with another word of their text. A pair
+    with several buckets in common is given by the smallest of them.
+    """
     columns = ["node", "n_words", "leader", "leader_n"]
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
+            bucket = int(right["bucket"].iloc[0])
+            right = right.sort_values("n_words")
             bits, n, roots = np.stack(right["bits"].to_list()), right["n_words"].to_numpy(), right["root"].to_numpy()
-            spare, nodes = n - right["used"].to_numpy(), right["node"].to_numpy()
-            for node, size, own, used, root in zip(left["node"], left["n_words"], left["bits"], left["used"], left["root"], strict=True):
-                longer = np.maximum(n, size)
-                near = np.flatnonzero((longer - np.minimum(n, size) <= (1 - similarity) * longer + 1e-9) & (roots != root))
+            spare, nodes, sketched = n - right["used"].to_numpy(), right["node"].to_numpy(), right["sketches"].to_list()
+            most = right["most"].iloc[0]
+            for node, size, own, used, root, mine in left[["node", "n_words", "bits", "used", "root", "sketches"]].itertuples(index=False, name=None):
+                lengths = slice(*np.searchsorted(n, [int(size * similarity - 1e-9), int(size / similarity + 1e-9) + 1]))
+                near = np.flatnonzero(roots[lengths] != root) + lengths.start
+                longer = np.maximum(n[near], size)
+                near = near[longer - np.minimum(n[near], size) <= (1 - similarity) * longer + 1e-9]
                 shared = np.bitwise_count((bits[near] & np.asarray(own)).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                near = near[shared + np.minimum(size - used, spare[near]) >= similarity * longer[near] - 1e-9]
-                out.extend((node, size, nodes[i], n[i]) for i in near)
+                near = near[shared + np.minimum(size - used, spare[near]) >= similarity * np.maximum(n[near], size) - 1e-9]
+                for i in near.tolist():
+                    # both outside of the bucket's largest component: this task and its mirror image see the pair
+                    if (roots[i] == most or node > nodes[i]) and min(set(mine.tolist()).intersection(sketched[i].tolist())) == bucket:
+                        out.append((node, size, nodes[i], n[i]))
         return pd.DataFrame(out, columns=columns)
 
     return run
 
 
-def _between(late: DataFrame, members: DataFrame, good: DataFrame, similarity: float) -> DataFrame:
-    """Pairs that leaders leave out: a late entry (bucket, node) and a member (no leader) of its bucket in another component.
+def _between(placed: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket whose texts lie in different components and can be alike.
 
-    Components are those of the links found so far. Large buckets are cut on
-    both sides, so that a task compares a part with a part.
+    One of such a pair is outside of its bucket's largest component. These
+    entries meet all of the bucket; large buckets are cut on both sides, so that
+    a task compares a part with a part.
     """
-    roots = components(good.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    columns = ["bucket", "node", "n_words", "bits", "used"]
-    rooted = members.join(late.select("bucket").distinct(), "bucket", "left_semi").select(*columns).join(roots, "node", "left").withColumn(
-        "root", F.coalesce("root", "node"))
-    mixed_up = rooted.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where(
-        "low <> high").select("bucket", "n")
-    numbers = late.groupBy("bucket").agg(F.count("*").alias("n_late")).join(mixed_up, "bucket").select(
-        "bucket", F.ceil(F.col("n_late") / TOGETHER).cast("int").alias("rows"), F.ceil(F.col("n") / TOGETHER).cast("int").alias("parts"))
-    entries = cut_lineage(rooted.join(numbers, "bucket"), "crossing")
+    rooted = placed.select("bucket", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    by_root = rooted.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sizes = by_root.groupBy("bucket").agg(
+        F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.max("n").alias("inside")).where("inside < n")
+    parts = lambda n: F.ceil(F.col(n) / TOGETHER).cast("int")
+    sizes = sizes.withColumn("rows", F.ceil((F.col("n") - F.col("inside")) / TOGETHER).cast("int")).withColumn("parts", parts("n"))
+    entries = cut_lineage(rooted.join(sizes.select("bucket", "most", "rows", "parts"), "bucket"), "mixed")
+    marked = words.join(entries.select("node").distinct(), "node").mapInPandas(_marked, "node binary, bits array<bigint>, used int")
+    entries = cut_lineage(entries.join(nodes.select("node", "n_words", "sketches"), "node").join(marked, "node"), "crossing")
     place = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = entries.join(late, ["bucket", "node"], "left_semi").withColumn("row", place("rows", 1)).withColumn("part", every("parts"))
+    left = entries.where("root <> most").withColumn("row", place("rows", 1)).withColumn("part", every("parts"))
     again = entries.select(*[F.col(c).alias(c) for c in entries.columns])
     right = again.withColumn("part", place("parts", 2)).withColumn("row", every("rows"))
     keys = ["bucket", "row", "part"]
@@ -334,61 +335,20 @@ def _between(late: DataFrame, members: DataFrame, good: DataFrame, similarity: f
         _crossing(similarity), "node binary, n_words int, leader binary, leader_n int")
 
 
-def _links(placed: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
-    """Verified links (a, b) between texts that share a bucket.
+def _links(placed: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+    """Verified links (a, b): those that make one component of all alike texts that share a bucket.
 
-    First every text is compared with the leaders of its buckets. Entries that
-    are not like their bucket's leader stay open; in further rounds the heaviest
-    open texts lead, eight times as many each round, and are compared with every
-    member of the bucket that has enough words in common, until each text leads
-    or is like a leader. Texts that became like a leader of a further round are
-    then compared with the bucket's members in other components, so that no link
-    between two clusters of a bucket is lost.
+    First every text is compared with the leaders of its buckets. What these
+    links connect needs no further comparison; texts of one bucket that are still
+    in different components are then compared with each other.
     """
-    order = Window.partitionBy("bucket").orderBy(F.desc("weight"), "node")
-    met, open_entries, members, found, leading, opened, all_leaders = placed, None, None, None, 8, None, None
-    while True:
-        pairs, near = _pairs(met, similarity)
-        pairs = cut_lineage(pairs.where(near) if found is None else pairs.where(near).join(found, ["node", "leader"], "left_anti"), "pairs")
-        tried = _tried(pairs, words, similarity)
-        found = tried if found is None else found.unionByName(tried)
-        good = found.where("good").select("node", "leader")
-        both = good.unionByName(good.select(F.col("leader").alias("node"), F.col("node").alias("leader")))
-        if open_entries is None:
-            unlike = placed.where("node <> leader").select("node", "leader").distinct().join(both, ["node", "leader"], "left_anti")
-            left = placed.join(unlike, ["node", "leader"], "left_semi").select("bucket", "node", "n_words", "weight")
-        else:
-            led = leaders.join(both, "leader").select("bucket", "node").unionByName(leaders.select("bucket", F.col("leader").alias("node")))
-            left = open_entries.join(led.distinct(), ["bucket", "node"], "left_anti")
-        open_entries = cut_lineage(left, "open")
-        opened = open_entries if opened is None else opened
-        if open_entries.isEmpty():
-            break
-        # tasks send at most so many entries of a bucket on (Spark limits ranked groups before the shuffle)
-        leaders = cut_lineage(open_entries.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= leading).select(
-            "bucket", F.col("node").alias("leader"), F.col("n_words").alias("leader_n")), "leaders")
-        all_leaders = leaders if all_leaders is None else all_leaders.unionByName(leaders)
-        if members is None:  # of all buckets that are open after the first round
-            entries = placed.select("bucket", "node", "n_words").join(open_entries.select("bucket").distinct(), "bucket", "left_semi")
-            bits = words.join(entries.select("node").distinct(), "node").mapInPandas(_marked, "node binary, bits array<bigint>, used int")
-            of_node = entries.groupBy("node").agg(F.collect_set("bucket").alias("buckets")).join(bits, "node")
-            members = cut_lineage(entries.join(of_node, "node"), "members")
-        own = leaders.groupBy("leader").agg(F.collect_set("bucket").alias("led_buckets"))
-        led = members.withColumnRenamed("node", "leader").join(leaders, ["bucket", "leader"], "left_semi").join(own, "leader").select(
-            F.col("bucket").alias("led"), "led_buckets", "leader", F.col("n_words").alias("leader_n"),
-            F.col("bits").alias("leader_bits"), F.col("used").alias("leader_used"))
-        # a pair with several buckets in common meets in the smallest of them only
-        once = F.col("bucket") == F.array_min(F.array_intersect("led_buckets", "buckets"))
-        met = members.join(led, (F.col("bucket") == F.col("led")) & once & _can_be_alike(similarity)).select("node", "n_words", "leader", "leader_n")
-        leading = min(512, leading * 8)
-    if all_leaders is not None:
-        led = all_leaders.select("bucket", F.col("leader").alias("node")).unionByName(placed.where("node = leader").select("bucket", "node"))
-        late = cut_lineage(opened.select("bucket", "node").join(led, ["bucket", "node"], "left_anti"), "late")
-        if not late.isEmpty():
-            pairs, near = _pairs(_between(late, members.join(led, ["bucket", "node"], "left_anti"), good, similarity), similarity)
-            pairs = cut_lineage(pairs.where(near).join(found, ["node", "leader"], "left_anti"), "pairs")
-            good = good.unionByName(_tried(pairs, words, similarity).where("good").select("node", "leader"))
-    return good.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    pairs, near = _pairs(placed, similarity)
+    good = _tried(cut_lineage(pairs.where(near), "pairs"), words, similarity).where("good").select(
+        F.col("node").alias("a"), F.col("leader").alias("b"))
+    between, _ = _pairs(_between(placed, nodes, words, components(good), similarity), similarity)
+    more = _tried(cut_lineage(between, "pairs"), words, similarity).where("good").select(
+        F.col("node").alias("a"), F.col("leader").alias("b"))
+    return good.unionByName(more)
 
 
 def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILARITY) -> DataFrame:
@@ -408,13 +368,14 @@ def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILAR
                            T.StructField("sketches", T.ArrayType(T.LongType()))])
     known = given.where(F.col("text").isNotNull()).select(key, utf8("text").alias("text"))
     rows = cut_lineage(known.mapInPandas(_sketched(key), schema), "sketched")
-    placed = _placed(rows.groupBy("node").agg(F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches")))
+    nodes = cut_lineage(rows.groupBy("node").agg(F.max("n_words").alias("n_words"), F.first("sketches").alias("sketches")), "nodes")
+    placed = _placed(nodes)
     least = rows.groupBy("node").agg(F.min(key).alias("least"))
     in_company = placed.where("node <> leader")
     wanted = in_company.select("node").unionByName(in_company.select(F.col("leader").alias("node"))).distinct().join(least, "node")
     # one row of each node is enough: copies have the same words
     words = cut_lineage(wanted.join(known, F.col("least").eqNullSafe(F.col(key))).select("node", "text").mapInPandas(_word_numbers, "node binary, words binary").dropDuplicates(["node"]), "words")
-    roots = components(_links(placed, words, similarity))
+    roots = components(_links(placed, nodes, words, similarity))
     named = roots.join(least, "node")
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
     of_node = least.join(classes, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))

@@ -116,11 +116,26 @@ def test_top_k_odd_vectors(spark):
             (None, [1.0, 1.0]), (6, []), (7, [-1.0]), (5, [0.5, -0.5])]
     index = bitslice.written_index(spark.createDataFrame(rows, "vec_id long, v array<double>"), "vec_id", "v")
     got = [tuple(r) for r in bitslice.top_k(index, index.where("key = 0"), 5).orderBy("rank").collect()]
-    assert got == [(0, 1, 5, 32768), (0, 2, 5, 32768), (0, 3, 7, -65536)]
+    assert got == [(0, 1, None, 65536), (0, 2, 5, 32768), (0, 3, 5, 32768), (0, 4, 7, -65536)]
     empty = index.where("key > 100")
     assert bitslice.top_k(empty, empty, 5).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    """No finite vector is left out; a score that 64 bits can't hold is an error."""
+    rows = [(0, [70_000.0, 1.0]), (1, [70_000.0, 1.0]), (2, [-3e5, 2.5]), (3, [1e9, 0.0]), (4, [0.25, 1e-9]), (5, [0.0, 4e36])]
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "vec_id long, v array<double>, row int, key string")
+    index = bitslice.written_index(df, "vec_id", "v")
+    whole = {i: [int(np.floor(x * 256)) for x in v] for i, v in rows}
+    for query in (1, 2, 4):
+        rows_of = index if query == 4 else index.where("key < 5")
+        got = [tuple(r) for r in bitslice.top_k(rows_of, index.where(f"key = {query}"), 3).orderBy("rank").collect()]
+        scored = sorted((-sum(a * b for a, b in zip(whole[query], whole[c])), c) for c in whole if c != query and (c < 5 or query == 4))
+        assert got == [(query, i, c, -s) for i, (s, c) in enumerate(scored[:3], 1)]
+    with pytest.raises(Exception, match="(?i)too large|overflow"):
+        bitslice.top_k(index, index.where("key = 5"), 3).collect()
+
+
 # ---- near duplicates ----
 
 def test_alignment_bands_equal_full_table():

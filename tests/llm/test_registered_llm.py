@@ -22,7 +22,7 @@ def test_query_equals_its_sql(spark, name):
 
 def test_all_are_registered():
     names = set(entries.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op")}
     assert "pipeline" in names
 
 
