@@ -179,25 +179,102 @@ def best_matches(
 
     right = cut_lineage(right, "right")
     block_rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
+
+    def meet(left_blocks: DataFrame, right_blocks: DataFrame) -> DataFrame:
+        """The best k of each left row in the blocks it meets."""
+        chunks = max(1, math.ceil(left.count() / max(LEAST_BLOCK, block_rows)))
+        left_part = left_blocks.withColumn("chunk", F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int"))
+        right_part = right_blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+
+        def pair(left_rows, right_rows):
+            if len(left_rows) == 0 or len(right_rows) == 0:
+                return nothing(left_rows, right_rows)
+            side = RightSide(right_rows, prepare)
+            found = list(search(left_rows, side, kernel, k, floor, skip_same))
+            return pd.concat(found, ignore_index=True) if found else nothing(left_rows, right_rows)
+
+        met = (
+            left_part.groupBy("block", "chunk")
+            .cogroup(right_part.groupBy("block", "chunk"))
+            .applyInPandas(pair, schema)
+            .drop("rank")
+        )
+        return top_k(met, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
+
     if probes is None:
-        left_probes, right_blocks = hash_blocks(left, right, block_rows, rows)
-    else:
-        left_probes, right_blocks = probes(left, right, block_rows)
-    chunks = max(1, math.ceil(left.count() / block_rows))
-    left_part = left_probes.withColumn("chunk", F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int"))
-    right_part = right_blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def meet(left_rows, right_rows):
-        if len(left_rows) == 0 or len(right_rows) == 0:
-            return nothing(left_rows, right_rows)
-        side = RightSide(right_rows, prepare)
-        found = list(search(left_rows, side, kernel, k, floor, skip_same))
+        return meet(*hash_blocks(left, right, block_rows, rows))
+    found = probes(left, right, block_rows, rows, meet)
+    return found if "rank" in found.columns else top_k(found, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
+
+
+def matches_in_groups(
+    left: DataFrame,
+    right: DataFrame,
+    k: int,
+    kernel: Kernel,
+    prepare,
+    floor: float | None = None,
+    skip_same: bool = False,
+    broadcast_rows: int = BROADCAST_ROWS,
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Like :func:`best_matches` for left rows that ask for one group each: (left_id, right_group) pairs are unique.
+
+    A pair meets the right rows of its own group only. A group larger than a
+    block is cut into parts by row id, small groups share a task.
+    """
+    spark = left.sparkSession
+    schema = T.StructType([
+        T.StructField("left_id", left.schema["left_id"].dataType),
+        T.StructField("right_group", right.schema["right_group"].dataType),
+        T.StructField("right_id", right.schema["right_id"].dataType),
+        T.StructField("score", T.DoubleType()),
+        T.StructField("rank", T.IntegerType()),
+    ])
+    rows, size, ids = measure(right)
+    if ids != rows:
+        raise ValueError(f"{rows - ids} right ids are repeated or null")
+
+    def of_groups(asked: pd.DataFrame, sides: dict, keys: list[str]):
+        for group, some in asked.groupby(keys, sort=False):
+            if group in sides:
+                yield from search(some, sides[group], kernel, k, floor, skip_same)
+
+    def prepared(frame: pd.DataFrame, keys: list[str]) -> dict:
+        return {group: RightSide(some, prepare) for group, some in frame.groupby(keys, sort=False)}
+
+    if rows <= broadcast_rows and size <= BROADCAST_BYTES:
+        shipped = spark.sparkContext.broadcast(right.toArrow().to_pandas())
+
+        def stream(batches):
+            sides = prepared(shipped.value, ["right_group"])
+            for batch in batches:
+                yield from of_groups(batch, sides, ["right_group"])
+
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return left.select("left_id", "left_value", "right_group").repartition(tasks, "left_id", "right_group").mapInPandas(stream, schema)
+
+    right = cut_lineage(right, "right")
+    block_rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
+    buckets, chunks = max(1, math.ceil(rows / block_rows)), max(1, math.ceil(left.count() / max(LEAST_BLOCK, block_rows)))
+    parts = F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("parts")
+    sizes = cut_lineage(right.groupBy("right_group").agg(parts), "groups")
+    bucket = F.pmod(F.xxhash64("right_group", "part"), F.lit(buckets)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    left_part = left.join(sizes, "right_group").withColumn("part", every(F.col("parts"))).withColumn("bucket", bucket).withColumn(
+        "chunk", F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int"))
+    right_part = right.join(sizes, "right_group").withColumn("part", F.pmod(F.xxhash64("right_id"), F.col("parts")).cast("int")).withColumn(
+        "bucket", bucket).withColumn("chunk", every(F.lit(chunks)))
+
+    def pair(left_rows, right_rows):
+        keys = ["right_group", "part"]
+        found = list(of_groups(left_rows, prepared(right_rows, keys), keys)) if len(left_rows) and len(right_rows) else []
         return pd.concat(found, ignore_index=True) if found else nothing(left_rows, right_rows)
 
     met = (
-        left_part.groupBy("block", "chunk")
-        .cogroup(right_part.groupBy("block", "chunk"))
-        .applyInPandas(meet, schema)
+        left_part.drop("parts").groupBy("bucket", "chunk")
+        .cogroup(right_part.drop("parts").groupBy("bucket", "chunk"))
+        .applyInPandas(pair, schema)
         .drop("rank")
     )
     return top_k(met, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)

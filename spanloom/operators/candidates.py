@@ -10,7 +10,7 @@ from spanloom.functions.fuzzy import NameIndex, token_set_kernel
 from spanloom.functions.randomness import unit_random
 from spanloom.operators.blocks import best_matches
 from spanloom.operators.neighbours import nearest_entities
-from spanloom.operators.ordering import shuffled_positions, top_k
+from spanloom.operators.ordering import positions_by_number, shuffled_positions, top_k
 from spanloom.operators.requests import OPTION_COUNT
 from spanloom.operators.taxonomy import distinct_sentences
 
@@ -173,12 +173,16 @@ def nearest_support(
     """
     unique = distinct_sentences(support, "sentence", [row_id])
     near = nearest_entities(records, unique, k, record, vector, row_id, "embedding", **sizes)
-    sentences = unique.select(row_id, "sentence")
-    counts = support.groupBy("sentence").agg(F.count("*").alias("copies"))
+    digest = F.sha2("sentence", 256).alias("__digest")  # sentences themselves are no keys: only their digests move
+    sentences = unique.select(row_id, digest, "sentence")
+    counts = support.groupBy(digest).agg(F.count("*").alias("copies"))
     pick = F.floor(unit_random(seed, F.col(record), F.col("sentence")) * F.col("copies"))
-    wanted = near.join(sentences, row_id).join(counts, "sentence").select(record, "sentence", "sim", "rank", pick.alias("place"))
-    numbered = shuffled_positions(support.drop("embedding"), seed, [row_id], within=["sentence"], name="place")
-    return wanted.join(numbered, ["sentence", "place"]).where(F.size("spans") > 0).drop("place")
+    wanted = near.join(sentences, row_id).join(counts, "__digest").select(record, "__digest", "sim", "rank", pick.alias("place"))
+    columns = [c for c in support.columns if c not in ("embedding", "sentence")]
+    u = unit_random(seed, F.col("sentence"), F.col(row_id)).alias("__s")
+    numbered = positions_by_number(support.select(row_id, digest, u), F.col("__s"), [row_id], ["__digest"], "place").drop("__s")
+    rows = support.select("sentence", *columns)
+    return wanted.join(numbered, ["__digest", "place"]).drop("__digest", "place").join(rows, row_id).where(F.size("spans") > 0)
 
 
 def random_support(requests: DataFrame, support: DataFrame, k: int, seed=42, request: str = "record_id",

@@ -7,6 +7,7 @@ costs no group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -16,6 +17,7 @@ from pyspark.sql.window import Window
 
 from spanloom.functions.randomness import gumbel_key, size_from_uniform, unit_random
 from spanloom.operators.ordering import bucket_count, shuffled_positions, totals_before
+from spanloom.session import cut_lineage
 
 WEIGHT_STEPS = 2**50
 
@@ -203,7 +205,7 @@ def category_draws(anchors: DataFrame, affinity: DataFrame, seed=42) -> DataFram
 def diverse_combinations(
     draws: DataFrame,
     taxonomy: DataFrame,
-    neighbours: DataFrame,
+    neighbours: DataFrame | Callable[[DataFrame], DataFrame],
     affinity: DataFrame,
     size_weights,
     popularity: DataFrame | None = None,
@@ -215,7 +217,9 @@ def diverse_combinations(
 ) -> DataFrame:
     """(draw_id, anchor, members, size) with a category drawn for each slot.
 
-    ``neighbours`` come from :func:`nearest_per_category`. Without popularity a
+    ``neighbours`` come from :func:`nearest_per_category`, or are a function that
+    searches only the drawn (anchor, category) pairs it is given, as
+    :func:`nearest_of_pairs` does. Without popularity a
     category's slots take its nearest neighbours in turn, with it they take them
     in weighted random order. The r-th slot of a category gets the r-th entry;
     a slot whose category has no entry left stays empty.
@@ -228,6 +232,9 @@ def diverse_combinations(
     # a draw has a handful of slots
     turn = F.row_number().over(Window.partitionBy("draw_id", "slot_category").orderBy("slot"))
     slots = slots.withColumn("turn", turn)
+    if callable(neighbours):
+        slots = cut_lineage(slots, "slots")
+        neighbours = neighbours(slots.select("anchor", F.col("slot_category").alias("category")).distinct())
     lists = neighbour_lists(neighbours, popularity, missing, keys=("anchor", "category"))
     lists = lists.withColumnRenamed("category", "slot_category")
     ordered = (

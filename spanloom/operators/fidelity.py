@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spanloom.functions.text import words
 from spanloom.session import cut_lineage
@@ -11,20 +15,32 @@ from spanloom.session import cut_lineage
 START = "<s>"
 
 
-def bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w1, w2): the bigrams of each text from a start mark on; empty texts have none."""
-    tokens = F.concat(F.array(F.lit(START)), words(F.lower(text)))
-    count = F.greatest(F.size("tokens") - 1, F.lit(0))
-    pairs = F.zip_with(
-        F.slice("tokens", F.lit(1), count), F.slice("tokens", F.lit(2), count),
-        lambda a, b: F.struct(a.alias("w1"), b.alias("w2")),
-    )
-    return df.select(key, tokens.alias("tokens")).select(key, F.explode(pairs).alias("b")).select(key, "b.w1", "b.w2")
+def _counted(key: str):
+    """Distinct bigrams of every text with their number, text by text."""
+    def run(batches):
+        for batch in batches:
+            rows, first, second, times = [], [], [], []
+            for i, tokens in enumerate(batch["tokens"].to_pylist()):
+                for (a, b), n in Counter(zip(tokens, tokens[1:])).items():
+                    rows.append(i)
+                    first.append(a)
+                    second.append(b)
+                    times.append(n)
+            yield pa.RecordBatch.from_arrays(
+                [batch[key].take(pa.array(rows, pa.int64())), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(times, pa.int64())],
+                names=[key, "w1", "w2", "times"])
+
+    return run
 
 
 def text_bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, w1, w2, times): each bigram of a text once, merged on the map side and written once for the passes that follow."""
-    return cut_lineage(bigrams(df, key, text).groupBy(key, "w1", "w2").agg(F.count("*").alias("times")), "bigrams")
+    """(key, w1, w2, times): each bigram of a text once, from a start mark on, counted in its row without a shuffle.
+
+    Written once for the passes that follow; empty texts have none.
+    """
+    tokens = F.concat(F.array(F.lit(START)), F.coalesce(words(F.lower(text)), F.array().cast("array<string>")))
+    schema = T.StructType([df.schema[key], T.StructField("w1", T.StringType()), T.StructField("w2", T.StringType()), T.StructField("times", T.LongType())])
+    return cut_lineage(df.select(key, tokens.alias("tokens")).mapInArrow(_counted(key), schema), "bigrams")
 
 
 def bigram_model(counted: DataFrame) -> DataFrame:

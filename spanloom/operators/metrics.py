@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from spanloom.functions.text import NO_LABEL_PRESENT, UNDERSPECIFIED, UNKNOWN
 from spanloom.operators.ordering import sorted_positions, sorted_totals
 
 SENTINELS = (NO_LABEL_PRESENT, UNDERSPECIFIED)
+#: Cumulative chances of a Poisson number with mean 1, as far as a hash of 52 bits can tell.
+POISSON_STEPS = [sum(math.exp(-1) / math.factorial(i) for i in range(n + 1)) for n in range(17)]
 SCORE_THRESHOLD = 0.15  # fixed value: decision threshold on the sigmoid score
 
 
@@ -76,9 +80,8 @@ def entity_quality(predictions: DataFrame, gold: str = "gold", predicted: str =
     return one.join(many, by) if by else one.select("*", many.scalar().alias("jaccard_accuracy"))
 
 
-def micro_scores(predictions: DataFrame, gold: str = "gold", predicted: str = "predicted", unit: str = "set",
-                 by=()) -> DataFrame:
-    """tp, fp, fn, precision, recall, f1 over all records; a gold ``UNK`` is never missed.
+def record_counts(predictions: DataFrame, gold: str = "gold", predicted: str = "predicted", unit: str = "set") -> DataFrame:
+    """Add tp, fp, fn of each record; a gold ``UNK`` is never missed.
 
     ``unit='set'`` counts each predicted entity once per record,
     ``unit='span'`` once per span that was matched to it.
@@ -93,22 +96,53 @@ def micro_scores(predictions: DataFrame, gold: str = "gold", predicted: str = "p
         tp = F.size(F.filter(p, lambda x: F.array_contains(g, x)))
         fp = F.size(p) - tp
         fn = F.size(F.filter(known, lambda x: ~F.array_contains(p, x)))
-    counts = predictions.groupBy(*by).agg(
-        F.coalesce(F.sum(tp), F.lit(0)).alias("tp"), F.coalesce(F.sum(fp), F.lit(0)).alias("fp"),
-        F.coalesce(F.sum(fn), F.lit(0)).alias("fn"))
-    scored = counts.select(
+    return predictions.withColumns({"tp": tp, "fp": fp, "fn": fn})
+
+
+def total_scores(counts: DataFrame, by=(), weight: str | None = None) -> DataFrame:
+    """tp, fp, fn, precision, recall, f1 over all rows; with ``weight`` a row counts that often."""
+    times = F.lit(1) if weight is None else F.col(weight)
+    summed = counts.groupBy(*by).agg(*[F.coalesce(F.sum(F.col(c) * times), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")])
+    scored = summed.select(
         "*", ratio_or(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"),
         ratio_or(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"),
     )
     return scored.select("*", f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def micro_scores(predictions: DataFrame, gold: str = "gold", predicted: str = "predicted", unit: str = "set",
+                 by=(), weight: str | None = None) -> DataFrame:
+    """:func:`total_scores` of :func:`record_counts`."""
+    return total_scores(record_counts(predictions, gold, predicted, unit), by, weight)
+
+
 def resample_runs(df: DataFrame, key: str, runs: int, share: float, seed=42, run: str = "run_id") -> DataFrame:
     """Each row in a hash-random ``share`` of ``runs`` runs, numbered from 0."""
     numbered = df.drop(run).withColumn(run, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
     return numbered.where(unit_random(seed, F.lit("run"), F.col(run), F.col(key)) < share)
 
 
+def poisson_runs(df: DataFrame, key: str, runs: int, seed=42, run: str = "run_id", weight: str = "weight") -> DataFrame:
+    """Bootstrap without a draw: each row counts Poisson(1) times in each of ``runs`` runs, numbered from 0.
+
+    The count is the inverse CDF at the hash of (seed, run, key), so a retried
+    task gives it again; rows that count 0 times are left out.
+    """
+    numbered = df.drop(run).withColumn(run, F.explode(F.sequence(F.lit(0), F.lit(runs - 1))))
+    u = unit_random(seed, F.lit("poisson"), F.col(run), F.col(key))
+    # the number is bound to a name first, so that it is hashed once for all steps
+    times = F.transform(F.array(u), lambda x: sum((F.when(x >= edge, 1).otherwise(0) for edge in POISSON_STEPS), F.lit(0)))[0]
+    return numbered.withColumn(weight, times).where(F.col(weight) > 0)
+
+
+def run_intervals(per_run: DataFrame, metrics=("precision", "recall", "f1"), level: float = 0.95) -> DataFrame:
+    """(metric, low, high): the middle ``level`` of each metric over the runs, in proportion between runs."""
+    tails = [(1 - level) / 2, (1 + level) / 2]
+    found = per_run.agg(*[F.percentile(m, F.array(*map(F.lit, tails))).alias(m) for m in metrics])
+    entries = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m)[0].alias("low"), F.col(m)[1].alias("high")) for m in metrics])
+    return found.select(F.explode(entries).alias("e")).select("e.*")
+
+
 def summarise_runs(per_run: DataFrame, metrics=("precision", "recall", "f1")) -> DataFrame:
     """Mean and sample deviation of each metric over the runs."""
     return per_run.agg(
@@ -131,24 +165,27 @@ def unknown_labels(df: DataFrame, space: DataFrame, labels: str = "labels") -> D
     return found.join(space, "label", "left_anti")
 
 
-def multi_hot(df: DataFrame, space: DataFrame, key: str, labels: str = "labels", output: str = "truth") -> DataFrame:
-    """(key, output): 0/1 vector over the label space; an unknown label is an error.
-
-    Label ids are found by a join and collected per row (a row's own labels),
-    then spread to the full length.
-    """
+def label_ids(df: DataFrame, space: DataFrame, key: str, labels: str = "labels", output: str = "ids") -> DataFrame:
+    """(key, output): sorted numbers of a row's own labels; an unknown label is an error."""
     bad = unknown_labels(df, space, labels).limit(5).collect()
     if bad:
         raise ValueError(f"labels outside the label space: {[r['label'] for r in bad]}")
-    size = space.count()
-    ids = (
+    return (
         df.select(key, F.explode_outer(labels).alias("label")).join(space, "label", "left")
-        .groupBy(key).agg(F.collect_set("label_id").alias("ids"))
+        .groupBy(key).agg(F.array_sort(F.collect_set("label_id")).alias(output))
     )
+
+
+def multi_hot(df: DataFrame, space: DataFrame, key: str, labels: str = "labels", output: str = "truth") -> DataFrame:
+    """(key, output): 0/1 vector over the label space, spread from :func:`label_ids` row by row.
+
+    For large label spaces keep the numbers: :func:`sparse_metrics` and the classifier take them as they are.
+    """
+    size = space.count()
     vector = F.transform(
         F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains("ids", i.cast("bigint")).cast("double")
     ) if size else F.array().cast("array<double>")
-    return ids.select(key, vector.alias(output))
+    return label_ids(df, space, key, labels).select(key, vector.alias(output))
 
 
 def sigmoid(x: Column) -> Column:
@@ -160,24 +197,33 @@ def threshold_scores(logits, threshold: float = SCORE_THRESHOLD) -> Column:
     return F.transform(logits, lambda x: F.when(sigmoid(x) >= threshold, 1.0).otherwise(0.0))
 
 
-def labels_of(df: DataFrame, space: DataFrame, key: str, vector: str, output: str = "labels") -> DataFrame:
-    """(key, labels): names of the entries that are 1, in id order; none gives an empty list."""
-    ids = F.filter(F.transform(vector, lambda v, i: F.when(v == 1.0, i.cast("bigint"))), lambda i: i.isNotNull())
+def named_ids(df: DataFrame, space: DataFrame, key: str, ids: str, output: str = "labels") -> DataFrame:
+    """(key, labels): names of label numbers, in id order; none gives an empty list."""
     named = df.select(key, F.explode_outer(ids).alias("label_id")).join(space, "label_id", "left")
     entry = F.when(F.col("label").isNotNull(), F.struct("label_id", "label"))
     listed = named.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("l"))
     return listed.select(key, F.transform("l", lambda e: e["label"]).alias(output))
 
 
+def labels_of(df: DataFrame, space: DataFrame, key: str, vector: str, output: str = "labels") -> DataFrame:
+    """(key, labels): names of the entries that are 1, in id order; none gives an empty list."""
+    ids = F.filter(F.transform(vector, lambda v, i: F.when(v == 1.0, i.cast("bigint"))), lambda i: i.isNotNull())
+    return named_ids(df.select(key, ids.alias("__ids")), space, key, "__ids", output)
+
+
 def area_under_curve(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """One row ``roc_auc``: chance that a positive outranks a negative, ties count half.
 
     Rows are first merged per distinct score, so the running count works on
     distinct scores only.
     """
-    merged = scored.groupBy(score).agg(
+    return curve_of(scored.groupBy(score).agg(
         F.sum(F.col(truth).cast("bigint")).alias("pos"), F.sum(1 - F.col(truth).cast("bigint")).alias("neg")
-    )
+    ), score)
+
+
+def curve_of(merged: DataFrame, score: str = "score") -> DataFrame:
+    """:func:`area_under_curve` of distinct scores with the numbers ``pos`` and ``neg`` of rows that have them."""
     placed = sorted_totals(merged, [score], {"neg_below": F.col("neg")})
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2.0))
     all_pairs = F.sum("pos").cast("double") * F.sum("neg")
@@ -201,6 +247,37 @@ def multilabel_metrics(df: DataFrame, logits: str = "logits", truth: str = "trut
     return sums.select(micro.alias("f1"), auc.scalar().alias("roc_auc"), "accuracy")
 
 
+def sparse_metrics(df: DataFrame, n_labels: int, scores: str = "scores", truth: str = "ids", absent: float = -1e9,
+                   threshold: float = SCORE_THRESHOLD) -> DataFrame:
+    """:func:`multilabel_metrics` over sparse rows: ``scores`` as array of (label_id, logit), ``truth`` as label numbers.
+
+    A label that a row doesn't score has the logit ``absent``. Such entries are
+    counted, not written out: they are one score of the curve with a
+    multiplicity, so the rows that move follow the entries present.
+    """
+    if 1 / (1 + math.exp(min(700.0, -absent))) >= threshold:
+        raise ValueError("absent labels would be predicted")
+    given = F.coalesce(F.col(scores), F.array().cast(df.schema[scores].dataType))
+    gold = F.coalesce(F.array_distinct(truth), F.array().cast("array<bigint>"))
+    rows = df.select(given.alias("s"), gold.alias("g"))
+    chosen = F.transform(F.filter("s", lambda e: sigmoid(e["logit"]) >= threshold), lambda e: e["label_id"])
+    right = F.size(F.array_intersect(chosen, "g"))
+    on = F.size(F.array_intersect(F.transform("s", lambda e: e["label_id"]), "g"))
+    sums = rows.agg(
+        F.sum(right).alias("tp"), F.sum(F.size(chosen)).alias("predicted"), F.sum(F.size("g")).alias("gold"),
+        F.avg(((right == F.size(chosen)) & (right == F.size("g"))).cast("double")).alias("accuracy"),
+        F.sum(F.size("s")).alias("present"), F.sum(on).alias("on"), F.count("*").alias("n"))
+    present = rows.select("g", F.explode("s").alias("e")).select(
+        sigmoid(F.col("e.logit")).alias("score"), F.array_contains("g", F.col("e.label_id")).cast("bigint").alias("t"))
+    merged = present.groupBy("score").agg(F.sum("t").alias("pos"), F.sum(1 - F.col("t")).alias("neg"))
+    missing = F.col("n") * n_labels - F.col("present")
+    implicit = sums.select(sigmoid(F.lit(float(absent))).alias("score"), (F.col("gold") - F.col("on")).alias("pos"),
+                           (missing - F.col("gold") + F.col("on")).alias("neg")).where("pos + neg > 0")
+    merged = merged.unionByName(implicit).groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    micro = ratio_or(2 * F.col("tp"), F.col("predicted") + F.col("gold"))
+    return sums.select(micro.alias("f1"), curve_of(merged).scalar().alias("roc_auc"), "accuracy")
+
+
 def mean_reciprocal_rank(ranks: DataFrame, rank: str = "rank", by=()) -> DataFrame:
     """Mean of 1 / rank; a gold entry that was not ranked (null) counts 0."""
     return ranks.groupBy(*by).agg(F.avg(F.coalesce(1.0 / F.col(rank), F.lit(0.0))).alias("mrr"))

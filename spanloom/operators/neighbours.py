@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import logging
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -11,7 +14,10 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.randomness import unit_random
 from spanloom.functions.vectors import unit
-from spanloom.operators.blocks import BROADCAST_ROWS, best_matches
+from spanloom.operators.blocks import BROADCAST_ROWS, SCALE, best_matches, matches_in_groups
+from spanloom.session import cut_lineage
+
+LOG = logging.getLogger("spanloom.neighbours")
 
 PIVOTS = 256
 SLACK = 1e-6
@@ -29,19 +35,18 @@ def _angles(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(vectors @ pivots.T, -1.0, 1.0))
 
 
-def angular_probes(threshold: float, pivot_count: int = PIVOTS):
-    """Block layout that lets a left row skip cells which cannot hold a match.
+class Cells:
+    """Right rows in the cells of their nearest pivots, and what a left row can leave out.
 
-    Right rows go to the cell of their nearest pivot. By the triangle
-    inequality on angles, a left row needs a cell only if its angle to the
-    pivot is at most the threshold angle plus the cell's radius. The result is
-    exact. A crowded cell is cut further by row id.
+    By the triangle inequality on angles, no row of a cell is closer to a left
+    row than its angle to the pivot less the cell's radius. A crowded cell is cut
+    further by row id. Pivots, radii and row counts are a few hundred rows.
     """
 
-    def layout(left: DataFrame, right: DataFrame, block_rows: int):
-        spark = left.sparkSession
+    def __init__(self, right: DataFrame, block_rows: int, rows: int, pivot_count: int = PIVOTS):
+        spark = right.sparkSession
         chosen = right.orderBy(unit_random("pivot", F.col("right_id")), "right_id").select("right_value")
-        pivots = stack(chosen.limit(pivot_count).toPandas()["right_value"])
+        pivots = stack(chosen.limit(max(1, min(pivot_count, math.ceil(rows / block_rows)))).toPandas()["right_value"])
         shared = spark.sparkContext.broadcast(pivots)
 
         def to_cells(batches):
@@ -51,42 +56,105 @@ def angular_probes(threshold: float, pivot_count: int = PIVOTS):
                     cell = angles.argmin(axis=1)
                     yield batch.assign(cell=cell.astype("int32"), angle=angles[np.arange(len(cell)), cell])
 
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in right.schema.fields)
-        placed = right.mapInPandas(to_cells, f"{fields}, cell int, angle double")
+        placed = cut_lineage(right.mapInPandas(to_cells, f"{_fields(right)}, cell int, angle double"), "cells")
         # at most one row per pivot
         cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas()
-        parts = np.ones(len(pivots), dtype=np.int64)
-        radius = np.full(len(pivots), -np.inf)
-        parts[cells["cell"]] = np.ceil(cells["n"] / block_rows).astype(np.int64)
-        radius[cells["cell"]] = cells["radius"]
-        reach = spark.sparkContext.broadcast(radius)
-        part_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
-        right_blocks = placed.withColumn(
-            "block", F.concat_ws(":", "cell", F.pmod(F.xxhash64("right_id"), part_of))
-        ).drop("cell", "angle")
-
-        def to_probes(batches):
+        self.size, radius, n = len(pivots), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
+        radius[cells["cell"]], n[cells["cell"]] = cells["radius"], cells["n"]
+        parts = np.maximum(1, -(-n // block_rows))
+        self.part_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
+        self.right = placed.withColumn("block", F.concat_ws(":", "cell", F.pmod(F.xxhash64("right_id"), self.part_of))).drop("cell", "angle")
+        self.known = spark.sparkContext.broadcast((pivots, radius, n))
+
+    def probes(self, left: DataFrame, choose, name: str) -> DataFrame:
+        """Left rows with the cells that ``choose(values, lengths, angles, radius, rows, batch)`` picks, written once.
+
+        How many of all (row, cell) pairs are met goes to the log.
+        """
+        known = self.known
+
+        def run(batches):
+            pivots, radius, n = known.value
             for batch in batches:
-                if not len(batch):
-                    continue
-                vectors = stack(batch["left_value"])
-                length = np.linalg.norm(vectors, axis=1)
-                safe = np.where(length > 0, length, 1.0)
-                cut = threshold / safe
-                angles = _angles(vectors / safe[:, None], shared.value)
-                limit = np.arccos(np.clip(cut, -1.0, 1.0))[:, None] + reach.value[None, :] + SLACK
-                needed = (angles <= limit) & ((length > 0) & (cut < 1.0 + SLACK))[:, None]
-                yield batch.assign(cells=[np.flatnonzero(row).astype("int32") for row in needed])
-
-        left_fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
-        probing = left.mapInPandas(to_probes, f"{left_fields}, cells array<int>").withColumn("cell", F.explode("cells"))
-        every_part = F.explode(F.sequence(F.lit(0), part_of - 1)).alias("part")
-        left_blocks = probing.select("left_id", "left_value", "cell", every_part).withColumn(
-            "block", F.concat_ws(":", "cell", "part")
-        )
-        return left_blocks.drop("cell", "part"), right_blocks
-
-    return layout
+                if len(batch):
+                    vectors = stack(batch["left_value"])
+                    length = np.linalg.norm(vectors, axis=1)
+                    angles = _angles(vectors / np.where(length > 0, length, 1.0)[:, None], pivots)
+                    needed = choose(length, angles, radius, n, batch)
+                    yield batch.assign(cells=[np.flatnonzero(row).astype("int32") for row in needed])
+
+        found = cut_lineage(left.mapInPandas(run, f"{_fields(left)}, cells array<int>"), name)
+        if LOG.isEnabledFor(logging.INFO):
+            met, rows = found.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)), F.count("*")).first()
+            LOG.info("%s: %d of %d pairs of a row and a cell are met", name, met, rows * self.size)
+        return found
+
+    def blocks(self, probes: DataFrame) -> DataFrame:
+        """One left row for each block of the cells it meets."""
+        cells = probes.select("left_id", "left_value", F.explode("cells").alias("cell"))
+        every_part = F.explode(F.sequence(F.lit(0), self.part_of - 1)).alias("part")
+        return cells.select("left_id", "left_value", "cell", every_part).withColumn("block", F.concat_ws(":", "cell", "part")).drop("cell", "part")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _reach(length: np.ndarray, least: np.ndarray, angles: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Cells that may hold a dot product of at least ``least``; only those above 0 bound an angle."""
+    cut = np.where(length > 0, least / np.where(length > 0, length, 1.0), 0.0)
+    limit = np.arccos(np.clip(cut, -1.0, 1.0))[:, None] + radius[None, :] + SLACK
+    return ((angles <= limit) & (cut < 1.0 + SLACK)[:, None]) | ~((length > 0) & (least > -np.inf))[:, None]
+
+
+def _nearest_cells(k: int):
+    """The nearest cells that hold k rows together."""
+    def choose(length, angles, radius, n, batch):
+        order = np.argsort(angles, axis=1, kind="stable")
+        before = np.cumsum(n[order], axis=1) - n[order]
+        out = np.zeros(angles.shape, bool)
+        np.put_along_axis(out, order, before < k, axis=1)
+        return out & (n > 0)
+
+    return choose
+
+
+def angular_probes(threshold: float, pivot_count: int = PIVOTS):
+    """Plan that lets a left row skip the cells which cannot hold a match above a threshold. Exact."""
+    def plan(left: DataFrame, right: DataFrame, block_rows: int, rows: int, meet) -> DataFrame:
+        cells = Cells(right, block_rows, rows, pivot_count)
+
+        def choose(length, angles, radius, n, batch):
+            return _reach(length, np.full(len(length), threshold), angles, radius) & (length > 0)[:, None] & (n > 0)
+
+        return meet(cells.blocks(cells.probes(left, choose, "probes")), cells.right)
+
+    return plan
+
+
+def bounded_probes(k: int, skip_same: bool, pivot_count: int = PIVOTS):
+    """Plan without a threshold in two passes.
+
+    The first looks into the nearest cells that hold k rows, which gives every
+    left row a bound for its k-th best score; the second meets only the other
+    cells that may hold a score of at least that bound. Exact.
+    """
+    first = _nearest_cells(k + skip_same)
+
+    def plan(left: DataFrame, right: DataFrame, block_rows: int, rows: int, meet) -> DataFrame:
+        cells = Cells(right, block_rows, rows, pivot_count)
+        near = cut_lineage(meet(cells.blocks(cells.probes(left, first, "nearest_cells")), cells.right), "near")
+        bound = near.where(F.col("rank") == k).select("left_id", F.col("score").alias("least"))
+
+        def choose(length, angles, radius, n, batch):
+            least = batch["least"].to_numpy(float)
+            least = np.where(np.isnan(least), -np.inf, least - 1.0 / SCALE)  # scores are rounded
+            return _reach(length, least, angles, radius) & ~first(length, angles, radius, n, batch) & (n > 0)
+
+        others = cells.probes(left.join(bound, "left_id", "left"), choose, "other_cells")
+        return near.drop("rank").unionByName(meet(cells.blocks(others), cells.right).drop("rank"))
+
+    return plan
 
 
 def search_vectors(
@@ -97,14 +165,21 @@ def search_vectors(
     skip_same: bool = False,
     broadcast_rows: int = BROADCAST_ROWS,
     block_rows: int | None = None,
+    grouped: bool = False,
 ) -> DataFrame:
     """Best k right vectors per left vector by dot product (see :func:`best_matches`).
 
     Give unit vectors for cosine. With a threshold of at least 0 the blocked
-    plan prunes by angle; below that a zero vector could match and every block
-    is met.
+    plan prunes by angle, without one (or with one that a zero vector could
+    pass) by the bound of a first pass. ``grouped`` right sides have a best k in
+    every group, so every block is met.
     """
-    probes = angular_probes(threshold) if threshold is not None and threshold >= 0 else None
+    if grouped:
+        probes = None
+    elif threshold is not None and threshold >= 0:
+        probes = angular_probes(threshold)
+    else:
+        probes = bounded_probes(k, skip_same)
     return best_matches(
         left, right, k, dot_scores, stack, floor=threshold, skip_same=skip_same,
         broadcast_rows=broadcast_rows, block_rows=block_rows, probes=probes,
@@ -145,7 +220,22 @@ def nearest_per_category(
 ) -> DataFrame:
     """(anchor, category, neighbour, sim, rank): the k nearest of every category."""
     lhs, rhs = _sides(taxonomy, name, vector, taxonomy, name, vector, category)
-    found = search_vectors(lhs, rhs, k, threshold, skip_same=True, **sizes)
+    found = search_vectors(lhs, rhs, k, threshold, skip_same=True, grouped=True, **sizes)
+    return found.select(
+        F.col("left_id").alias("anchor"), F.col("right_group").alias("category"),
+        F.col("right_id").alias("neighbour"), F.col("score").alias("sim"), "rank",
+    )
+
+
+def nearest_of_pairs(
+    pairs: DataFrame, taxonomy: DataFrame, category: str, k: int, threshold: float | None = None, name: str = "name",
+    vector: str = "embedding", **sizes,
+) -> DataFrame:
+    """As :func:`nearest_per_category` for the distinct (anchor, category) ``pairs`` alone; nothing else is searched."""
+    lhs, rhs = _sides(taxonomy, name, vector, taxonomy, name, vector, category)
+    wanted = pairs.select(F.col("anchor").alias("left_id"), F.col("category").alias("right_group")).distinct()
+    found = matches_in_groups(
+        wanted.join(lhs, "left_id"), rhs.where(F.col("right_group").isNotNull()), k, dot_scores, stack, floor=threshold, skip_same=True, **sizes)
     return found.select(
         F.col("left_id").alias("anchor"), F.col("right_group").alias("category"),
         F.col("right_id").alias("neighbour"), F.col("score").alias("sim"), "rank",

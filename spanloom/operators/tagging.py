@@ -1,17 +1,28 @@
-"""Dictionary terms found in texts, as a join on word n-grams."""
+"""Dictionary terms found in texts by a trie over words.
+
+A text is cut into words and gaps once and walked once: from each word the trie
+is followed for as long as words and gaps agree, and every term that ends on the
+way is a hit. The cost of a text depends neither on the number of terms nor on
+their lengths, and no n-grams are written out.
+"""
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # A word with its trailing # or + (so that C, C# and C++ differ), or the gap between words.
 ATOM = r"(?U)\w+[#+]*|[^\w]+"
 BEFORE_WORDS = r"(?U)^[^\w]+"
 # Signs before the first word, the words, signs after the last one.
 TERM = r"(?Us)^([^\w]*)(.*\w[#+]*)([^\w]*)$"
-BROADCAST_TERMS = 200_000
-BROADCAST_BYTES = 32 << 20
+#: Bytes of terms in one trie; a larger dictionary is looked up in several passes, cut by first words.
+TRIE_BYTES = 16 << 20
 
 
 def atoms(text: Column) -> Column:
@@ -23,32 +34,81 @@ def term_words(term: Column) -> Column:
     return F.regexp_count(term, F.lit(r"(?U)\w+[#+]*"))
 
 
+class Trie:
+    """Terms by their words and inner gaps; a node maps a gap and the next word to a node.
+
+    A node holds the terms that end there as (signs before, signs after, values).
+    """
+
+    def __init__(self, terms):
+        """``terms``: (atoms of the words, signs before, signs after, values)."""
+        self.first = {}
+        for parts, lead, tail, values in terms:
+            node = self.first.setdefault(parts[0], ({}, []))
+            for i in range(1, len(parts), 2):
+                node = node[0].setdefault((parts[i], parts[i + 1]), ({}, []))
+            node[1].append((lead, tail, values))
+
+    def hits(self, parts: list[str], before: str):
+        """(place, values) of every term in a text of words and gaps; place 1 is the first word."""
+        first, n = self.first, len(parts)
+        for i in range(0, n, 2):
+            node, j = first.get(parts[i]), i
+            while node is not None:
+                if node[1]:
+                    gap, after = parts[i - 1] if i else before, parts[j + 1] if j + 1 < n else ""
+                    for lead, tail, values in node[1]:
+                        # beyond a term's signs there is another sign, or the end of the text
+                        led = not lead or gap.endswith(lead) and (len(gap) > len(lead) or not i)
+                        if led and (not tail or after.startswith(tail) and (len(after) > len(tail) or j + 2 >= n)):
+                            yield i + 1, values
+                node = node[0].get((parts[j + 1], parts[j + 2])) if node[0] and j + 2 < n else None
+                j += 2
+
+
+def _walked(box, columns: list[str], schema: pa.Schema):
+    def run(batches):
+        trie = Trie(box.value)
+        for batch in batches:
+            rows, places, found = [], [], []
+            for i, (parts, before) in enumerate(zip(batch["atoms"].to_pylist(), batch["before"].to_pylist(), strict=True)):
+                for place, values in trie.hits(parts or [], before or ""):
+                    rows.append(i)
+                    places.append(place)
+                    found.append(values)
+            out = [batch["key"].take(pa.array(rows, pa.int64())), pa.array(places, pa.int32())]
+            out += [pa.array([v[c] for v in found], schema.field(name).type) for c, name in enumerate(columns)]
+            yield pa.RecordBatch.from_arrays(out, names=["key", "place", *columns])
+
+    return run
+
+
 def dictionary_hits(df: DataFrame, key: str, text: str, entries: DataFrame) -> DataFrame:
     """(key, place, entry columns): every occurrence of a term, as whole words, case-sensitive.
 
-    Texts are cut into n-grams of only the lengths the dictionary has, and meet
-    the words of the terms in one equi-join, so the cost per text does not
-    depend on the number of terms. Signs around a term's words, as in ``.NET``
-    and ``(ISC)2``, are compared with the gaps around the n-gram; beyond them
-    there must be a space, another sign or the end of the text.
+    ``place`` counts words and gaps from 1, so words have odd places. Nested and
+    overlapping terms all count. Signs around a term's words, as in ``.NET`` and
+    ``(ISC)2``, are compared with the gaps around its words; beyond them there
+    must be a space, another sign or the end of the text. Null texts have no
+    hits, terms without a word are never found. The trie is sent to the tasks; a
+    dictionary beyond TRIE_BYTES takes a pass over the texts for each part of
+    that size, so no part grows with the dictionary.
     """
-    part = lambda i: F.regexp_extract("term", TERM, i)
+    spark = df.sparkSession
+    part = lambda i: F.regexp_extract("term", TERM, i)
     wanted = entries.where(term_words(F.col("term")) > 0).select(
-        "*", part(2).alias("__words"), part(1).alias("__lead"), part(3).alias("__tail"))
-    facts = wanted.agg(
-        F.collect_set(term_words(F.col("term"))).alias("lengths"), F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
-    if not facts["n"]:
-        return df.select(key, F.lit(0).alias("place")).join(entries, F.lit(False))
-    parts = df.select(key, atoms(F.col(text)).alias("atoms"), F.regexp_extract(text, BEFORE_WORDS, 0).alias("before"))
-    grams = F.concat(*[_grams(F.col("atoms"), F.col("before"), n) for n in sorted(facts["lengths"])])
-    exploded = parts.select(key, F.explode(grams).alias("gram")).select(key, F.col("gram.place"), *[
-        F.col(f"gram.{c}").alias(f"__{c}") for c in ("words", "before", "after", "first", "last")])
-    small = facts["n"] <= BROADCAST_TERMS and facts["bytes"] <= BROADCAST_BYTES
-    met = exploded.join(F.broadcast(wanted) if small else wanted, "__words")
-    free = lambda gap, signs, edge: (F.length(gap) > F.length(signs)) | F.col(edge)
-    led = (F.col("__lead") == "") | (F.endswith("__before", "__lead") & free("__before", "__lead", "__first"))
-    followed = (F.col("__tail") == "") | (F.startswith("__after", "__tail") & free("__after", "__tail", "__last"))
-    return met.where(led & followed).select(key, "place", *entries.columns)
+        atoms(part(2)).alias("__atoms"), part(1).alias("__lead"), part(3).alias("__tail"), F.struct(*entries.columns).alias("__values"))
+    size = wanted.agg(F.coalesce(F.sum(F.octet_length("__values.term").cast("bigint")), F.lit(0))).first()[0]
+    passes = max(1, math.ceil(size / TRIE_BYTES))
+    texts = df.select(F.col(key).alias("key"), atoms(F.col(text)).alias("atoms"), F.regexp_extract(text, BEFORE_WORDS, 0).alias("before"))
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("place", T.IntegerType()), *entries.schema.fields])
+    arrow, found = to_arrow_schema(T.StructType(entries.schema.fields)), None
+    for k in range(passes):
+        some = wanted.where(F.pmod(F.xxhash64(F.col("__atoms")[0]), F.lit(passes)) == k).toArrow().to_pylist()
+        terms = [(r["__atoms"], r["__lead"], r["__tail"], tuple(r["__values"][c] for c in entries.columns)) for r in some]
+        hits = texts.mapInArrow(_walked(spark.sparkContext.broadcast(terms), entries.columns, arrow), schema)
+        found = hits if found is None else found.unionByName(hits)
+    return found.withColumnRenamed("key", key)
 
 
 def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str = "term") -> DataFrame:
@@ -56,23 +116,6 @@ def term_hits(df: DataFrame, key: str, text: str, terms: DataFrame, term: str =
     return dictionary_hits(df, key, text, terms.select(F.col(term).alias("term")).distinct()).select(key, "place", "term")
 
 
-def _grams(parts: Column, before: Column, n: int) -> Column:
-    last = F.size(parts) - 2 * (n - 1)
-    starts = F.when(last >= 1, F.sequence(F.lit(1), last, F.lit(2))).otherwise(F.array().cast("array<int>"))
-    text = (lambda i: F.element_at(parts, i)) if n == 1 else (
-        lambda i: F.array_join(F.slice(parts, i, F.lit(2 * n - 1)), "")
-    )
-
-    def gram(i):
-        end = i + 2 * n - 1  # place of the gap after the n-gram
-        return F.struct(
-            i.alias("place"), text(i).alias("words"), F.when(i > 1, F.element_at(parts, F.greatest(i - 1, F.lit(1)))).otherwise(before).alias("before"),
-            F.when(end <= F.size(parts), F.try_element_at(parts, end)).otherwise("").alias("after"), (i == 1).alias("first"),
-            (end >= F.size(parts)).alias("last"))
-
-    return F.transform(starts, gram)
-
-
 def synonym_terms(synonyms: DataFrame, canonical: str = "level2", names: str = "alternative_names_clean") -> DataFrame:
     """(term, canonical) from ", " lists of alternative names."""
     return synonyms.where(F.col(names).isNotNull()).select(

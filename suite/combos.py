@@ -42,6 +42,14 @@ def knn_topk_blocked(spark, folder):
     return N.nearest(taxonomy(spark, folder), K, NEAR, broadcast_rows=0, block_rows=200)
 
 
+def knn_open_blocked(spark, folder):
+    """Without a threshold and cut into blocks: a first pass bounds each name's k-th best, a second meets what is left."""
+    return N.nearest(taxonomy(spark, folder), K, broadcast_rows=0, block_rows=200)
+
+
+OPEN_SQL = f"WITH {neighbours_sql(K, -2.0)} SELECT anchor, neighbour, sim, rank::INTEGER AS rank FROM nn"
+
+
 def lists(spark, folder, weighted=True, near=None):
     near = N.nearest(taxonomy(spark, folder), K, NEAR) if near is None else near.where(F.col("sim") > NEAR)
     return C.neighbour_lists(near, popularity(spark, folder) if weighted else None)
@@ -131,7 +139,7 @@ SELECT category, other, round(m, 9) AS mean_sim, round(p, 9) AS p FROM affinity"
 def diverse(spark, folder, weighted):
     tax = taxonomy(spark, folder)
     draws = C.balanced_numbered_draws(tax, 2 * tax.count())
-    near = N.nearest_per_category(tax, "category", CATEGORY_K, CATEGORY_NEAR)
+    near = lambda pairs: N.nearest_of_pairs(pairs, tax, "category", CATEGORY_K, CATEGORY_NEAR)
     scores = popularity(spark, folder) if weighted else None
     return shown(C.diverse_combinations(draws, tax, near, S.category_affinity(tax), SIZES, scores))
 
@@ -236,6 +244,23 @@ SELECT (SELECT count(*) FROM tax) AS n, count(*) AS pairs,
 FROM sims WHERE anchor < neighbour"""
 
 
+QUANTILES = [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0]
+
+
+def diversity_quantiles(spark, folder):
+    """Exact quantiles of the similarity of all pairs."""
+    found = S.pair_similarity_quantiles(taxonomy(spark, folder), QUANTILES, "name")
+    return found.select("quantile", F.round("sim", 9).alias("sim"))
+
+
+QUANTILES_SQL = f"""WITH {TAXONOMY_SQL},
+q AS (SELECT unnest({QUANTILES}::DOUBLE[]) AS quantile),
+held AS (SELECT list(sim ORDER BY sim) AS l, count(*) AS n FROM sims WHERE anchor < neighbour AND sim <> 0),
+placed AS (SELECT quantile, l, quantile * (n - 1) AS place FROM q, held)
+SELECT quantile, round(l[floor(place)::BIGINT + 1] + (l[ceil(place)::BIGINT + 1] - l[floor(place)::BIGINT + 1]) * (place - floor(place)), 9) AS sim
+FROM placed"""
+
+
 def sentence_label_similarity(spark, folder):
     """Each vector against the vector its label points to; some labels name no entity."""
     rows = read(spark, folder, "embeddings").select(
@@ -285,6 +310,7 @@ QUERIES = {
     "capped_combos": (capped_combos, _capped_sql()),
     "knn_topk": (knn_topk, KNN_SQL),
     "knn_topk_blocked": (knn_topk_blocked, KNN_SQL),
+    "knn_open_blocked": (knn_open_blocked, OPEN_SQL),
     "knn_per_category": (knn_per_category, KNN_CATEGORY_SQL),
     "balanced_combos": (balanced_combos, f"WITH {COMBOS_SQL}\n{SHOWN_SQL}"),
     "stochastic_combos": (stochastic_combos, STOCHASTIC_SQL),
@@ -303,5 +329,6 @@ QUERIES = {
     "intra_label_similarity": (intra_label_similarity, INTRA_SQL),
     "pairwise_diversity": (pairwise_diversity, DIVERSITY_SQL),
     "mean_diversity": (mean_diversity, MEAN_SQL),
+    "diversity_quantiles": (diversity_quantiles, QUANTILES_SQL),
     "sentence_label_similarity": (sentence_label_similarity, SENTENCE_LABEL_SQL),
 }

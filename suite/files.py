@@ -46,6 +46,22 @@ def records_json(spark, folder):
 RECORDS_SQL = "SELECT * FROM conversations UNION ALL SELECT * FROM conversations"
 
 
+def labelled_csv(spark, folder):
+    """Labelled splits read by extension: documents of both qualities through CSV files, texts with newlines and quotes included."""
+    rows = read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id").select("doc_id", "text", "quality")
+    paths = {}
+    for split, quality in (("train", 1), ("validation", 0)):
+        paths[split] = fresh(spark, split) + ".csv"
+        rows.where(F.col("quality") == quality).write.options(header="true", **S.CSV_OPTIONS).csv(paths[split])
+    splits = S.read_labelled(spark, rows.schema, **paths)
+    return splits["train"].select("*", F.lit("train").alias("split")).unionByName(
+        splits["validation"].select("*", F.lit("validation").alias("split"))).select("doc_id", F.md5("text").alias("text_md5"), "quality", "split")
+
+
+LABELLED_CSV_SQL = """SELECT doc_id, md5(text) AS text_md5, quality, CASE quality WHEN 1 THEN 'train' ELSE 'validation' END AS split
+FROM documents JOIN labels USING (doc_id)"""
+
+
 def taxonomy_csv(spark, folder):
     path = fresh(spark, "taxonomy")
     named = parts(spark, folder).select(*[F.col(ours).alias(theirs) for theirs, ours in S.TAXONOMY_HEADER.items()])
@@ -126,8 +142,11 @@ def shape_encoder():
 
 
 def embed_large(spark, folder):
-    written = E.embed_to_parquet(
-        read(spark, folder, "documents").select("doc_id", "text"), "text", shape_encoder, fresh(spark, "vectors"))
+    """All documents embedded, by a run over one language and a second one over all that finds these texts done."""
+    docs, path = read(spark, folder, "documents"), fresh(spark, "vectors")
+    rows = docs.select("doc_id", "text")
+    E.embed_to_parquet(docs.where("lang = 'en'").select("doc_id", "text"), "text", shape_encoder, path)
+    written = E.embed_to_parquet(rows, "text", shape_encoder, path)
     at = lambda i: F.element_at("embedding", i).cast("bigint")
     return written.select("doc_id", at(1).alias("characters"), at(2).alias("spaces"), at(3).alias("lines"))
 
@@ -139,6 +158,7 @@ EMBED_SQL = """SELECT doc_id, length(text) AS characters, (length(text) - length
 QUERIES = {
     "roundtrip_csv": (roundtrip_csv, ROUNDTRIP_SQL),
     "records_json": (records_json, RECORDS_SQL),
+    "labelled_csv": (labelled_csv, LABELLED_CSV_SQL),
     "taxonomy_csv": (taxonomy_csv, COMPLETE_SQL),
     "embedded_taxonomy": (embedded_taxonomy, EMBEDDED_SQL),
     "splits_csv": (splits_csv, SPLIT_SQL),

@@ -225,6 +225,29 @@ SELECT count(*) AS runs, round(avg(p), 9) AS precision_mean, round(stddev_samp(p
        round(stddev_samp(r), 9) AS recall_std, round(avg(f), 9) AS f1_mean, round(stddev_samp(f), 9) AS f1_std FROM scored"""
 
 
+BOOTSTRAPS = 40
+
+
+def poisson_runs(spark, folder):
+    """Bootstrap intervals of the scores: each record counts a Poisson number of times in each run."""
+    counts = M.record_counts(predictions(spark, folder)).select("record_id", "tp", "fp", "fn")
+    runs = M.poisson_runs(cut_lineage(counts, "counts"), "record_id", BOOTSTRAPS)
+    return rounded(M.run_intervals(M.total_scores(runs, by=["run_id"], weight="weight")))
+
+
+_POISSON_STEPS = " + ".join(f"(u >= {edge!r}::DOUBLE)::INTEGER" for edge in M.POISSON_STEPS)
+_POISSON_COUNTS = "SELECT run_id, sum(weight * t)::BIGINT AS tp, sum(weight * x)::BIGINT AS fp, sum(weight * m)::BIGINT AS fn FROM resampled GROUP BY run_id"
+POISSON_SQL = f"""WITH {PREDICTIONS_SQL},
+counted AS (
+  SELECT record_id, len(list_intersect(predicted, gold)) AS t, len(list_filter(list_distinct(predicted), lambda x: NOT list_contains(gold, x))) AS x,
+         len(list_filter(gold, lambda x: NOT list_contains(predicted, x))) AS m FROM preds),
+drawn AS (SELECT r AS run_id, t, x, m, {u_sql(42, "'poisson'", 'r', 'record_id')} AS u FROM counted, (SELECT unnest(range({BOOTSTRAPS})) AS r)),
+resampled AS (SELECT *, {_POISSON_STEPS} AS weight FROM drawn),
+{prf_sql(_POISSON_COUNTS)},
+named AS (SELECT unnest(['precision', 'recall', 'f1']) AS metric, unnest([p, r, f]) AS x FROM scored)
+SELECT metric, round(quantile_cont(x, 0.025), 9) AS low, round(quantile_cont(x, 0.975), 9) AS high FROM named GROUP BY metric"""
+
+
 def perplexity_by_corpus(spark, folder):
     """Messages under the bigrams of the documents, most of which they share no word with."""
     rows = messages(spark, folder).select("record_id", "text")
@@ -272,6 +295,7 @@ QUERIES = {
     "extraction_support_shots": (extraction_support_shots, SUPPORT_SHOTS_SQL),
     "gold_beyond_letters": (gold_beyond_letters, BEYOND_SQL),
     "locate_typos": (locate_typos, TYPO_SQL),
+    "poisson_runs": (poisson_runs, POISSON_SQL),
     "resampled_runs": (resampled_runs, RESAMPLED_SQL),
     "perplexity_by_corpus": (perplexity_by_corpus, CORPUS_SQL),
     "hash_embed_weights": (hash_embed_weights, WEIGHTS_SQL),

@@ -11,7 +11,7 @@ from spanloom.operators import embedding as E
 from spanloom.operators import neighbours as N
 from spanloom.operators import requests as R
 from spanloom.operators import splits as P
-from spanloom.operators.ordering import random_k
+from spanloom.operators.ordering import head_sample, random_k, shuffle_rows, sorted_positions
 from spanloom.session import cut_lineage
 from suite.combos import AVOID_CTE, COMBOS_SQL, combos
 from suite.combos import K as COMBO_K
@@ -266,6 +266,27 @@ MERGE_SQL = """SELECT doc_id, CASE WHEN quality = 1 THEN source ELSE 'NO LABEL'
 FROM documents JOIN labels USING (doc_id)"""
 
 
+def merged_order(spark, folder):
+    """The same rows with their place in the shuffled order."""
+    rows = read(spark, folder, "documents").join(read(spark, folder, "labels"), "doc_id")
+    good = P.wrap_label(rows.where("quality = 1").select("doc_id", F.col("source").alias("skills")), "skills")
+    bad = P.relabel(rows.where("quality = 0").select("doc_id", F.col("source").alias("skills")))
+    ordered = P.merge_samples(good, bad, keys=["doc_id"]).withColumn("row", F.monotonically_increasing_id())
+    return sorted_positions(ordered.select("doc_id", "row"), ["row"]).select("doc_id", "position")
+
+
+ORDER_SQL = f"""SELECT doc_id, row_number() OVER (ORDER BY {u_sql(42, 'doc_id')}, doc_id) - 1 AS position
+FROM documents JOIN labels USING (doc_id)"""
+
+
+def head_rows(spark, folder):
+    """The first hundred documents of a shuffled table."""
+    return head_sample(shuffle_rows(read(spark, folder, "documents").select("doc_id", "source"), 7, ["doc_id"]), 100)
+
+
+HEAD_SQL = f"SELECT doc_id, source FROM documents ORDER BY {u_sql(7, 'doc_id')}, doc_id LIMIT 100"
+
+
 # ---- requests and answers ----
 
 def route_modes(spark, folder):
@@ -594,6 +615,8 @@ QUERIES = {
     "split_disjoint": (split_disjoint, SPLIT_SQL),
     "split_overlap": (split_overlap, OVERLAP_SQL),
     "merge_negatives": (merge_negatives, MERGE_SQL),
+    "merged_order": (merged_order, ORDER_SQL),
+    "head_rows": (head_rows, HEAD_SQL),
     "route_modes": (route_modes, ROUTE_SQL),
     "prompt_requests": (prompt_requests, PROMPT_SQL),
     "mcq_requests": (mcq_requests, MCQ_SQL),

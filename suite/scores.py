@@ -10,7 +10,7 @@ from spanloom.functions.randomness import unit_random
 from spanloom.operators import classify as Z
 from spanloom.operators import metrics as M
 from spanloom.operators import neighbours as N
-from spanloom.session import shared_folder
+from spanloom.session import cut_lineage, shared_folder
 from spanloom.sources import tables as S
 from suite.common import PREDICTIONS_SQL, joined, predictions, read, taxonomy, texts, u_sql
 
@@ -226,43 +226,85 @@ def multilabel_classifier(spark, folder):
         "run_id int, seed int, reg double, f1 double, roc_auc double, accuracy double")
 
 
-def classifier_predictions(spark, folder):
-    """The predict-only path through files. Models fitted in no steps hold the log odds of their label, which SQL knows."""
-    space = spark.sql("SELECT * FROM VALUES ('quality', 0L), ('toxic', 1L) AS t(label, label_id)")
+def judged(spark, folder):
     rows = read(spark, folder, "documents").select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
     gold = F.array_compact(F.array(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")))
-    data = rows.select("doc_id", "text", F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("truth"), gold.alias("labels"))
-    model = Z.train(data.where("doc_id % 3 > 0"), "text", "truth", 2, iterations=0)
+    return rows.select("doc_id", "text", F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("truth"), gold.alias("labels"))
+
+
+def classifier_predictions(spark, folder):
+    """The predict-only path through files: how often each prediction stands beside each gold list."""
+    space = spark.sql("SELECT * FROM VALUES ('quality', 0L), ('toxic', 1L) AS t(label, label_id)")
+    data = judged(spark, folder)
+    model = Z.train(data, "text", "truth", 2)
     path = f"{shared_folder(spark)}/predicted-{uuid.uuid4().hex}"
     Z.predict_to_files(model, data, space, "doc_id", "labels", path)
     back = S.read_predictions(spark, path).select(joined("predictions").alias("predicted"), joined("gold").alias("gold"))
     return back.groupBy("predicted", "gold").agg(F.count("*").alias("n"))
 
 
-PREDICTED_SQL = """WITH data AS (SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)),
-odds AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM data WHERE doc_id % 3 > 0)
-SELECT array_to_string(list_filter([CASE WHEN q >= 0.15 THEN 'quality' END, CASE WHEN t >= 0.15 THEN 'toxic' END], lambda x: x IS NOT NULL), '|') AS predicted,
-       array_to_string(list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL), '|') AS gold,
-       count(*) AS n FROM data, odds GROUP BY ALL"""
-
-
 def classifier_logits(spark, folder):
-    """Logits of every document under the same models."""
-    rows = read(spark, folder, "documents").select("doc_id", "text").join(read(spark, folder, "labels"), "doc_id")
-    data = rows.select("doc_id", "text", F.array(F.col("quality").cast("double"), F.col("toxic").cast("double")).alias("truth"))
-    model = Z.train(data, "text", "truth", 2, iterations=0)
+    """Log odds of quality and toxicity of every document, also of those without labels."""
+    model = Z.train(judged(spark, folder), "text", "truth", 2)
     found = model.logits(read(spark, folder, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.round(F.col("logits")[0], 6).alias("quality"), F.round(F.col("logits")[1], 6).alias("toxic"))
 
 
-LOGITS_SQL = """WITH data AS (SELECT quality, toxic FROM documents JOIN labels USING (doc_id)),
-odds AS (SELECT avg(quality) AS q, avg(toxic) AS t FROM data)
-SELECT doc_id, round(ln(q / (1 - q)), 6) AS quality, round(ln(t / (1 - t)), 6) AS toxic FROM documents, odds"""
+# ---- large label spaces: the words of the benchmark as labels of a document ----
+
+def word_labels(spark, folder):
+    """Every document with its distinct words that stand in the benchmark, and the numbers of these words."""
+    words = lambda t: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(t), F.lit(""))), F.lit("[a-z]{4,}"), 0))
+    space = M.label_space(read(spark, folder, "benchmark").select(words("text").alias("labels")))
+    named = read(spark, folder, "documents").select("doc_id", F.explode(words("text")).alias("label")).join(space, "label")
+    entry = F.struct("label_id", F.round(8 * unit_random("logit", F.col("doc_id"), F.col("label")) - 4, 1).alias("logit"))
+    pick = lambda name, share: unit_random(name, F.col("doc_id"), F.col("label")) < share
+    listed = named.groupBy("doc_id").agg(  # a document's own words
+        F.collect_list(F.when(pick("gold", 0.7), F.col("label_id"))).alias("ids"),
+        F.collect_list(F.when(pick("scored", 0.8), entry)).alias("scores"))
+    return read(spark, folder, "documents").select("doc_id", "text").join(listed, "doc_id", "left"), space
+
+
+def sparse_metrics(spark, folder):
+    """Made-up scores for most of these words, all other words of the space unscored."""
+    rows, space = word_labels(spark, folder)
+    return rounded(M.sparse_metrics(rows, space.count()))
+
+
+SPARSE_SQL = f"""WITH words AS (
+  SELECT doc_id, unnest(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{4,}}'))) AS label FROM documents),
+space AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS label FROM benchmark),
+own AS (
+  SELECT doc_id, label, ({u_sql("'gold'", 'doc_id', 'label')} < 0.7)::INTEGER AS t, {u_sql("'scored'", 'doc_id', 'label')} < 0.8 AS scored,
+         round(8 * {u_sql("'logit'", 'doc_id', 'label')} - 4, 1) AS logit
+  FROM words JOIN space USING (label)),
+dense AS (
+  SELECT d.doc_id, coalesce(o.t, 0) AS t, CASE WHEN o.scored THEN 1 / (1 + exp(-o.logit)) ELSE 0 END AS score
+  FROM documents d CROSS JOIN space s LEFT JOIN own o ON o.doc_id = d.doc_id AND o.label = s.label),
+decided AS (SELECT *, (score >= 0.15)::INTEGER AS p FROM dense),
+merged AS (SELECT score, sum(t) AS pos, sum(1 - t) AS neg FROM decided GROUP BY score),
+placed AS (SELECT *, sum(neg) OVER (ORDER BY score) - neg AS below FROM merged)
+SELECT (SELECT round(2.0::DOUBLE * sum(p * t) / (sum(p) + sum(t)), 9) FROM decided) AS f1,
+       (SELECT round(sum(pos * (below + neg / 2.0::DOUBLE)) / (sum(pos)::DOUBLE * sum(neg)), 9) FROM placed) AS roc_auc,
+       (SELECT round(avg(same), 9) FROM (SELECT min((p = t)::INTEGER) AS same FROM decided GROUP BY doc_id)) AS accuracy"""
+
+
+def many_labels(spark, folder):
+    """All words of the benchmark as labels, fitted in the same few steps: how many each document gets, and how many are right."""
+    rows, space = word_labels(spark, folder)
+    rows = cut_lineage(rows.select("doc_id", "text", "ids"), "word_labels")
+    model = Z.train(rows, "text", "ids", space.count(), iterations=8, features=1 << 10)
+    found = model.label_ids(rows, "found")
+    gold = F.coalesce("ids", F.array().cast("array<bigint>"))
+    return found.select("doc_id", F.size(gold).alias("n_gold"), F.size("found").alias("n_found"),
+                        F.size(F.array_intersect("found", gold)).alias("n_right"))
 
 
 QUERIES = {
-    "classifier_predictions": (classifier_predictions, PREDICTED_SQL),
-    "classifier_logits": (classifier_logits, LOGITS_SQL),
+    "classifier_predictions": (classifier_predictions, None),
+    "classifier_logits": (classifier_logits, None),
+    "sparse_metrics": (sparse_metrics, SPARSE_SQL),
+    "many_labels": (many_labels, None),
     "entity_1to1": (entity_1to1, ONE_TO_ONE_SQL),
     "jaccard": (jaccard, JACCARD_SQL),
     "entity_quality": (entity_quality, QUALITY_SQL),

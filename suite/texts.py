@@ -211,21 +211,37 @@ SELECT doc_id, tag, CASE WHEN starts_with(tag, 'Technologies')
          THEN array_to_string(list_sort(list_distinct(list(v))), '|') ELSE array_to_string(list(v ORDER BY i, v), '|') END AS found
 FROM hits GROUP BY doc_id, tag"""
 
-SIGNED = [".NET", "(ISC)2", "C#", "ASP.NET", "(en)", "net.", "R&D"]
+SIGNED = [".NET", "(ISC)2", "C#", "ASP.NET", "(en)", "net.", "R&D", "the,", "et de", "in.", ", die", "y, la"]
 
 
 def signed_terms(spark, folder):
-    """Terms that start or end with signs, in a sentence before each document; those glued to a word are no hits."""
+    """Terms that start, end or hold signs, in all documents and in a sentence before each; those glued to a word are no hits."""
     docs = texts(spark, folder).select("doc_id", F.concat(
         F.lit("(ISC)2 or .NET, ASP.NET, C# (but not C), (ISC)23, R&D, R&D. ("), "lang", F.lit(")\n"), "text").alias("text"))
     terms = spark.sql("SELECT explode(array(" + ", ".join(f"'{t}'" for t in SIGNED) + ")) AS term")
     found = G.term_hits(docs, "doc_id", "text", terms)
-    return found.where("place < 40").groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
-
-
-SIGNED_SQL = """SELECT doc_id, term, hits::BIGINT AS hits FROM documents,
-  (VALUES ('.NET', 1), ('(ISC)2', 1), ('C#', 1), ('ASP.NET', 1), ('R&D', 2), ('(en)', 1)) t(term, hits)
-WHERE term <> '(en)' OR lang = 'en'"""
+    return found.groupBy("doc_id", "term").agg(F.count("*").alias("hits"))
+
+
+SIGNED_SQL = rf"""WITH d AS (
+  SELECT doc_id, '(ISC)2 or .NET, ASP.NET, C# (but not C), (ISC)23, R&D, R&D. (' || lang || ')' || chr(10) || text AS t FROM documents),
+terms(term, lead, words, tail) AS (
+  VALUES ('.NET', '.', 'NET', ''), ('(ISC)2', '(', 'ISC)2', ''), ('C#', '', 'C#', ''), ('ASP.NET', '', 'ASP.NET', ''), ('(en)', '(', 'en', ')'),
+         ('net.', '', 'net', '.'), ('R&D', '', 'R&D', ''), ('the,', '', 'the', ','), ('et de', '', 'et de', ''), ('in.', '', 'in', '.'),
+         (', die', ', ', 'die', ''), ('y, la', '', 'y, la', '')),
+cut AS (
+  SELECT doc_id, regexp_extract(t, '^[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+') AS ahead,
+         regexp_extract_all(regexp_replace(t, '^[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+', ''), '{W}+[#+]*|[^\p{{L}}\p{{M}}\p{{Nd}}\p{{Pc}}]+') AS a FROM d),
+places AS (SELECT doc_id, ahead, a, unnest(range(1, len(a) + 1, 2)) AS i FROM cut),
+grams AS (
+  SELECT doc_id, a[i] AS g, CASE WHEN i > 1 THEN a[i - 1] ELSE ahead END AS before, i = 1 AS first, coalesce(a[i + 1], '') AS after,
+         i + 1 >= len(a) AS last FROM places
+  UNION ALL SELECT doc_id, a[i] || a[i + 1] || a[i + 2], CASE WHEN i > 1 THEN a[i - 1] ELSE ahead END, i = 1, coalesce(a[i + 3], ''),
+         i + 3 >= len(a) FROM places WHERE i + 2 <= len(a))
+SELECT doc_id, term, count(*) AS hits FROM grams JOIN terms ON g = words
+WHERE (lead = '' OR ends_with(before, lead) AND (len(before) > len(lead) OR first))
+  AND (tail = '' OR starts_with(after, tail) AND (len(after) > len(tail) OR last))
+GROUP BY ALL"""
 
 PRICES = {"system": (1.5e-6, 2e-6), "user": (3e-5, 6e-5), "assistant": (2e-5, 2e-5)}
 

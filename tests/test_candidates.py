@@ -157,6 +157,27 @@ def test_locate_span(spark):
     assert loose[1] == (0, 2)
 
 
+def test_windows_left_out_could_not_win():
+    """Against scoring every window; near tokens, ties, short sentences and both thresholds."""
+    import random
+
+    from spanloom.functions.fuzzy import ratio
+
+    pick = random.Random(6)
+    stems = ["learn", "learning", "leaning", "deep", "deeper", "a", "an", "", "internationalisation", "internationalization"]
+    for _ in range(1500):
+        sentence = [pick.choice(stems) for _ in range(pick.randrange(12))]
+        span = [pick.choice(stems) for _ in range(pick.randrange(4))]
+        threshold, per_token = pick.choice([(95, True), (60, True), (0, True), (175, False), (95, False)])
+        best = None
+        for start in range(len(sentence) - len(span) + 1):
+            total = sum(ratio(t, sentence[start + j]) for j, t in enumerate(span))
+            value = total / len(span) if span and per_token else total
+            if span and value >= threshold and (best is None or value > best[0]):
+                best = value, (start, start + len(span))
+        assert E.best_window(sentence, span, threshold, per_token) == (best and best[1])
+
+
 def test_span_vectors_fall_back_to_the_span(spark):
     located = spark.createDataFrame([(1, "a b", 0, 2, [9.0, 9.0]), (1, "zzz", None, None, [5.0, 6.0])],
                                     "record_id long, span string, start int, end int, span_embedding array<double>")
@@ -180,6 +201,53 @@ def test_embed_checks_rows_and_chunks(spark, tmp_path):
     assert sorted((r.i, r.embedding[0]) for r in got.collect()) == [(i, float(i)) for i in range(20)]
 
 
+def test_embed_again_adds_only_what_is_missing(spark, tmp_path):
+    """Each distinct text is embedded once; a second run takes new and changed texts alone."""
+    seen = tmp_path / "seen"
+    seen.mkdir()
+
+    def make():
+        import uuid
+
+        import pandas as pd
+
+        def encode(texts):
+            (seen / uuid.uuid4().hex).write_text("\n".join("null" if t is None else t for t in texts))
+            return pd.Series([[float(len(t or "")), 1.0] for t in texts])
+
+        return encode
+
+    def asked():
+        lines = [line for f in seen.iterdir() for line in f.read_text().split("\n")]
+        for f in list(seen.iterdir()):
+            f.write_text("")
+        return sorted(line for line in lines if line)
+
+    path = str(tmp_path / "v")
+    rows = [(i, f"text {i % 7}") for i in range(30)] + [(40, None)]
+    first = spark.createDataFrame(rows, "i int, t string")
+    got = E.embed_to_parquet(first, "t", make, path, part_texts=3)
+    assert sorted((r.i, r.embedding[0]) for r in got.collect()) == sorted((i, float(len(t or ""))) for i, t in rows)
+    assert asked() == ["null", *[f"text {i}" for i in range(7)]]
+    later = rows[:-1] + [(50, "one more"), (1, "changed")]
+    got = E.embed_to_parquet(spark.createDataFrame(later, "i int, t string"), "t", make, path)
+    assert got.count() == len(later) and asked() == ["changed", "one more"]
+    assert E.embed_to_parquet(first, "t", make, path).count() == len(rows) and asked() == []
+    manifest = spark.read.json(f"{path}-manifest")
+    assert manifest.agg({"texts": "sum"}).first()[0] == 10 and manifest.count() >= 3
+
+
+def test_texts_are_cut_before_they_are_embedded(spark):
+    def make():
+        import pandas as pd
+
+        return lambda texts: pd.Series([[float(len(t.split()))] for t in texts])
+
+    df = spark.createDataFrame([("a b  c d",), ("a  b",), ("",)], "t string")
+    assert [r.embedding[0] for r in E.embed(df, "t", make, max_length=3).collect()] == [3.0, 2.0, 0.0]
+    assert [r.c for r in df.select(E.truncated("t", 3).alias("c")).collect()] == ["a b c", "a  b", ""]
+
+
 def test_hash_embedding_has_length_one(spark):
     df = spark.createDataFrame([("a b b",), ("",)], "t string")
     got = [r.embedding for r in E.hash_embed(df, "t", 16).collect()]
@@ -203,6 +271,47 @@ def test_keyword_tags(spark):
     assert G.keyword_tags(texts, "id", "t", terms.limit(0)).count() == 0
 
 
+def test_terms_in_several_passes_equal_a_scan(spark, monkeypatch):
+    """Nested, overlapping and repeated terms, against a look at every place; small tries make several passes."""
+    import random
+
+    from spanloom.operators import tagging as G
+
+    pick = random.Random(4)
+    letters = ["ab", "b", "C#", "c", "d+", ".x", "e"]
+    gaps = [" ", ", ", "  ", ".", " (", ") "]
+    texts = [(i, "".join(pick.choice(letters) + pick.choice(gaps) for _ in range(pick.randrange(12)))) for i in range(60)] + [(60, None), (61, "")]
+    terms = sorted({"".join(pick.choice(letters) + (pick.choice(gaps) if j else "") for j in range(pick.randrange(1, 4), -1, -1)) for _ in range(150)} | {"ab", "b", "(", ".x"})
+    df = spark.createDataFrame(texts, "id long, text string")
+    entries = spark.createDataFrame([(t, n) for n, t in enumerate(terms)], "term string, number long")
+    whole = {(r.id, r.place, r.term, r.number) for r in G.dictionary_hits(df, "id", "text", entries).collect()}
+    monkeypatch.setattr(G, "TRIE_BYTES", 300)
+    passes = G.dictionary_hits(df, "id", "text", entries)
+    assert {tuple(r) for r in passes.select("id", "place", "term", "number").collect()} == whole
+
+    import re
+
+    atom, word = re.compile(r"\w+[#+]*|[^\w]+"), re.compile(r"\w")
+    scanned = set()
+    for i, text in texts:
+        before = re.match(r"[^\w]*", text or "").group()
+        parts = atom.findall((text or "")[len(before):])
+        for number, term in enumerate(terms):
+            m = re.match(r"(?s)^([^\w]*)(.*\w[#+]*)([^\w]*)$", term)
+            if not m:
+                continue
+            lead, words, tail = m.groups()
+            own = atom.findall(words)
+            for at in range(0, len(parts), 2):
+                if parts[at:at + len(own)] == own:
+                    gap, end = parts[at - 1] if at else before, at + len(own)
+                    after = parts[end] if end < len(parts) else ""
+                    if (not lead or gap.endswith(lead) and (len(gap) > len(lead) or not at)) and (
+                            not tail or after.startswith(tail) and (len(after) > len(tail) or end + 1 >= len(parts))):
+                        scanned.add((i, at + 1, term, number))
+    assert whole == scanned and len(whole) > 100
+
+
 def test_terms_with_signs(spark):
     from spanloom.operators import tagging as G
 

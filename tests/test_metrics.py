@@ -64,6 +64,26 @@ def test_micro_scores(spark):
     assert summary.runs == 2 and 0 <= summary.f1_mean <= 1
 
 
+def test_poisson_bootstrap(spark):
+    import math
+
+    df = spark.range(4000).select(F.col("id").alias("record_id"))
+    runs = M.poisson_runs(df, "record_id", 5)
+    again = M.poisson_runs(df.repartition(7), "record_id", 5)
+    assert sorted(map(tuple, runs.collect())) == sorted(map(tuple, again.collect()))
+    counts = {r.weight: r["n"] for r in runs.groupBy("weight").agg(F.count("*").alias("n")).collect()}
+    for k in (1, 2, 3):
+        assert counts[k] == pytest.approx(20_000 * math.exp(-1) / math.factorial(k), rel=0.08)
+    assert 20_000 - sum(counts.values()) == pytest.approx(20_000 * math.exp(-1), rel=0.08)
+    weighted = M.poisson_runs(preds(spark), "record_id", 3)
+    copies = weighted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("weight"))))
+    one = M.micro_scores(weighted, by=["run_id"], weight="weight").orderBy("run_id").collect()
+    assert one == M.micro_scores(copies, by=["run_id"]).orderBy("run_id").collect()
+    values = spark.createDataFrame([(float(i),) for i in range(101)], "f1 double")
+    found = M.run_intervals(values, ["f1"], 0.9).first()
+    assert (found.metric, found.low, found.high) == ("f1", pytest.approx(5.0), pytest.approx(95.0))
+
+
 def test_label_space_and_multi_hot(spark):
     a = spark.createDataFrame([(1, ["b", "a"]), (2, []), (3, ["c", "c"])], "id long, labels array<string>")
     space = M.label_space(a, a.select("labels"))
@@ -136,6 +156,90 @@ def test_classifier_learns_words(spark):
     assert len(single.models) == 2
 
 
+def numpy_fit(texts, truths, n_labels, reg, iterations, features):
+    """The classifier's objective on dense matrices, by plain gradient steps to the end."""
+    import numpy as np
+
+    counts = np.array([np.bincount(t, minlength=features) for t in texts], float)
+    idf = np.log((len(texts) + 1) / ((counts > 0).sum(axis=0) + 1))
+    x = counts * idf
+    length = np.sqrt((x**2).sum(axis=1, keepdims=True))
+    x = np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+    y = np.zeros((len(texts), n_labels))
+    for i, ids in enumerate(truths):
+        y[i, ids] = 1
+    scale = reg * x.var(axis=0)[:, None]
+    odds = np.clip(y.sum(axis=0), 0.5, len(texts) - 0.5) / len(texts)
+    w, b = np.zeros((features, n_labels)), np.log(odds / (1 - odds))
+    for _ in range(iterations):
+        errors = (1 / (1 + np.exp(-(x @ w + b))) - y) / len(texts)
+        w, b = w - 2 * (x.T @ errors + scale * w), b - 2 * errors.sum(axis=0)
+    return x @ w + b
+
+
+@pytest.mark.parametrize("n_labels,dense", [(3, 16), (3, 0), (1000, 16)])
+def test_labels_fitted_together_equal_numpy(spark, monkeypatch, n_labels, dense):
+    import numpy as np
+
+    monkeypatch.setattr(Z, "BLOCK_ENTRIES", 40)
+    monkeypatch.setattr(Z, "TASK_PRODUCTS", 60 * n_labels)
+    monkeypatch.setattr(Z, "SLAB_CELLS", 65 * 300)
+    monkeypatch.setattr(Z, "FAN_IN", 3)
+    monkeypatch.setattr(Z, "DENSE", dense)
+    rng = random.Random(n_labels)
+    words = [f"word{i}" for i in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12))), sorted(rng.sample(range(n_labels), rng.randrange(3)))) for i in range(60)]
+    rows += [(60, None, [0]), (61, "", None), (62, "word1 word1", [1, 1])]
+    df = spark.createDataFrame(rows, "id long, text string, ids array<int>")
+    jobs = []
+    step = Z._Rows.gradient
+    monkeypatch.setattr(Z._Rows, "gradient", lambda *a: jobs.append(1) or step(*a))
+    model = Z.train(df, "text", "ids", n_labels, reg=0.5, iterations=120, features=64)
+    assert len(jobs) <= 120  # however many labels
+    logits = {r.id: r.logits for r in model.logits(df.select("id", "text")).collect()}
+    slots = [r.s for r in df.orderBy("id").select(Z.token_slots("text", 64).alias("s")).collect()]
+    truths = [sorted(set(t or [])) for _, _, t in rows]
+    want = numpy_fit(slots, truths, n_labels, 0.5, 6000, 64)
+    got = np.array([logits[i] for i in range(63)])
+    held = sorted({j for t in truths for j in t})  # the log odds of a label that no row has fall for ever
+    assert np.abs(got - want)[:, held].max() < 1e-2
+    at = 0.3
+    ids = {r.id: r.ids for r in model.label_ids(df, threshold=at).select("id", "ids").collect()}
+    assert ids == {i: np.flatnonzero(1 / (1 + np.exp(-got[i])) >= at).tolist() for i in range(63)}
+
+
+def test_vectors_and_numbers_give_the_same_model(spark):
+    import numpy as np
+
+    rows = [(i, f"w{i % 7} w{i % 3} x", [float(i % 2), float(i % 3 == 0)], [j for j in (0, 1) if (i % 2, i % 3 == 0)[j]]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string, hot array<double>, ids array<long>")
+    a, b = (Z.train(df, "text", t, 2, iterations=15, features=128) for t in ("hot", "ids"))
+    assert np.allclose(a.weights, b.weights, atol=1e-9)
+    with pytest.raises(ValueError, match="outside"):
+        Z.train(df, "text", "hot", 1, features=128)
+    with pytest.raises(ValueError, match="weights"):
+        Z.train(df, "text", "ids", 1 << 12, features=1 << 14)
+    with pytest.raises(ValueError, match="no rows"):
+        Z.train(df.where("id < 0"), "text", "ids", 2, features=128)
+
+
+def test_sparse_metrics_equal_dense_ones(spark):
+    rng = random.Random(8)
+    absent, n = -6.0, 30
+    rows = []
+    for i in range(70):
+        scored = {j: rng.choice([-6.0, -3.0, -1.0, 0.5, 2.0]) for j in rng.sample(range(n), rng.randrange(6))}
+        ids = rng.sample(range(n), rng.randrange(4))
+        rows.append((i, [(j, x) for j, x in scored.items()], ids, [scored.get(j, absent) for j in range(n)], [float(j in ids) for j in range(n)]))
+    rows.append((70, None, None, [absent] * n, [0.0] * n))
+    df = spark.createDataFrame(rows, "id long, scores array<struct<label_id:long,logit:double>>, ids array<long>, logits array<double>, truth array<double>")
+    sparse, dense = M.sparse_metrics(df, n, absent=absent).first(), M.multilabel_metrics(df).first()
+    assert tuple(sparse) == pytest.approx(tuple(dense))
+    with pytest.raises(ValueError, match="absent"):
+        M.sparse_metrics(df, n, absent=0.0)
+    assert M.sparse_metrics(df.where("id < 0"), n).first().roc_auc is None
+
+
 def test_centroids(spark):
     df = spark.createDataFrame([(1, ["a"], [1.0, 0.0]), (2, ["a", "b"], [1.0, 1.0]), (3, ["b"], [0.0, 1.0])], "id long, labels array<string>, v array<double>")
     got = {(r.id, r.label): r["rank"] for r in Z.centroid_labels(df, df, "id", "labels", "v", 1).collect()}

@@ -51,6 +51,33 @@ def test_nearest_per_category_equals_brute_force(spark, table, sizes):
     assert got == brute(rows, 3, 0.05, by_category=True)
 
 
+@pytest.mark.parametrize("sizes", [{}, {"broadcast_rows": 3, "block_rows": 25}])
+def test_only_the_asked_pairs_are_searched(spark, table, sizes):
+    rows = awkward_rows(table)
+    df = spark.createDataFrame(rows, "name string, category string, embedding array<double>")
+    asked = [(a, c) for i, (a, _, _) in enumerate(rows) for c in ("c0", "c3", "only", "unknown") if i % 3 == 0] * 2
+    pairs = spark.createDataFrame(asked, "anchor string, category string")
+    got = N.nearest_of_pairs(pairs, df, "category", 3, 0.05, **sizes)
+    got = {(r.anchor, r.category, r.neighbour, round(r.sim, 6), r["rank"]) for r in got.collect()}
+    assert got == {x for x in brute(rows, 3, 0.05, by_category=True) if (x[0], x[1]) in set(asked)}
+
+
+def test_second_pass_leaves_cells_out(spark, caplog):
+    """Four tight clusters: each row's best k are in its own, so the second pass meets next to nothing."""
+    import logging
+    import random
+    import re
+
+    pick = random.Random(1)
+    rows = [(f"n{i:03}", [(1.0 if j == i % 4 else 0.0) + pick.gauss(0, 0.01) for j in range(4)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, embedding array<double>")
+    with caplog.at_level(logging.INFO, "spanloom.neighbours"):
+        got = N.nearest(df, 5, broadcast_rows=1, block_rows=25).collect()
+    assert {(r.anchor, 0, r.neighbour, round(r.sim, 6), r["rank"]) for r in got} == brute([(n, "", v) for n, v in rows], 5, None)
+    met = {m[0]: (int(m[1]), int(m[2])) for m in re.findall(r"(\w+): (\d+) of (\d+) pairs", caplog.text)}
+    assert met["other_cells"][0] + met["nearest_cells"][0] < 0.5 * met["other_cells"][1]
+
+
 def test_k_larger_than_table_and_threshold_is_strict(spark):
     df = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [1.0, 0.0])], "name string, embedding array<double>")
     assert N.nearest(df, 10).count() == 6
