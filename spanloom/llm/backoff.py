@@ -1,11 +1,12 @@
 """Language-model scores from a weighted backoff automaton over words.
 
 The model is a bigram model of all training texts, smoothed towards its unigrams:
-p(v | u) = (c(uv) + K p(v)) / (c(u) + K). As an automaton, every word is a state;
-a seen pair is an arc with its own log-probability, and the failure arc of a
-state has weight log(K / (c(u) + K)) and leads to the root, whose arcs are the
-unigrams. A text is traversed once from left to right, from the state of a text
-end to a text end.
+p(v | u) = (c(uv) + K p(v)) / (c(u) + K). As an automaton of order 2, every word
+is a state; a seen pair is an arc with its own log-probability, and the failure
+arc of a state has weight log(K / (c(u) + K)) and leads to the root, whose arcs
+are the unigrams. A text is traversed once from left to right, from the state of
+a text end to a text end. The state after a word is the word itself, so the steps
+of a block of texts are taken together as arrays.
 
 The model is as large as the corpus has different pairs, so it is never in one
 place: each block of texts asks the shards for the counts of its own words and
@@ -24,6 +25,7 @@ from spanloom.llm.common import chunks, mixed, utf8, word_hashes
 from spanloom.llm.packed import (
     dealt, number_of_blocks, pack_keys, pack_numbers, shard_slices, text_bytes, unpack_keys, unpack_numbers,
 )
+from spanloom.session import cut_lineage
 
 #: Weight of the unigrams in the pairs after a word, in words.
 STRENGTH = 1000.0
@@ -56,7 +58,7 @@ def _asked(shards: int):
             keys, place = np.unique(codes, return_inverse=True)
             counts = np.bincount(place[trained], minlength=len(keys))
             for shard, part in shard_slices(keys, shards):
-                if kind == WORDS or part.stop > part.start:  # words: each block hears from each shard
+                if part.stop > part.start:
                     out.append((rows["block"].iloc[0], kind, shard, pack_keys(keys[part]), pack_numbers(counts[part])))
         return pd.DataFrame(out, columns=["block", "kind", "shard", "keys", "counts"])
 
@@ -81,8 +83,8 @@ class Automaton:
     """States and arcs that the texts of a block can reach.
 
     ``root`` has the log-probability of each word at the root, ``failure`` the
-    weight of the failure arc of each word's state, ``arc`` the log-probability
-    of each pair's arc, NaN where the pair was never seen.
+    weight of the failure arc of each word's state; the arcs of seen pairs get
+    their weights when they are taken.
     """
 
     def __init__(self, words: np.ndarray, trained: int, distinct: int, strength: float):
@@ -100,16 +102,14 @@ class Automaton:
         return steps
 
 
-def _scored(strength: float, key_name: str):
+def _scored(strength: float, key_name: str, trained: int, distinct: int):
     def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[key_name, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         tokens, pairs, sizes = _tokens(rows["text"])
         answers = answers.sort_values(["kind", "shard"])
-        words_of = answers[answers["kind"] == WORDS]
-        counts = np.concatenate([unpack_numbers(c) for c in words_of["counts"]])
+        counts = np.concatenate([unpack_numbers(c) for c in answers.loc[answers["kind"] == WORDS, "counts"]])
         pair_counts = np.concatenate([unpack_numbers(c) for c in answers.loc[answers["kind"] == PAIRS, "counts"]])
-        trained, distinct = int(words_of["total"].sum()), int(words_of["distinct"].sum())
         keys, token = np.unique(tokens, return_inverse=True)
         _, pair = np.unique(pairs, return_inverse=True)
         automaton = Automaton(counts.astype(float), trained, distinct, strength)
@@ -138,7 +138,10 @@ def score(df: DataFrame, key: str, text: str, held_out, strength: float = STRENG
     blocks, shards = number_of_blocks(text_bytes(given, "text"))
     rows = dealt(given, F.pmod(F.xxhash64(key, "text"), F.lit(blocks)), blocks)
     asked = rows.groupBy("block").applyInPandas(_asked(shards), SENT)
-    answers = asked.groupBy("kind", "shard").applyInPandas(_answered, ANSWERED)
+    answers = cut_lineage(asked.groupBy("kind", "shard").applyInPandas(_answered, ANSWERED), "answers")
+    # all rows of a shard say the same
+    trained, distinct = answers.where(F.col("kind") == WORDS).select("shard", "total", "distinct").distinct().agg(
+        F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     schema = T.StructType([given.schema[key], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")],
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(strength, key), schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(strength, key, trained, distinct), schema)

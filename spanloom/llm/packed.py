@@ -2,7 +2,8 @@
 
 Rows of one block of documents are tokenised together; their distinct keys,
 sorted 64-bit hashes, go to shards by the range of the hash, a few packed arrays
-instead of a row per key. A shard sees all blocks' keys of its range and answers
+instead of a row per key. A shard without a key of the block gets nothing, so
+there are never more messages than keys, however many blocks and shards. A shard sees all blocks' keys of its range and answers
 with a number per key in the order sent, so that the block needs no keys back.
 """
 
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 8 << 20
-#: Blocks of text for which there is one shard of keys.
-BLOCKS_PER_SHARD = 2
+#: Blocks of text for which there is one shard of keys: as many keys as a task can sort in some hundred megabytes.
+BLOCKS_PER_SHARD = 6
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
