@@ -78,7 +78,8 @@ def tree_leaves(points: DataFrame, axes: list[str], shards: int) -> DataFrame:
     """
     whole = points.agg(*[(F.max(a) - F.min(a)).alias(a) for a in axes]).first()
     spread = {a: float(whole[a] or 0) or 1.0 for a in axes}
-    points = points.withColumns({"__node": F.lit(0), "__leaves": F.lit(shards)})
+    # computed, not literal: a join on a constant would become a product
+    points = points.withColumns({"__node": F.pmod("__tie", F.lit(1)).cast("int"), "__leaves": F.lit(shards)})
     for _ in range((shards - 1).bit_length()):
         nodes, settled = cut_lineage(_widest(points, axes, spread), "kd-nodes"), None
         while not nodes.isEmpty():
