@@ -25,7 +25,6 @@ from spanloom.llm.common import chunks, mixed, utf8, word_hashes
 from spanloom.llm.packed import (
     dealt, number_of_blocks, pack_keys, pack_numbers, shard_slices, text_bytes, unpack_keys, unpack_numbers,
 )
-from spanloom.session import cut_lineage
 
 #: Weight of the unigrams in the pairs after a word, in words.
 STRENGTH = 1000.0
@@ -102,12 +101,14 @@ class Automaton:
         return steps
 
 
-def _scored(strength: float, key_name: str, trained: int, distinct: int):
+def _scored(strength: float, key_name: str):
     def run(key, rows: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[key_name, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         tokens, pairs, sizes = _tokens(rows["text"])
         answers = answers.sort_values(["kind", "shard"])
+        whole = answers["whole"].iloc[0]
+        trained, distinct = int(whole["trained"]), int(whole["distinct"])
         counts = np.concatenate([unpack_numbers(c) for c in answers.loc[answers["kind"] == WORDS, "counts"]])
         pair_counts = np.concatenate([unpack_numbers(c) for c in answers.loc[answers["kind"] == PAIRS, "counts"]])
         keys, token = np.unique(tokens, return_inverse=True)
@@ -138,10 +139,11 @@ def score(df: DataFrame, key: str, text: str, held_out, strength: float = STRENG
     blocks, shards = number_of_blocks(text_bytes(given, "text"))
     rows = dealt(given, F.pmod(F.xxhash64(key, "text"), F.lit(blocks)), blocks)
     asked = rows.groupBy("block").applyInPandas(_asked(shards), SENT)
-    answers = cut_lineage(asked.groupBy("kind", "shard").applyInPandas(_answered, ANSWERED), "answers")
-    # all rows of a shard say the same
-    trained, distinct = answers.where(F.col("kind") == WORDS).select("shard", "total", "distinct").distinct().agg(
-        F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    answers = asked.groupBy("kind", "shard").applyInPandas(_answered, ANSWERED)
+    # all rows of a shard say the same; a scalar of the same plan, so that what the blocks ask is exchanged once
+    shares = answers.where(F.col("kind") == WORDS).groupBy("shard").agg(F.max("total").alias("total"), F.max("distinct").alias("distinct"))
+    whole = shares.agg(F.struct(F.sum("total").alias("trained"), F.sum("distinct").alias("distinct")).alias("whole"))
+    answers = answers.select("block", "kind", "shard", "counts").withColumn("whole", whole.scalar())
     schema = T.StructType([given.schema[key], *[T.StructField(n, T.LongType()) for n in ("n_tokens", "n_known", "train_tokens")],
                            T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(strength, key, trained, distinct), schema)
+    return rows.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_scored(strength, key), schema)
