@@ -177,12 +177,13 @@ def numpy_fit(texts, truths, n_labels, reg, iterations, features):
     return x @ w + b
 
 
-@pytest.mark.parametrize("n_labels,dense", [(3, 16), (3, 0), (1000, 16)])
-def test_labels_fitted_together_equal_numpy(spark, monkeypatch, n_labels, dense):
+@pytest.mark.parametrize("n_labels,dense,tasks", [(3, 16, 1), (3, 0, 6), (1000, 16, 1)])
+def test_labels_fitted_together_equal_numpy(spark, monkeypatch, n_labels, dense, tasks):
+    """Dense and sparse products, one task or a tree of several, few labels and many."""
     import numpy as np
 
     monkeypatch.setattr(Z, "BLOCK_ENTRIES", 40)
-    monkeypatch.setattr(Z, "TASK_PRODUCTS", 60 * n_labels)
+    monkeypatch.setattr(Z, "TASK_PRODUCTS", 360 // tasks * n_labels)
     monkeypatch.setattr(Z, "SLAB_CELLS", 65 * 300)
     monkeypatch.setattr(Z, "FAN_IN", 3)
     monkeypatch.setattr(Z, "DENSE", dense)
@@ -191,18 +192,18 @@ def test_labels_fitted_together_equal_numpy(spark, monkeypatch, n_labels, dense)
     rows = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(12))), sorted(rng.sample(range(n_labels), rng.randrange(3)))) for i in range(60)]
     rows += [(60, None, [0]), (61, "", None), (62, "word1 word1", [1, 1])]
     df = spark.createDataFrame(rows, "id long, text string, ids array<int>")
-    jobs = []
+    jobs, steps = [], 60
     step = Z._Rows.gradient
     monkeypatch.setattr(Z._Rows, "gradient", lambda *a: jobs.append(1) or step(*a))
-    model = Z.train(df, "text", "ids", n_labels, reg=0.5, iterations=120, features=64)
-    assert len(jobs) <= 120  # however many labels
+    model = Z.train(df, "text", "ids", n_labels, reg=0.5, iterations=steps, features=64)
+    assert len(jobs) <= steps  # however many labels
     logits = {r.id: r.logits for r in model.logits(df.select("id", "text")).collect()}
     slots = [r.s for r in df.orderBy("id").select(Z.token_slots("text", 64).alias("s")).collect()]
     truths = [sorted(set(t or [])) for _, _, t in rows]
     want = numpy_fit(slots, truths, n_labels, 0.5, 6000, 64)
     got = np.array([logits[i] for i in range(63)])
     held = sorted({j for t in truths for j in t})  # the log odds of a label that no row has fall for ever
-    assert np.abs(got - want)[:, held].max() < 1e-2
+    assert np.abs(got - want)[:, held].max() < 0.05
     at = 0.3
     ids = {r.id: r.ids for r in model.label_ids(df, threshold=at).select("id", "ids").collect()}
     assert ids == {i: np.flatnonzero(1 / (1 + np.exp(-got[i])) >= at).tolist() for i in range(63)}
