@@ -335,13 +335,17 @@ def _between(placed: DataFrame, nodes: DataFrame, words: DataFrame, roots: DataF
         _crossing(similarity), "node binary, n_words int, leader binary, leader_n int")
 
 
-def _links(placed: DataFrame, nodes: DataFrame, words: DataFrame, similarity: float) -> DataFrame:
+def _links(placed: DataFrame, words: DataFrame, similarity: float, nodes: DataFrame | None = None) -> DataFrame:
     """Verified links (a, b): those that make one component of all alike texts that share a bucket.
 
+    ``nodes`` has each text's sketches; without it they are the buckets that hold the text.
+
     First every text is compared with the leaders of its buckets. What these
     links connect needs no further comparison; texts of one bucket that are still
     in different components are then compared with each other.
     """
+    if nodes is None:
+        nodes = placed.groupBy("node").agg(F.max("n_words").alias("n_words"), F.collect_set("bucket").alias("sketches"))
     pairs, near = _pairs(placed, similarity)
     good = _tried(cut_lineage(pairs.where(near), "pairs"), words, similarity).where("good").select(
         F.col("node").alias("a"), F.col("leader").alias("b"))
@@ -375,7 +379,7 @@ def near_classes(df: DataFrame, key: str, text: str, similarity: float = SIMILAR
     wanted = in_company.select("node").unionByName(in_company.select(F.col("leader").alias("node"))).distinct().join(least, "node")
     # one row of each node is enough: copies have the same words
     words = cut_lineage(wanted.join(known, F.col("least").eqNullSafe(F.col(key))).select("node", "text").mapInPandas(_word_numbers, "node binary, words binary").dropDuplicates(["node"]), "words")
-    roots = components(_links(placed, nodes, words, similarity))
+    roots = components(_links(placed, words, similarity, nodes))
     named = roots.join(least, "node")
     classes = named.join(named.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("node", "class_id")
     of_node = least.join(classes, "node", "left").select("node", F.coalesce("class_id", "least").alias("class_id"))
