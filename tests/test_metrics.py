@@ -177,7 +177,7 @@ def numpy_fit(texts, truths, n_labels, reg, iterations, features):
     return x @ w + b
 
 
-@pytest.mark.parametrize("n_labels,dense,tasks", [(3, 16, 1), (3, 0, 6), (1000, 16, 1)])
+@pytest.mark.parametrize("n_labels,dense,tasks", [(3, 16, 1), (3, 0, 6), (30, 0, 1), (1000, 16, 1)])
 def test_labels_fitted_together_equal_numpy(spark, monkeypatch, n_labels, dense, tasks):
     """Dense and sparse products, one task or a tree of several, few labels and many."""
     import numpy as np
