@@ -82,7 +82,8 @@ STAGES = [
     ("mixing", mixture),
     ("sharding", shards),
 ]
-#: Context trees, sketches and k-d cuts have no SQL form; tests check the stages against brute force.
+#: Context trees, sketches and k-d cuts have no SQL form. Tests check near duplicates and decontamination against plain
+#: Python, the mix against its targets, the shards against their law; the code lengths of languages have a test of their own.
 ORACLE_SQL = None
 
 
