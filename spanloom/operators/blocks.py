@@ -6,11 +6,14 @@ pairs are never written out.
 
 * A right side of at most ``broadcast_rows`` rows and ``BROADCAST_BYTES`` bytes
   (both counted first) is shipped to the tasks once and the left side streams past it, unshuffled.
-* A larger one is written once and cut into hash blocks of about BLOCK_BYTES; left
+* A larger one is written once and cut into blocks of at most about BLOCK_BYTES; left
   chunks meet right blocks in co-grouped tasks of bounded size, and a ranked
-  window merges the k best of each block. Fewer, larger blocks mean fewer copies
-  of the left rows; the score matrix of a step is bounded by its cells. Blocks are cut by row id, so copies of one
+  window merges the k best of each block. Every block means a copy of the left
+  rows and k results for each, so blocks asked smaller than a COPIES-th of the
+  table are put together. Blocks are cut by row id, so copies of one
   vector or name spread over all of them.
+* Vectors are multiplied in pieces of PIECE right rows. Once a left row has k
+  matches, only scores that reach its k-th best are looked at.
 """
 
 from __future__ import annotations
@@ -21,19 +24,27 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.operators.ordering import top_k
+from spanloom.operators.ordering import BUCKETS, top_k, totals_before
 from spanloom.session import cut_lineage
 
 LOG = logging.getLogger("spanloom.blocks")
 
 BROADCAST_ROWS = 20_000
 BROADCAST_BYTES = 128 << 20
-BLOCK_BYTES = 32 << 20
-LEAST_BLOCK, MOST_BLOCK = 1_024, 65_536
+BLOCK_BYTES = 64 << 20
+LEAST_BLOCK, MOST_BLOCK = 1_024, 131_072
+#: Left rows that meet a block at a time; right rows of a group search's task.
+CHUNK_ROWS = 65_536
+#: Blocks up to which a table is cut as finely as asked.
+COPIES = 4
+#: Tasks that the pairs of a block and a chunk are dealt to, so that few of them share one.
+MOST_TASKS = 2_000
+#: Right rows multiplied at a time.
+PIECE = 2_048
 CELLS = 4 << 20  # scores computed at a time
 SELF_ROWS = 256
 SCALE = 10**9  # scores are ranked and returned rounded to 9 decimals
@@ -87,37 +98,97 @@ def nothing(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
 
 class RightSide:
-    """Right rows of one task, sorted by (group, id), with what the kernel prepared."""
+    """Right rows of one task, sorted by (group, id), or by (cell, id), with what the kernel prepared."""
 
     def __init__(self, rows: pd.DataFrame, prepare):
         rows = rows.sort_values(["right_group", "right_id"], kind="stable").reset_index(drop=True)
+        self.place = np.arange(len(rows))  # in the order of ids, which breaks ties
+        cells = np.zeros(len(rows), np.int64)
+        if "cell" in rows.columns:
+            rows = rows.sort_values("cell", kind="stable")
+            self.place, cells = rows.index.to_numpy(), rows["cell"].to_numpy()
         self.ids = rows["right_id"].to_numpy()
         groups = rows["right_group"].to_numpy()
         self.group_type = groups.dtype
         starts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if len(groups) else []
         self.slices = [(groups[a], a, b) for a, b in zip(starts, [*starts[1:], len(groups)])]
-        self.data = prepare(rows["right_value"])
+        self.prepare, self.data = prepare, prepare(rows["right_value"])
+        edges = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1], True]) if len(cells) else []
+        self.runs = [(a, b, cells[a]) for a, b in zip(edges[:-1], edges[1:])]
+
+    def pieces(self, first: int, last: int):
+        """(start, end, cell) of at most PIECE rows of one cell."""
+        for a, b, cell in self.runs:
+            for start in range(max(a, first), min(b, last), PIECE):
+                yield start, min(start + PIECE, b, last), cell
+
+
+class Best:
+    """The k best columns found so far for each row; ties go to the column whose id comes first."""
+
+    def __init__(self, rows: int, k: int, floor: float | None, right: RightSide):
+        self.k, self.floor, self.right = k, floor, right
+        self.lowest = None if floor is None else int(np.rint(floor * SCALE))
+        # scores are rounded: one step below may still round to the bound
+        self.least = np.full(rows, -np.inf if floor is None else (self.lowest - 1) / SCALE)
+        self.kept = (np.empty(0, np.int64),) * 3
+        self.waiting, self.count = [], 0
+
+    def add(self, scores: np.ndarray, rows: np.ndarray, first: int, left_ids: np.ndarray | None) -> None:
+        """Scores of some rows with the columns from ``first`` on; ``left_ids`` are not matched with their own."""
+        ids = self.right.ids[first:first + scores.shape[1]]
+        reach = ~(scores < self.least[rows][:, None])
+        if np.count_nonzero(reach) > scores.size // 8 and scores.shape[1] > self.k:
+            blocked = np.zeros(scores.shape, bool)
+            if left_ids is not None:
+                at = np.searchsorted(ids, left_ids)
+                hit = np.flatnonzero(at < len(ids))
+                hit = hit[ids[at[hit]] == left_ids[hit]]
+                blocked[hit, at[hit]] = True
+            columns, values, found = best_columns(scores, blocked, self.k, self.floor)
+            row, place = np.nonzero(found)
+            column, value = columns[row, place], np.rint(values[row, place] * SCALE).astype(np.int64)
+        else:
+            row, column = np.nonzero(reach)
+            value = np.rint(scores[row, column] * SCALE).astype(np.int64)
+            keep = np.ones(len(row), bool) if self.lowest is None else value > self.lowest
+            if left_ids is not None:
+                keep &= ids[column] != left_ids[row]
+            row, column, value = row[keep], column[keep], value[keep]
+        self.waiting.append((rows[row], first + column, value))
+        self.count += len(row)
+        if self.count >= self.k * len(self.least):
+            self._merge()
+
+    def _merge(self) -> None:
+        row, column, value = (np.concatenate(x) for x in zip(self.kept, *self.waiting))
+        ranked = np.where(value == MISSING, 0, value)  # as best_columns ranks scores that are no numbers
+        order = np.lexsort((self.right.place[column], -ranked, row))
+        row, column, value, ranked = row[order], column[order], value[order], ranked[order]
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
+        rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+        last, keep = rank == self.k - 1, rank < self.k
+        self.least[row[last]] = (ranked[last] - 1) / SCALE
+        self.kept, self.rank = (row[keep], column[keep], value[keep]), rank[keep]
+        self.waiting, self.count = [], 0
+
+    def found(self):
+        """Row, column, score and rank from 0, row by row."""
+        self._merge()
+        row, column, value = self.kept
+        return row, column, value / SCALE, self.rank
 
 
 def search(left: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor, skip_same: bool,
            left_rows: int = 1024) -> Iterator[pd.DataFrame]:
-    left_rows = max(16, min(left_rows, CELLS // max(1, len(right.ids))))
+    pieces = isinstance(right.data, np.ndarray)
+    left_rows = left_rows if pieces else max(16, min(left_rows, CELLS // max(1, len(right.ids))))
     for start in range(0, len(left), left_rows):
         part = left.iloc[start:start + left_rows]
-        scores = kernel(part["left_value"], right.data)
         left_ids = part["left_id"].to_numpy()
         found_in = []
-        for group, a, b in right.slices:
-            blocked = np.zeros((len(part), b - a), dtype=bool)
-            if skip_same:
-                at = np.searchsorted(right.ids[a:b], left_ids)
-                hit = np.flatnonzero(at < b - a)
-                hit = hit[right.ids[a:b][at[hit]] == left_ids[hit]]
-                blocked[hit, at[hit]] = True
-            columns, values, found = best_columns(scores[:, a:b], blocked, k, floor)
-            row, place = np.nonzero(found)
-            found_in.append((row, np.full(len(row), group, dtype=right.group_type), a + columns[row, place],
-                             values[row, place], place))
+        for group, row, column, value, place in (_in_pieces if pieces else _at_once)(part, right, kernel, k, floor, skip_same, left_ids):
+            found_in.append((row, np.full(len(row), group, dtype=right.group_type), column, value, place))
         if found_in:
             row, group, column, value, place = (np.concatenate(x) for x in zip(*found_in))
             yield pd.DataFrame({
@@ -126,6 +197,36 @@ def search(left: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor,
             })
 
 
+def _in_pieces(part: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor, skip_same: bool, left_ids: np.ndarray):
+    """Vectors piece by piece; a row with ``met`` meets only the cells whose bits are set."""
+    vectors, every = right.prepare(part["left_value"]), np.arange(len(part))
+    met = None
+    if "met" in part.columns:
+        met = np.unpackbits(np.frombuffer(b"".join(part["met"]), np.uint8).reshape(len(part), -1), axis=1).astype(bool)
+    for group, a, b in right.slices:
+        best = Best(len(part), k, floor, right)
+        for first, last, cell in right.pieces(a, b):
+            rows = every if met is None else np.flatnonzero(met[:, cell])
+            if len(rows):
+                some = vectors if len(rows) == len(vectors) else vectors[rows]
+                best.add(kernel(some, right.data[first:last]), rows, first, left_ids[rows] if skip_same else None)
+        yield group, *best.found()
+
+
+def _at_once(part: pd.DataFrame, right: RightSide, kernel: Kernel, k: int, floor, skip_same: bool, left_ids: np.ndarray):
+    scores = kernel(part["left_value"], right.data)
+    for group, a, b in right.slices:
+        blocked = np.zeros((len(part), b - a), dtype=bool)
+        if skip_same:
+            at = np.searchsorted(right.ids[a:b], left_ids)
+            hit = np.flatnonzero(at < b - a)
+            hit = hit[right.ids[a:b][at[hit]] == left_ids[hit]]
+            blocked[hit, at[hit]] = True
+        columns, values, found = best_columns(scores[:, a:b], blocked, k, floor)
+        row, place = np.nonzero(found)
+        yield group, row, a + columns[row, place], values[row, place], place
+
+
 def best_matches(
     left: DataFrame,
     right: DataFrame,
@@ -178,11 +279,14 @@ def best_matches(
         return left.select("left_id", "left_value").mapInPandas(stream, schema)
 
     right = cut_lineage(right, "right")
-    block_rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
+    fit = max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
+    cell_rows = block_rows or fit
+    block_rows = max(block_rows or LEAST_BLOCK, min(fit, math.ceil(rows / COPIES)))
 
     def meet(left_blocks: DataFrame, right_blocks: DataFrame) -> DataFrame:
         """The best k of each left row in the blocks it meets."""
-        chunks = max(1, math.ceil(left.count() / max(LEAST_BLOCK, block_rows)))
+        chunks = max(1, math.ceil(left.count() / max(LEAST_BLOCK, min(block_rows, CHUNK_ROWS))))
+        tasks = min(MOST_TASKS, 2 * chunks * math.ceil(rows / block_rows))
         left_part = left_blocks.withColumn("chunk", F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int"))
         right_part = right_blocks.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
 
@@ -194,8 +298,8 @@ def best_matches(
             return pd.concat(found, ignore_index=True) if found else nothing(left_rows, right_rows)
 
         met = (
-            left_part.groupBy("block", "chunk")
-            .cogroup(right_part.groupBy("block", "chunk"))
+            left_part.repartition(tasks, "block", "chunk").groupBy("block", "chunk")
+            .cogroup(right_part.repartition(tasks, "block", "chunk").groupBy("block", "chunk"))
             .applyInPandas(pair, schema)
             .drop("rank")
         )
@@ -203,7 +307,7 @@ def best_matches(
 
     if probes is None:
         return meet(*hash_blocks(left, right, block_rows, rows))
-    found = probes(left, right, block_rows, rows, meet)
+    found = probes(left, right, cell_rows, block_rows, rows, meet)
     return found if "rank" in found.columns else top_k(found, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
 
 
@@ -221,7 +325,8 @@ def matches_in_groups(
     """Like :func:`best_matches` for left rows that ask for one group each: (left_id, right_group) pairs are unique.
 
     A pair meets the right rows of its own group only. A group larger than a
-    block is cut into parts by row id, small groups share a task.
+    block is cut into parts by row id; groups are laid end to end and cut into
+    buckets, so a task holds at most about two blocks.
     """
     spark = left.sparkSession
     schema = T.StructType([
@@ -255,11 +360,11 @@ def matches_in_groups(
         return left.select("left_id", "left_value", "right_group").repartition(tasks, "left_id", "right_group").mapInPandas(stream, schema)
 
     right = cut_lineage(right, "right")
-    block_rows = block_rows or max(LEAST_BLOCK, min(MOST_BLOCK, BLOCK_BYTES * rows // max(1, size)))
-    buckets, chunks = max(1, math.ceil(rows / block_rows)), max(1, math.ceil(left.count() / max(LEAST_BLOCK, block_rows)))
-    parts = F.ceil(F.count("*") / F.lit(block_rows)).cast("int").alias("parts")
-    sizes = cut_lineage(right.groupBy("right_group").agg(parts), "groups")
-    bucket = F.pmod(F.xxhash64("right_group", "part"), F.lit(buckets)).cast("int")
+    block_rows = block_rows or max(LEAST_BLOCK, min(CHUNK_ROWS, BLOCK_BYTES // 2 * rows // max(1, size)))
+    left = cut_lineage(left.select("left_id", "left_value", "right_group"), "asked")
+    chunks = max(1, math.ceil(left.count() / max(LEAST_BLOCK, min(block_rows, CHUNK_ROWS // 2))))
+    tasks = min(MOST_TASKS, 2 * chunks * math.ceil(rows / block_rows))
+    sizes, bucket = cut_lineage(group_parts(right, block_rows), "groups"), part_bucket(block_rows)
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     left_part = left.join(sizes, "right_group").withColumn("part", every(F.col("parts"))).withColumn("bucket", bucket).withColumn(
         "chunk", F.pmod(F.xxhash64("left_id"), F.lit(chunks)).cast("int"))
@@ -272,14 +377,27 @@ def matches_in_groups(
         return pd.concat(found, ignore_index=True) if found else nothing(left_rows, right_rows)
 
     met = (
-        left_part.drop("parts").groupBy("bucket", "chunk")
-        .cogroup(right_part.drop("parts").groupBy("bucket", "chunk"))
+        left_part.drop("parts", "before", "n").repartition(tasks, "bucket", "chunk").groupBy("bucket", "chunk")
+        .cogroup(right_part.drop("parts", "before", "n").repartition(tasks, "bucket", "chunk").groupBy("bucket", "chunk"))
         .applyInPandas(pair, schema)
         .drop("rank")
     )
     return top_k(met, ["left_id", "right_group"], [F.desc("score"), "right_id"], k)
 
 
+def group_parts(right: DataFrame, block_rows: int) -> DataFrame:
+    """(right_group, before, n, parts): rows of every group, rows of the groups before it, and parts of at most about a block."""
+    counted = right.groupBy("right_group").agg(F.count("*").alias("n")).withColumn(
+        "spot", F.pmod(F.xxhash64("right_group"), F.lit(BUCKETS)).cast("int"))
+    return totals_before(counted, "spot", ["right_group"], {"before": F.col("n")}).select(
+        "right_group", "before", "n", F.ceil(F.col("n") / F.lit(block_rows)).cast("int").alias("parts"))
+
+
+def part_bucket(block_rows: int) -> Column:
+    """The bucket of a group's ``part``: where its rows start, with all groups laid end to end."""
+    return F.floor((F.col("before") + F.floor(F.col("n") * F.col("part") / F.col("parts"))) / F.lit(block_rows)).cast("int")
+
+
 def measure(right: DataFrame) -> tuple[int, int, int]:
     """Rows, payload bytes and distinct ids (per group) of the right side, in one pass."""
     vector = isinstance(right.schema["right_value"].dataType, T.ArrayType)

@@ -23,11 +23,14 @@ PIVOTS = 256
 SLACK = 1e-6
 
 
-def stack(vectors: pd.Series) -> np.ndarray:
+def stack(vectors) -> np.ndarray:
+    if isinstance(vectors, np.ndarray) and vectors.ndim == 2:
+        return vectors
+    vectors = pd.Series(vectors)
     return np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, 0))
 
 
-def dot_scores(left: pd.Series, right: np.ndarray) -> np.ndarray:
+def dot_scores(left, right: np.ndarray) -> np.ndarray:
     return stack(left) @ right.T
 
 
@@ -39,14 +42,15 @@ class Cells:
     """Right rows in the cells of their nearest pivots, and what a left row can leave out.
 
     By the triangle inequality on angles, no row of a cell is closer to a left
-    row than its angle to the pivot less the cell's radius. A crowded cell is cut
-    further by row id. Pivots, radii and row counts are a few hundred rows.
+    row than its angle to the pivot less the cell's radius. Cells are put
+    together in blocks of at most ``block_rows`` rows, a larger cell is cut by
+    row id. Pivots, radii and row counts are a few hundred rows.
     """
 
-    def __init__(self, right: DataFrame, block_rows: int, rows: int, pivot_count: int = PIVOTS):
+    def __init__(self, right: DataFrame, cell_rows: int, block_rows: int, rows: int, pivot_count: int = PIVOTS):
         spark = right.sparkSession
         chosen = right.orderBy(unit_random("pivot", F.col("right_id")), "right_id").select("right_value")
-        pivots = stack(chosen.limit(max(1, min(pivot_count, math.ceil(rows / block_rows)))).toPandas()["right_value"])
+        pivots = stack(chosen.limit(max(1, min(pivot_count, math.ceil(rows / cell_rows)))).toPandas()["right_value"])
         shared = spark.sparkContext.broadcast(pivots)
 
         def to_cells(batches):
@@ -61,39 +65,55 @@ class Cells:
         cells = placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).toPandas()
         self.size, radius, n = len(pivots), np.full(len(pivots), -np.inf), np.zeros(len(pivots), np.int64)
         radius[cells["cell"]], n[cells["cell"]] = cells["radius"], cells["n"]
-        parts = np.maximum(1, -(-n // block_rows))
-        self.part_of = F.element_at(F.array(*[F.lit(int(p)) for p in parts]), F.col("cell") + 1)
-        self.right = placed.withColumn("block", F.concat_ws(":", "cell", F.pmod(F.xxhash64("right_id"), self.part_of))).drop("cell", "angle")
-        self.known = spark.sparkContext.broadcast((pivots, radius, n))
+        first, parts = _packed(n, block_rows)
+        holds = np.zeros((len(pivots), int((first + parts).max(initial=1))), bool)
+        for cell in np.flatnonzero(n):
+            holds[cell, first[cell]:first[cell] + parts[cell]] = True
+        at = lambda numbers: F.element_at(F.array(*[F.lit(int(x)) for x in numbers]), F.col("cell") + 1)
+        self.right = placed.withColumn("block", (at(first) + F.pmod(F.xxhash64("right_id"), at(parts))).cast("int")).drop("angle")
+        self.known = spark.sparkContext.broadcast((pivots, radius, n, holds))
 
     def probes(self, left: DataFrame, choose, name: str) -> DataFrame:
-        """Left rows with the cells that ``choose(values, lengths, angles, radius, rows, batch)`` picks, written once.
+        """Left rows with the cells that ``choose(values, lengths, angles, radius, rows, batch)`` picks, as bits, and their blocks, written once.
 
         How many of all (row, cell) pairs are met goes to the log.
         """
         known = self.known
 
         def run(batches):
-            pivots, radius, n = known.value
+            pivots, radius, n, holds = known.value
             for batch in batches:
                 if len(batch):
                     vectors = stack(batch["left_value"])
                     length = np.linalg.norm(vectors, axis=1)
                     angles = _angles(vectors / np.where(length > 0, length, 1.0)[:, None], pivots)
                     needed = choose(length, angles, radius, n, batch)
-                    yield batch.assign(cells=[np.flatnonzero(row).astype("int32") for row in needed])
+                    blocks = needed.astype(np.float32) @ holds.astype(np.float32) > 0
+                    yield batch.assign(cells=needed.sum(axis=1).astype("int32"), met=[row.tobytes() for row in np.packbits(needed, axis=1)],
+                                       blocks=[np.flatnonzero(row).astype("int32") for row in blocks])
 
-        found = cut_lineage(left.mapInPandas(run, f"{_fields(left)}, cells array<int>"), name)
+        found = cut_lineage(left.mapInPandas(run, f"{_fields(left)}, cells int, met binary, blocks array<int>"), name)
         if LOG.isEnabledFor(logging.INFO):
-            met, rows = found.agg(F.coalesce(F.sum(F.size("cells")), F.lit(0)), F.count("*")).first()
+            met, rows = found.agg(F.coalesce(F.sum("cells"), F.lit(0)), F.count("*")).first()
             LOG.info("%s: %d of %d pairs of a row and a cell are met", name, met, rows * self.size)
         return found
 
     def blocks(self, probes: DataFrame) -> DataFrame:
-        """One left row for each block of the cells it meets."""
-        cells = probes.select("left_id", "left_value", F.explode("cells").alias("cell"))
-        every_part = F.explode(F.sequence(F.lit(0), self.part_of - 1)).alias("part")
-        return cells.select("left_id", "left_value", "cell", every_part).withColumn("block", F.concat_ws(":", "cell", "part")).drop("cell", "part")
+        """One left row for each block that has cells it meets."""
+        return probes.select("left_id", "left_value", "met", F.explode("blocks").alias("block"))
+
+
+def _packed(n: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of every cell; cells in a row share a block as long as it has room."""
+    parts = np.maximum(1, -(-n // block_rows))
+    first, following, room = np.zeros(len(n), np.int64), 0, 0
+    for cell in np.flatnonzero(n):
+        if parts[cell] == 1 and n[cell] <= room:
+            first[cell], room = following - 1, room - n[cell]
+        else:
+            first[cell], following = following, following + parts[cell]
+            room = block_rows - n[cell] if parts[cell] == 1 else 0
+    return first, parts
 
 
 def _fields(df: DataFrame) -> str:
@@ -121,8 +141,8 @@ def _nearest_cells(k: int):
 
 def angular_probes(threshold: float, pivot_count: int = PIVOTS):
     """Plan that lets a left row skip the cells which cannot hold a match above a threshold. Exact."""
-    def plan(left: DataFrame, right: DataFrame, block_rows: int, rows: int, meet) -> DataFrame:
-        cells = Cells(right, block_rows, rows, pivot_count)
+    def plan(left: DataFrame, right: DataFrame, cell_rows: int, block_rows: int, rows: int, meet) -> DataFrame:
+        cells = Cells(right, cell_rows, block_rows, rows, pivot_count)
 
         def choose(length, angles, radius, n, batch):
             return _reach(length, np.full(len(length), threshold), angles, radius) & (length > 0)[:, None] & (n > 0)
@@ -141,8 +161,8 @@ def bounded_probes(k: int, skip_same: bool, pivot_count: int = PIVOTS):
     """
     first = _nearest_cells(k + skip_same)
 
-    def plan(left: DataFrame, right: DataFrame, block_rows: int, rows: int, meet) -> DataFrame:
-        cells = Cells(right, block_rows, rows, pivot_count)
+    def plan(left: DataFrame, right: DataFrame, cell_rows: int, block_rows: int, rows: int, meet) -> DataFrame:
+        cells = Cells(right, cell_rows, block_rows, rows, pivot_count)
         near = cut_lineage(meet(cells.blocks(cells.probes(left, first, "nearest_cells")), cells.right), "near")
         bound = near.where(F.col("rank") == k).select("left_id", F.col("score").alias("least"))
 

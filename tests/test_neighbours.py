@@ -113,3 +113,64 @@ def test_vector_totals_ignore_order(spark, table):
     b = {r.label: r.total for r in N.vector_totals(df.repartition(17), ["label"], "v").collect()}
     for label in a:
         assert a[label] == pytest.approx(b[label])
+
+
+def test_small_blocks_asked_of_a_large_table_stay_few(spark, monkeypatch):
+    """Blocks of 5 rows of 400 would copy each left row 80 times; they are put together."""
+    import random
+
+    from pyspark.sql import DataFrame
+
+    pick = random.Random(2)
+    rows = [(f"n{i:03}", [pick.gauss(0, 1) for _ in range(6)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "name string, embedding array<double>")
+    copies, blocks = [], N.Cells.blocks
+
+    def counted(self, probes) -> DataFrame:
+        found = blocks(self, probes)
+        copies.append(found.count())
+        return found
+
+    monkeypatch.setattr(N.Cells, "blocks", counted)
+    got = N.nearest(df, 3, 0.1, broadcast_rows=0, block_rows=5).collect()
+    assert {(r.anchor, 0, r.neighbour, round(r.sim, 6), r["rank"]) for r in got} == brute([(n, "", v) for n, v in rows], 3, 0.1)
+    assert copies and max(copies) <= 8 * len(rows)
+
+
+def test_pieces_of_a_block_equal_one_matrix():
+    """Later pieces only look at scores that reach the k-th best; ties, own rows and cells stay right."""
+    import numpy as np
+    import pandas as pd
+
+    from spanloom.operators import blocks as B
+
+    pick = np.random.default_rng(3)
+    vectors = np.round(pick.normal(size=(300, 4)), 1)  # ties
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]
+    ids = pick.permutation(300)
+    right = pd.DataFrame({"right_group": 0, "right_id": ids, "right_value": list(vectors), "cell": pick.integers(0, 5, 300)})
+    left = pd.DataFrame({"left_id": ids, "left_value": list(vectors), "met": [np.packbits(np.ones(5, bool)).tobytes()] * 300})
+    for piece in (1, 7, 1000):
+        B.PIECE, was = piece, B.PIECE
+        try:
+            for floor in (None, 0.2):
+                sides = B.RightSide(right, N.stack), B.RightSide(right.drop(columns="cell"), lambda v: [N.stack(v)])
+                got = pd.concat(B.search(left, sides[0], N.dot_scores, 6, floor, True))
+                want = pd.concat(B.search(left.drop(columns="met"), sides[1], lambda a, b: N.stack(a) @ b[0].T, 6, floor, True))
+                key = ["left_id", "rank"]
+                pd.testing.assert_frame_equal(got.sort_values(key).reset_index(drop=True), want.sort_values(key).reset_index(drop=True))
+        finally:
+            B.PIECE = was
+
+
+def test_groups_share_buckets_evenly(spark):
+    """A bucket of a group search holds two blocks at most, however the groups' names hash."""
+    from spanloom.operators import blocks as B
+
+    size = {f"c{i}": 12 + i % 29 for i in range(60)} | {"large": 170}
+    rows = [(g, f"{g}-{i}") for g, n in size.items() for i in range(n)]
+    right = spark.createDataFrame(rows, "right_group string, right_id string")
+    parts = B.group_parts(right, 40).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    got = parts.withColumn("bucket", B.part_bucket(40)).groupBy("bucket").agg(F.sum(F.col("n") / F.col("parts")).alias("rows")).collect()
+    assert sum(r.rows for r in got) == pytest.approx(len(rows))
+    assert max(r.rows for r in got) <= 80
