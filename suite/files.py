@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.operators import embedding as E
 from spanloom.operators import metrics as M
-from spanloom.session import shared_folder
+from spanloom.session import cut_lineage, shared_folder
 from spanloom.sources import tables as S
 from suite.combos import COMBOS_SQL, combos
 from suite.common import ENTITIES_SQL, entities, joined, predictions, read
@@ -94,7 +94,7 @@ def splits_csv(spark, folder):
 def checkpoint_resume(spark, folder):
     """The first round of draws is stored; the rest is still to do."""
     path = fresh(spark, "batches")
-    rows = combos(spark, folder)
+    rows = cut_lineage(combos(spark, folder), "combos")
     count = read(spark, folder, "embeddings").count()
     S.write_batches(rows.where(F.col("draw_id") < count), path, frequency=100)
     S.write_batches(rows.where(F.col("draw_id") < count), path, frequency=100)
