@@ -275,8 +275,10 @@ FROM own o LEFT JOIN pairs p USING (w1, w2) LEFT JOIN contexts USING (w1), vocab
 def hash_embed_weights(spark, folder):
     """Weights of a part's words, largest first: at this width no two words of the few that parts use share a place."""
     rows = read(spark, folder, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_type", "p_brand", F.lit("part")).alias("text"))
-    held = F.array_sort(F.filter("embedding", lambda x: x > 0), lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0))
-    return E.hash_embed(rows, "text", 4096).select(
+    # a small file of many rows comes in few splits, and each row is thousands of numbers wide for a moment
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    held = F.sort_array(F.array_remove("embedding", F.lit(0.0)), asc=False)  # no weight is negative
+    return E.hash_embed(rows.repartition(tasks), "text", 4096).select(
         "p_partkey", joined(F.transform(held, lambda x: F.format_number(x, 6))).alias("weights"))
 
 
