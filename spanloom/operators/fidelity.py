@@ -2,45 +2,80 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.functions.text import words
 from spanloom.session import cut_lineage
 
 START = "<s>"
+#: Bytes of text that a task counts at a time.
+PIECE_BYTES = 2 << 20
+
+
+def _pieces(batch: pa.RecordBatch):
+    """The batch in slices of about PIECE_BYTES of text, one text at least."""
+    sizes = pc.fill_null(pc.binary_length(batch["__text"]), 0).to_numpy(zero_copy_only=False)
+    ends, first = np.cumsum(sizes), 0
+    while first < len(sizes):
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+        yield batch.slice(first, last - first)
+        first = last
+
+
+def _pairs(texts: pa.Array, by_text: bool):
+    """(text, first word, second word, times) of the distinct bigrams of some texts, or of all of them together (text 0).
+
+    Python's split cuts at the same characters as ``functions.text.words``.
+    """
+    tokens = [[START, *(t or "").split()] for t in texts.to_pylist()]
+    words = pa.array([w for t in tokens for w in t], pa.string()).dictionary_encode()
+    ids, width = words.indices.to_numpy().astype(np.int64), max(1, len(words.dictionary))
+    text = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    inside = text[1:] == text[:-1]
+    code = ids[:-1][inside] * width + ids[1:][inside]
+    if by_text:  # below 2**63: several texts of a piece have PIECE_BYTES together
+        code += text[1:][inside] * width**2
+    code, times = np.unique(code, return_counts=True)
+    word = lambda at: words.dictionary.take(pa.array(at, pa.int64()))
+    return code // width**2, word(code // width % width), word(code % width), pa.array(times, pa.int64())
 
 
 def _counted(key: str):
-    """Distinct bigrams of every text with their number, text by text."""
+    """Distinct bigrams of every text with their number."""
     def run(batches):
         for batch in batches:
-            rows, first, second, times = [], [], [], []
-            for i, tokens in enumerate(batch["tokens"].to_pylist()):
-                for (a, b), n in Counter(zip(tokens, tokens[1:])).items():
-                    rows.append(i)
-                    first.append(a)
-                    second.append(b)
-                    times.append(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch[key].take(pa.array(rows, pa.int64())), pa.array(first, pa.string()), pa.array(second, pa.string()), pa.array(times, pa.int64())],
-                names=[key, "w1", "w2", "times"])
+            for some in _pieces(batch):
+                text, w1, w2, times = _pairs(some["__text"], True)
+                yield pa.RecordBatch.from_arrays([some[key].take(pa.array(text, pa.int64())), w1, w2, times], names=[key, "w1", "w2", "times"])
 
     return run
 
 
+def _counted_together(batches):
+    """Distinct bigrams of some texts together, with their number."""
+    for batch in batches:
+        for some in _pieces(batch):
+            _, w1, w2, times = _pairs(some["__text"], False)
+            yield pa.RecordBatch.from_arrays([w1, w2, times], names=["w1", "w2", "times"])
+
+
 def text_bigrams(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, w1, w2, times): each bigram of a text once, from a start mark on, counted in its row without a shuffle.
 
     Written once for the passes that follow; empty texts have none.
     """
-    tokens = F.concat(F.array(F.lit(START)), F.coalesce(words(F.lower(text)), F.array().cast("array<string>")))
     schema = T.StructType([df.schema[key], T.StructField("w1", T.StringType()), T.StructField("w2", T.StringType()), T.StructField("times", T.LongType())])
-    return cut_lineage(df.select(key, tokens.alias("tokens")).mapInArrow(_counted(key), schema), "bigrams")
+    return cut_lineage(df.select(key, F.lower(text).alias("__text")).mapInArrow(_counted(key), schema), "bigrams")
+
+
+def corpus_bigrams(df: DataFrame, text: str) -> DataFrame:
+    """(w1, w2, times): bigrams of the texts, those of some texts added up before they are shuffled."""
+    return df.select(F.lower(text).alias("__text")).mapInArrow(_counted_together, "w1 string, w2 string, times bigint")
 
 
 def bigram_model(counted: DataFrame) -> DataFrame:
@@ -55,7 +90,7 @@ def ngram_perplexity(df: DataFrame, key: str, text: str, corpus: DataFrame | Non
     A text is cut into words once; only its distinct bigrams are joined.
     """
     found = text_bigrams(df, key, text)
-    model = bigram_model(found if corpus is None else text_bigrams(corpus, key, text))
+    model = bigram_model(found if corpus is None else corpus_bigrams(corpus, text))
     contexts = model.groupBy("w1").agg(F.sum("n").alias("context"))
     vocabulary = model.select("w2").distinct().agg(F.count("*").alias("v")).scalar()
     log_p = F.log((F.col("n") + add) / (F.col("context") + add * vocabulary))
