@@ -245,3 +245,40 @@ def test_centroids(spark):
     df = spark.createDataFrame([(1, ["a"], [1.0, 0.0]), (2, ["a", "b"], [1.0, 1.0]), (3, ["b"], [0.0, 1.0])], "id long, labels array<string>, v array<double>")
     got = {(r.id, r.label): r["rank"] for r in Z.centroid_labels(df, df, "id", "labels", "v", 1).collect()}
     assert got == {(1, "a"): 1, (2, "a"): 1, (3, "b"): 1}
+
+
+def test_bigrams_are_counted_in_bounded_pieces(spark, monkeypatch):
+    """However many texts a batch has, a task holds the bigrams of a few; a corpus is added up before it is shuffled."""
+    import pyarrow as pa
+
+    texts = [f"a{i} b\u00a0c\x1cd b c" if i % 5 else None for i in range(50)]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(50)), "__text": texts})
+    monkeypatch.setattr(L, "PIECE_BYTES", 64)
+    got = list(L._counted("id")([batch]))
+    assert len(got) == 10 and max(b.num_rows for b in got) <= 25
+    rows = {(r["id"], r["w1"], r["w2"]): r["times"] for b in got for r in b.to_pylist()}
+    assert rows == {(i, *p): 1 + (p == ("b", "c")) for i in range(50) if i % 5
+                    for p in (("<s>", f"a{i}"), (f"a{i}", "b"), ("b", "c"), ("c", "d"), ("d", "b"))}
+    monkeypatch.undo()
+    together = [r for b in L._counted_together([batch]) for r in b.to_pylist()]
+    assert {(r["w1"], r["w2"]): r["times"] for r in together}["b", "c"] == 80
+
+
+def test_steps_are_cut_by_entries_too(spark, monkeypatch):
+    """Two labels make few products, but the rows of a large table still go to many tasks."""
+    import numpy as np
+
+    rows = [(i, f"w{i % 7} w{i % 3} x{i}", [j for j in (0, 1) if (i % 2, i % 3 == 0)[j]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, ids array<long>")
+    whole = Z.train(df, "text", "ids", 2, iterations=3, features=64)
+    monkeypatch.setattr(Z, "TASK_ENTRIES", 40)
+    held = Z._Rows(df, "text", "ids", 2, 64, 2, [F.lit(True)])
+    assert held.tasks == 5 and held.blocks.select("part").distinct().count() == 5
+    assert np.allclose(Z.train(df, "text", "ids", 2, iterations=3, features=64).weights, whole.weights, atol=1e-9)
+
+
+def test_poisson_numbers_are_drawn_once(spark):
+    """A filter on the weight must not hash each row and run a second time."""
+    runs = M.poisson_runs(spark.range(3).withColumnRenamed("id", "record_id"), "record_id", 4)
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5(") == 1
