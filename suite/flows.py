@@ -231,7 +231,9 @@ BOOTSTRAPS = 40
 def poisson_runs(spark, folder):
     """Bootstrap intervals of the scores: each record counts a Poisson number of times in each run."""
     counts = M.record_counts(predictions(spark, folder)).select("record_id", "tp", "fp", "fn")
-    runs = M.poisson_runs(cut_lineage(counts, "counts"), "record_id", BOOTSTRAPS)
+    # the counts are a few small files, and each row is hashed once for every run
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    runs = M.poisson_runs(cut_lineage(counts, "counts").repartition(tasks), "record_id", BOOTSTRAPS)
     return rounded(M.run_intervals(M.total_scores(runs, by=["run_id"], weight="weight")))
 
 
