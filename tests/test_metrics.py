@@ -277,6 +277,34 @@ def test_steps_are_cut_by_entries_too(spark, monkeypatch):
     assert np.allclose(Z.train(df, "text", "ids", 2, iterations=3, features=64).weights, whole.weights, atol=1e-9)
 
 
+def test_larger_tables_make_longer_tasks_not_more_gradients(spark, monkeypatch):
+    """Every task of a step shuffles a whole gradient: their number follows the cores, not the rows."""
+    import numpy as np
+
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, f"w{i % 7} w{i % 3} x{i}", [j for j in (0, 1) if (i % 2, i % 3 == 0)[j]]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, text string, ids array<long>")
+    whole = Z.train(df, "text", "ids", 2, iterations=3, features=64)
+    for products, tasks in ((2, Z.TASKS_PER_CORE * cores), (360 // (cores + 1), 2 * cores)):
+        monkeypatch.setattr(Z, "TASK_PRODUCTS", products)
+        held = Z._Rows(df, "text", "ids", 2, 64, 2, [F.lit(True)])
+        assert held.tasks == tasks
+        assert np.allclose(Z.train(df, "text", "ids", 2, iterations=3, features=64).weights, whole.weights, atol=1e-9)
+
+
+def test_slots_stand_for_their_texts(spark):
+    """Rows that are fitted and predicted are tokenised once."""
+    import numpy as np
+
+    rows = [(i, f"w{i % 7} w{i % 3} x" if i else None, [j for j in (0, 1) if (i % 2, i % 3 == 0)[j]]) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, text string, ids array<long>")
+    slots = df.select("id", Z.token_slots("text", 128).alias("slots"), "ids").withColumn("slots", F.when(F.col("id") > 0, F.col("slots")))
+    a, b = Z.train(df, "text", "ids", 2, iterations=9, features=128), Z.train(slots, "slots", "ids", 2, iterations=9, features=128)
+    assert np.allclose(a.weights, b.weights, atol=1e-9)
+    found = [{r.id: r.found for r in m.label_ids(d, "found", 0.4).collect()} for m, d in ((a, df), (b, slots))]
+    assert found[0] == found[1] and any(found[0].values())
+
+
 def test_poisson_numbers_are_drawn_once(spark):
     """A filter on the weight must not hash each row and run a second time."""
     runs = M.poisson_runs(spark.range(3).withColumnRenamed("id", "record_id"), "record_id", 4)
