@@ -104,16 +104,22 @@ def bigram_model(counted: DataFrame) -> DataFrame:
 
 
 def _blocks(batches):
-    """Texts of a task with their keys in compressed blocks of about BLOCK_BYTES, one text at least; a block is one row."""
+    """Texts of a task with their keys in compressed blocks of about BLOCK_BYTES, one text at least; a block is one row.
+
+    A block's number is made of its content and place: should a lost task come
+    out otherwise when it runs again, its blocks get no answers, not others'.
+    """
     task = TaskContext.get()
-    number, held, size = (task.partitionId() if task else 0) << 32, [], 0
+    number, held, size = 0, [], 0
 
     def packed():
         out = pa.BufferOutputStream()
         with pa.ipc.new_stream(out, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
             for some in held:
                 stream.write_batch(some)
-        return pa.RecordBatch.from_pydict({"block": pa.array([number], pa.int64()), "texts": pa.array([out.getvalue().to_pybytes()], pa.binary())})
+        texts, place = out.getvalue().to_pybytes(), f"{task.partitionId() if task else 0} {number}"
+        block = int.from_bytes(blake2b(texts, digest_size=8, key=place.encode()).digest(), "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([texts], pa.binary())], names=["block", "texts"])
 
     for batch in batches:
         for some in _pieces(batch, BLOCK_BYTES):
@@ -235,7 +241,9 @@ def _scored(key: str, add: float):
     """(key, tokens, log) of the texts of a block that have words, from the shards' answers."""
     def run(blocks: pa.Table, answers: pa.Table) -> pa.Table:
         texts, names = _unpacked(blocks["texts"][0].as_py()), [key, "tokens", "log"]
-        if not len(answers):  # no text of the block has words
+        if not len(answers):
+            if len(_Steps(texts["__text"]).text):
+                raise RuntimeError("the texts were not the same when they were read again")
             return pa.table([texts[key].slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
         answers = answers.sort_by([("kind", "ascending"), ("shard", "ascending")])
         steps, found = _Steps(texts["__text"]), {}

@@ -68,3 +68,13 @@ def test_keys_that_agree_are_told_apart_by_their_checks():
     got = L._answered(pa.table([pa.array(c) for c in zip(*rows)], names=names))
     assert [L._unpack_counts(c).tolist() for c in got["counts"].to_pylist()] == [[10, 25, 300], [25, 70000]]
     assert got["distinct"].to_pylist() == [4, 4] and got["marked"].to_pylist() == [False, False]
+
+
+def test_blocks_without_answers():
+    """Texts without words need none; with words they are another run's blocks, and nothing may be left out silently."""
+    none = pa.table({n: pa.array([], t) for n, t in (("kind", pa.int32()), ("shard", pa.int32()), ("counts", pa.binary()), ("vocabulary", pa.int64()))})
+    block = lambda *t: pa.Table.from_batches(list(L._blocks([pa.RecordBatch.from_pydict({"id": list(range(len(t))), "__text": pa.array(t, pa.string())})])))
+    assert L._scored("id", 1.0)(block("", " ", None), none).num_rows == 0
+    with pytest.raises(RuntimeError, match="again"):
+        L._scored("id", 1.0)(block("", "a"), none)
+    assert block("a b")["block"] != block("a c")["block"]
